@@ -7,6 +7,8 @@ from importlib import import_module
 #: query: (module, has SQL)
 _QUERIES = {
     "op1_exact_dedup": ("exact_dedup", True),
+    "op6_url_filters": ("url_filters", True),
+    "op8_language_id": ("language_id", False),
     "op9_quality_rules": ("quality_rules", True),
 }
 
