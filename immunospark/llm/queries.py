@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_exact_dedup": ("exact_dedup", True),
     "op6_url_filters": ("url_filters", True),
+    "op7_toxicity": ("toxicity", False),
     "op8_language_id": ("language_id", False),
     "op9_quality_rules": ("quality_rules", True),
 }
