@@ -7,10 +7,13 @@ from importlib import import_module
 #: query: (module, has SQL)
 _QUERIES = {
     "op1_exact_dedup": ("exact_dedup", True),
+    "op3_best_fit_packing": ("packing", False),
+    "op4_warc": ("warc", True),
     "op6_url_filters": ("url_filters", True),
     "op7_toxicity": ("toxicity", False),
     "op8_language_id": ("language_id", False),
     "op9_quality_rules": ("quality_rules", True),
+    "op10_mixing": ("mixing", False),
 }
 
 
