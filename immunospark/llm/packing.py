@@ -3,10 +3,11 @@
 Documents are tokenised and cut into pieces of at most CAPACITY tokens. A full piece is a sequence
 of its own. The others are dealt to partitions of about ITEMS pieces by the hash of their id; each
 partition is packed best-fit decreasing, and dual feasible functions give a lower bound of its
-number of sequences. A partition that meets its bound is certified and final. Of the others, the
-sequences that aren't full leave their pieces in a common pool, which is dealt anew and packed
-again; a round is taken over if the pool's sequences get fewer. Rounds end when all partitions are
-certified, when a round brings nothing, or after ROUNDS.
+number of sequences. A partition that meets its bound is certified and keeps its sequences, all but
+the emptiest one, as its bound is rounded up. Partitions with a gap keep their full sequences alone.
+The pieces of all other sequences are exchanged: pooled, dealt anew and packed again; a round counts
+if the pool's sequences get fewer. Rounds end when the total meets the bound of all pieces (from a
+histogram of at most CAPACITY lengths), when a round brings nothing, or after ROUNDS.
 
 Texts are read once and never shuffled; what moves are pieces of some 50 bytes. Every partition
 holds about ITEMS pieces however many there are, and the driver sees counts alone.
@@ -102,9 +103,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best of several dual-feasible-function bounds on the number of bins."""
-    sizes, counts = np.unique(lengths.astype(np.int64), return_counts=True)
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """The best of several dual-feasible-function bounds on the number of bins; counts: of distinct lengths."""
+    sizes = lengths.astype(np.int64)
+    if counts is None:
+        sizes, counts = np.unique(sizes, return_counts=True)
     best = -(-int((sizes * counts).sum()) // capacity)
     # items above half need a bin each; items above capacity - a shut out all of size a and more
     big = sizes * 2 > capacity
@@ -148,8 +151,8 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
 
 
 def packed_round(items: DataFrame, n: int, turn: int, capacity: int) -> DataFrame:
-    """Deal n items out and pack each partition; adds sequence_id, offset, room, and its partition's bins and bound."""
-    schema = PIECES + ", sequence_id BIGINT, offset BIGINT, room INT, part BIGINT, bins BIGINT, bound BIGINT"
+    """Deal n items out and pack each partition; adds sequence_id, offset, its partition's bins and bound, and its sequence's room."""
+    schema = PIECES + ", sequence_id BIGINT, offset BIGINT, part BIGINT, bins BIGINT, bound BIGINT, room INT, emptiest BOOLEAN"
     parts = max(1, -(-n // ITEMS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,10 +160,11 @@ def packed_round(items: DataFrame, n: int, turn: int, capacity: int) -> DataFram
         part = int(pdf["part"].iloc[0])
         bins, offsets, room = best_fit(pdf["length"].tolist(), capacity)
         base = (turn << 56) | (part << 24)
+        worst = max(range(len(room)), key=room.__getitem__)
         return pdf.assign(
-            sequence_id=[base + b for b in bins], offset=offsets, room=[room[b] for b in bins],
-            bins=len(room), bound=lower_bound(pdf["length"].to_numpy(), capacity),
-        )[["item", *_COLUMNS, "sequence_id", "offset", "room", "part", "bins", "bound"]]
+            sequence_id=[base + b for b in bins], offset=offsets, bins=len(room), bound=lower_bound(pdf["length"].to_numpy(), capacity),
+            room=[room[b] for b in bins], emptiest=[b == worst for b in bins],
+        )[["item", *_COLUMNS, "sequence_id", "offset", "part", "bins", "bound", "room", "emptiest"]]
 
     dealt = items.select("item", *_COLUMNS, F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(parts)).alias("part"))
     return dealt.groupBy("part").applyInPandas(run, schema)
@@ -170,29 +174,33 @@ def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack stored pieces; adds sequence_id, offset and certified (its sequence is full, or in a partition that meets its bound)."""
     full = rows.where(F.col("length") == capacity)
     done = full.select(*_COLUMNS, (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(True).alias("certified"))
-    pool, n = rows.where(F.col("length") < capacity), None
-    n = pool.count()
-    current = None
+    pool = rows.where(F.col("length") < capacity)
+    lengths = pool.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    n = sum(r["n"] for r in lengths)
+    bound = lower_bound(np.array([r["length"] for r in lengths]), capacity, np.array([r["n"] for r in lengths])) if n else 0
+    settled, before, kept, current = None, None, 0, None
+    good = ((F.col("bins") == F.col("bound")) | (F.col("room") == 0)).alias("certified")
     for turn in range(1, ROUNDS + 1):
         if not n:
             break
         trial = stored(packed_round(pool, n, turn, capacity), f"packed-{turn}")
         bins = trial.agg(F.countDistinct("sequence_id").alias("bins")).first()["bins"]
-        if current is not None and bins >= before:
-            break  # the pool is no better for it: what it had stays
         if current is not None:
+            if bins >= before:
+                break  # the pool is no better for it: what it had stays
             done = done.unionByName(settled)
         current = trial
-        gap = (F.col("bins") > F.col("bound")) & (F.col("room") > 0)
-        settled = current.where(~gap).select(*_COLUMNS, "sequence_id", "offset", ((F.col("room") == 0) | (F.col("bins") == F.col("bound"))).alias("certified"))
-        pool = current.where(gap)
-        counts = pool.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sequence_id").alias("bins"), F.countDistinct("part").alias("parts")).first()
-        n, before = counts["n"], counts["bins"]
-        if not n or (counts["parts"] == 1 and n <= ITEMS):
+        if kept + bins <= bound:
+            good = F.lit(True).alias("certified")
+            break
+        loose = (F.col("room") > 0) & ((F.col("bins") > F.col("bound")) | F.col("emptiest"))
+        settled, pool = current.where(~loose).select(*_COLUMNS, "sequence_id", "offset", good), current.where(loose)
+        got = pool.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sequence_id").alias("bins"), F.countDistinct("part").alias("parts")).first()
+        n, before = got["n"], got["bins"]
+        kept += bins - before
+        if got["parts"] < 2:
             break  # nobody to exchange with
-    if current is None:
-        return done
-    return done.unionByName(current.select(*_COLUMNS, "sequence_id", "offset", ((F.col("room") == 0) | (F.col("bins") == F.col("bound"))).alias("certified")))
+    return done if current is None else done.unionByName(current.select(*_COLUMNS, "sequence_id", "offset", good))
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
