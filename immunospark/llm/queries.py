@@ -10,6 +10,7 @@ _QUERIES = {
     "op2_line_dedup": ("line_dedup", False),
     "op3_best_fit_packing": ("packing", False),
     "op4_warc": ("warc", True),
+    "op5_ngram_jaccard_join": ("ngram_join", False),
     "op6_url_filters": ("url_filters", True),
     "op7_toxicity": ("toxicity", False),
     "op8_language_id": ("language_id", False),
