@@ -120,6 +120,18 @@ def predicted(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
 
 
+def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """The documents that aren't rejected, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(Classifier(dictionaries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([not model.predict(t)[3] for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 3) == 1
