@@ -12,8 +12,9 @@ histogram of at most CAPACITY lengths), when a round brings nothing, or after RO
 Texts are read once and never shuffled; what moves are pieces of some 50 bytes. Every partition
 holds about ITEMS pieces however many there are, and the driver sees counts alone.
 
-Tokenising splits texts at ASCII blanks, which the tokenizer drops and never merges across, and
-keeps the ids of words it has seen in a bounded table.
+The tokenizer merges within its own pre-tokens alone, so their ids are looked up in a bounded table
+of those seen. Texts of Latin letters are cut into pre-tokens by the tokenizer's pattern; others, and
+texts with special tokens, are cut at ASCII blanks, which it drops.
 
 Defined results: a null text counts as empty and is the end token alone; repeated rows are packed
 one by one; an empty table gives no rows; extra columns are ignored.
@@ -22,6 +23,7 @@ one by one; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -40,9 +42,14 @@ TOKENIZER = "word_bpe_49k.json"
 ITEMS = 8_000
 ROUNDS = 4
 #: Words whose ids a task remembers.
-MEMORY = 400_000
+MEMORY = 600_000
 
 PIECES = "item BIGINT, doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
+#: The tokenizer's pre-token pattern over the characters up to U+017F, whose lower case and
+#: normal form are single characters but for U+0130.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
+_PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_OTHERS = re.compile("[^\\x00-\u012f\u0131-\u017f]|<\\|")
 _BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 _COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -55,25 +62,41 @@ class WordTokens:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str], pretokens: bool) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > MEMORY:
             self.known = {}
             new = list(words)
+        if pretokens:
+            # the byte-level alphabet maps printable ASCII to itself, so such pre-tokens can go to the model at once
+            plain, new = [w for w in new if w.isascii() and w.isprintable()], [w for w in new if not (w.isascii() and w.isprintable())]
+            split = self.tokenizer.model.tokenize
+            self.known.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in ((w, [t.id for t in split(w)]) for w in plain))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, got))
+            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(part, got))
 
     def encode(self, text: str) -> bytes:
-        words = _BLANKS.split(text)
+        pretokens = not _OTHERS.search(text)
+        words = _PRETOKENS.findall(text.lower()) if pretokens else _BLANKS.split(text)
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            self.learn(set(words))
+            self.learn(set(words), pretokens)
             return b"".join(map(self.known.__getitem__, words))
 
 
+#: A task's tokenizers, kept for the next task of the same worker.
+_tokenizers: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokens(path)
+    return _tokenizers[path]
+
+
 def tokenizer_path(path: str | None) -> str:
     if path is None:
         import public_tokenizers
@@ -86,7 +109,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     """item (any unique number), doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = WordTokens(tokenizer_path(path)), np.array([END_TOKEN], dtype="<u4").tobytes()
+        tokens, end = word_tokens(tokenizer_path(path)), np.array([END_TOKEN], dtype="<u4").tobytes()
         item = TaskContext.get().partitionId() << 36
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
