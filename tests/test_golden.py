@@ -1,0 +1,93 @@
+"""Golden checks on the bundled example: reads, annotations, CDR3 rows and the report."""
+
+import csv
+
+from pyspark.sql import functions as F
+
+from immunospark.functions import cdr3 as fcdr3
+from immunospark.functions import genes
+from immunospark.operators import report
+from immunospark.sources import sinks, tables
+from immunospark.sources.fastx import read_fastx
+
+
+def test_report_is_the_golden_one(spark, golden):
+    got = report.clonotype_report(tables.read_cdr3(spark, str(golden / "cdr3.out")))
+    lines = sorted(r.value for r in report.report_lines(got).collect())
+    want = sorted(x.rstrip("\n") for x in open(golden / "report.tsv") if not x.startswith("#"))
+    assert len(want) == 44 and lines == want
+
+
+def test_report_round_trip(spark, golden):
+    back = tables.read_report(spark, str(golden / "report.tsv"))
+    assert back.count() == 44 and back.agg(F.sum("count")).first()[0] == 97
+
+
+def test_reads_and_pairs(spark, golden):
+    one, two = (read_fastx(spark, str(golden / f"{k}.fq")) for k in (1, 2))
+    rows = tables.zipped(one, two).collect()
+    assert len(rows) == 198 and all(r.id == r.id_2 and len(r.seq) == 100 for r in rows)
+
+
+def test_split_reading_finds_the_same_records(spark, golden):
+    whole = {(r.id, r.seq, r.qual) for r in read_fastx(spark, str(golden / "1.fq")).collect()}
+    parts = read_fastx(spark, str(golden / "1.fq"), split_bytes=5000)
+    assert parts.rdd.getNumPartitions() > 5
+    rows = parts.collect()
+    assert len(rows) == 198 and {(r.id, r.seq, r.qual) for r in rows} == whole
+
+
+def test_annotations_parse_and_write_back(spark, golden):
+    fasta = read_fastx(spark, str(golden / "annot.fa"))
+    ann = tables.parse_annotation(fasta)
+    rows = ann.collect()
+    assert len(rows) == 84 and all(r.len == len(r.seq) for r in rows)
+    for r in rows:
+        for c in (r.cdr1, r.cdr2, r.cdr3):
+            assert c is None or r.seq[c.start : c.end + 1] == c.seq
+    text = sorted(r.value for r in sinks.annotation_lines(ann).collect())
+    lines = [x.rstrip("\n") for x in open(golden / "annot.fa")]
+    assert text == sorted(f"{h}\n{s}" for h, s in zip(lines[::2], lines[1::2]))
+
+
+def test_cdr3_rows_agree_with_annotations(spark, golden):
+    ann = tables.parse_annotation(read_fastx(spark, str(golden / "annot.fa"))).where("cdr3 IS NOT NULL").select("cid", F.col("cdr3.score").alias("s"))
+    rows = tables.read_cdr3(spark, str(golden / "cdr3.out"))
+    both = rows.join(ann, "cid")
+    assert rows.count() == both.count() == 75
+    assert both.where(F.abs(F.col("s") / 100 - F.col("score")) > 0.005).count() == 0
+
+
+def test_junctions_of_the_golden_contigs(spark, golden):
+    ann = tables.parse_annotation(read_fastx(spark, str(golden / "annot.fa")))
+    hit = lambda g: F.get(g, F.lit(0))
+    with_d = F.substring(hit("v").gene, 1, 3).isin("IGH", "TRB", "TRD")
+    got = ann.where("cdr3.score > 0").select("cid", fcdr3.junction(hit("v"), hit("d"), hit("j"), F.col("cdr3.start"), F.col("cdr3.end"), with_d).alias("junction")).where("junction IS NOT NULL")
+    by = {r.cid: r.junction for r in got.collect()}
+    # V ends at 277 of the read and at 294 of 296; D spans 308-320 and 8-19 of 20; J starts at 314: no D before J
+    assert by["assemble1"] == "9,1,*,*,*,*,*,*,4,46"
+    assert all(len(x.split(",")) == 10 for x in by.values())
+
+
+def test_equal_hits_are_the_called_genes(spark, golden):
+    """Genes of a CDR3 row are the best hit and those that equal it in similarity."""
+    ann = tables.parse_annotation(read_fastx(spark, str(golden / "annot.fa"))).select("cid", F.get("v", F.lit(0)).gene.alias("best"))
+    rows = tables.read_cdr3(spark, str(golden / "cdr3.out")).select("cid", genes.first_gene(F.col("v")).alias("v")).where("v IS NOT NULL")
+    both = rows.join(ann, "cid")
+    assert both.where("best = v").count() == both.count() > 60
+
+
+def test_reference_genes_load(spark, golden):
+    rows = read_fastx(spark, str(golden / "genes.fa"))
+    kinds = {r.k: r["count"] for r in rows.select(genes.gene_type(F.col("id")).alias("k")).groupBy("k").count().collect()}
+    assert sum(kinds.values()) == 1069 and set(kinds) >= {"V", "D", "J", "C"}
+
+
+def test_report_file_has_its_header(spark, golden, tmp_path):
+    got = report.clonotype_report(tables.read_cdr3(spark, str(golden / "cdr3.out")))
+    sinks.write_lines(report.report_lines(report.ordered(got)), f"file://{tmp_path}/out", "#count\tfrequency")
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    lines = [x for p in parts for x in open(p)]
+    assert lines[0].startswith("#count") and len(lines) == 45
+    counts = [int(x[0]) for x in csv.reader(lines[1:], delimiter="\t")]
+    assert counts == sorted(counts, reverse=True)
