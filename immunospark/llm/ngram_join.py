@@ -7,17 +7,17 @@ until the recall of a pair at the threshold, 1 - (1 - 0.8^d)^TREES, reaches RECA
 verified by their shingles, exactly.
 
 No step lists the pairs of a group. A node is verified against one pivot, the smallest node of its
-deepest matches; nodes at distance 0.2 or less make up the pivot's star. As Jaccard distance is a
-metric, two nodes at distances p and q from pivots that are r apart are linked for certain if
-p + q + r <= 0.2, and not linked if r - p - q > 0.2. Members are banded by their distance, so that
-whole bands are counted or ruled out by their sizes; what lies between is compared in blocks of at
-most BLOCK nodes, inside a task that gives back a count per node. Pairs of stars come from the
-tries' shortest prefixes: stars that meet in a bucket, screened by their pivots' signatures with a
-wide margin, and then verified.
+deepest matches; nodes nearer than half the reach (distance below 0.1) make up the pivot's star. As
+Jaccard distance is a metric, any two nodes of a star are linked, so a star's links are known from
+its size. Stars that meet in a bucket of the shortest prefixes and whose pivots' signatures are not
+too far apart, by a margin of four standard deviations, are of one family: a task takes in a bucket,
+in blocks of at most STARS, and gives back a spanning forest. Within a family, nodes of different
+stars are compared exactly, in blocks of at most BLOCK nodes, inside tasks that give back a count per
+node and a spanning forest of the stars they link. Linked stars make a class; its smallest doc_id
+names it.
 
 Groups that may hold a third of all rows are dealt out by salts in proportion to their size (pivot
-text is copied to each salt), and counts are combined before each shuffle. Connected stars make a
-class; its smallest doc_id names it.
+text is copied to each salt), and counts are combined before each shuffle.
 
 Words are runs of word characters in lower case. Defined results: a null text is empty; a document
 without words is a class of its own; one with fewer than five words has the run of them as its only
@@ -44,12 +44,11 @@ OVER, UNDER = 4, 5
 REACH = 1 - OVER / UNDER
 TREES, DEPTH = 24, 7
 RECALL = 0.9999
-#: Distance bands per unit; nodes of a block; stars of a bucket's block; members that share a copy of a pivot.
-BANDS, BLOCK, STARS, COPY = 80, 256, 512, 256
-#: Values of a signature that screen pairs of pivots, and the margin, four standard deviations wide.
-SCREEN, MARGIN = 96, 0.2
+#: Nodes of a block; stars of a bucket's block; members that share a copy of a pivot.
+BLOCK, STARS, COPY = 512, 512, 256
+#: How much farther apart signatures may say that pivots are: four standard deviations of their estimate.
+MARGIN = 4 * (0.8 * 0.2 / (TREES * DEPTH)) ** 0.5
 _WORD = re.compile(r"\w+")
-_EPS = 1e-9
 
 
 def shortest(recall: float = RECALL) -> int:
@@ -192,23 +191,42 @@ class _Pivot:
             return []
         both = len(np.intersect1d(self.pivot, s, assume_unique=True))
         either = len(self.pivot) + len(s) - both
-        return [(r["pivot"], r["node"], 1 - both / either, UNDER * both >= OVER * either)]
+        return [(r["pivot"], r["node"], 1 - both / either)]
 
     def end(self) -> list[tuple]:
         return []
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pivot, node, dist, linked for stored pairs (pivot, node). texts: node, text."""
+    """pivot, node, dist for stored pairs (pivot, node). texts: node, text."""
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / COPY).cast("int").alias("salts"))
     members = pairs.join(sizes, "pivot").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(texts, "node")
     pivots = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts.withColumnRenamed("node", "pivot"), "pivot")
     rows = members.select("pivot", "salt", F.lit(1).alias("role"), "node", "text").unionByName(pivots.select("pivot", "salt", F.lit(0).alias("role"), F.col("pivot").alias("node"), "text"))
-    return streamed(rows, ["pivot", "salt"], ["role", "node"], _Pivot, "pivot BINARY, node BINARY, dist DOUBLE, linked BOOLEAN")
+    return streamed(rows, ["pivot", "salt"], ["role", "node"], _Pivot, "pivot BINARY, node BINARY, dist DOUBLE")
+
+
+class _Forest:
+    """Union-find that keeps the edges that joined something."""
+
+    def __init__(self):
+        self.up: dict = {}
+        self.edges: list[tuple] = []
+
+    def top(self, x):
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x, y) -> None:
+        a, b = self.top(x), self.top(y)
+        if a != b:
+            self.up[b] = a
+            self.edges.append((x, y))
 
 
 class _Meet:
-    """Pairs of a bucket's stars whose pivots may be close enough, by their signatures."""
+    """A spanning forest of a bucket's stars, joined where their pivots may be close enough by their signatures."""
 
     def __init__(self):
         self.rows: list[dict] = []
@@ -222,53 +240,54 @@ class _Meet:
             return []
         sig = np.array([r["sig"] for r in self.rows])
         far = np.array([r["radius"] for r in self.rows])
-        block = np.array([r["own"] for r in self.rows])
-        out = []
+        star = [r["star"] for r in self.rows]
+        found = _Forest()
         for i in range(len(sig) - 1):
             like = (sig[i + 1 :] == sig[i]).mean(1)
-            near = (1 - like <= REACH + far[i] + far[i + 1 :] + MARGIN) & ((block[i + 1 :] != block[i]) | (self.rows[i]["bi"] == self.rows[i]["bj"]))
-            out += [tuple(sorted((self.rows[i]["star"], self.rows[j]["star"]))) for j in i + 1 + np.flatnonzero(near)]
-        return out
+            for j in i + 1 + np.flatnonzero(1 - like <= REACH + far[i] + far[i + 1 :] + MARGIN):
+                found.join(star[i], star[j])
+        return found.edges
 
 
 class _Compare:
-    """Links between the two sides of a job, counted per node."""
+    """Links between nodes of different stars of two blocks, or of one: counts per node (b null), and a spanning forest of linked stars (a, b)."""
 
     def __init__(self):
         self.sides: tuple[list, list] = ([], [])
 
     def row(self, r: dict) -> list[tuple]:
         self.job = r
-        self.sides[r["side"]].append((r["node"], shingles(r["text"])))
+        self.sides[r["side"]].append((r["node"], r["star"], shingles(r["text"])))
         return []
 
     def end(self) -> list[tuple]:
         left, right = self.sides
-        job = self.job
-        own = (job["y"], job["i"], job["p"]) == (job["z"], job["j"], job["q"])
+        own = self.job["p"] == self.job["q"]
         right = left if own else right
         if not left or not right:
             return []
-        la, lb = (np.array([len(s) for _, s in x]) for x in (left, right))
-        flat = np.concatenate([s for _, s in left] + ([] if own else [s for _, s in right]))
+        la, lb = (np.array([len(x[2]) for x in side]) for side in (left, right))
+        flat = np.concatenate([x[2] for x in left] + ([] if own else [x[2] for x in right]))
         ids, col = np.unique(flat, return_inverse=True)
-        rows = np.repeat(np.arange(len(left) + (0 if own else len(right))), np.concatenate([la] if own else [la, lb]))
+        rows = np.repeat(np.arange(len(left) + (0 if own else len(right))), la if own else np.concatenate([la, lb]))
         by = np.argsort(col, kind="stable")
         col, rows = col[by], rows[by]
-        both, wide = np.zeros((len(left), len(right)), dtype=np.int64), 8192
+        both, wide = np.zeros((len(left), len(right)), dtype=np.int64), 4096
         for c in range(0, len(ids), wide):
             i, j = np.searchsorted(col, [c, c + wide])
-            m = np.zeros((rows.max() + 1, wide), dtype=np.float32)
+            m = np.zeros((len(left) + (0 if own else len(right)), wide), dtype=np.float32)
             m[rows[i:j], col[i:j] - c] = 1
             both += np.rint(m[: len(left)] @ (m if own else m[len(left) :]).T).astype(np.int64)
         linked = (UNDER + OVER) * both >= OVER * (la[:, None] + lb[None, :])
-        if own:
-            np.fill_diagonal(linked, False)
-        y, z = job["y"], job["z"]
-        out = [(y, z, k, int(n)) for (k, _), n in zip(left, linked.sum(1)) if n]
+        names = {x: k for k, x in enumerate(dict.fromkeys(x[1] for side in (left, right) for x in side))}
+        linked &= np.array([names[x[1]] for x in left])[:, None] != np.array([names[x[1]] for x in right])[None, :]
+        out = [(x[0], None, int(n)) for x, n in zip(left, linked.sum(1)) if n]
         if not own:
-            out += [(y, z, k, int(n)) for (k, _), n in zip(right, linked.sum(0)) if n]
-        return out
+            out += [(x[0], None, int(n)) for x, n in zip(right, linked.sum(0)) if n]
+        found = _Forest()
+        for i, j in zip(*np.nonzero(linked)):
+            found.join(left[i][1], right[j][1])
+        return out + [(a, b, 0) for a, b in found.edges]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -311,60 +330,42 @@ def joined(docs: DataFrame) -> DataFrame:
     texts = stored(_texts(docs, wanted), "texts")
 
     # stars: members are verified, pivots of others are roots of their own
-    near = stored(verified(pairs, texts), "near").where("linked")
+    near = stored(verified(pairs, texts), "near").where(F.col("dist") < REACH / 2)
     roots = near.select(F.col("pivot").alias("node")).distinct()
     members = near.join(roots, "node", "left_anti").select("node", F.col("pivot").alias("star"), "dist")
     alone = wanted.select("node").join(members.select("node"), "node", "left_anti").select("node", F.col("node").alias("star"), F.lit(0.0).alias("dist"))
-    stars = stored(members.unionByName(alone).withColumn("band", F.floor(F.col("dist") * BANDS).cast("int")), "stars")
-    bands = stored(stars.groupBy("star", "band").agg(F.count(F.lit(1)).alias("size")), "bands")
-    totals = stored(bands.groupBy("star").agg(F.sum("size").alias("size"), F.max("band").alias("band")), "totals")
-    radius = F.when(F.col("band") == 0, F.when(F.col("size") > 1, 1.0 / BANDS).otherwise(0.0)).otherwise((F.col("band") + 1) / BANDS)
+    stars = stored(members.unionByName(alone), "stars")
+    sizes = stored(stars.groupBy("star").agg(F.count(F.lit(1)).alias("size"), F.max("dist").alias("radius")), "sizes")
 
-    # stars that meet in a bucket
+    # families: stars that meet in a bucket and may be close enough
     met = matched.select("node", "bucket").join(stars.select("node", "star"), "node").select("bucket", "star").distinct()
     crowd = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / STARS).cast("int").alias("blocks"))
     met = met.join(crowd, "bucket").withColumn("own", F.pmod(F.xxhash64("star"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "star").join(
-        totals.select("star", radius.alias("radius")), "star"
-    )
-    met = met.join(nodes.select(F.col("node").alias("star"), F.slice("sig", 1, SCREEN).alias("sig")), "star")
-    meets = streamed(met, ["bucket", "bi", "bj"], ["star"], _Meet, "pivot BINARY, node BINARY").distinct()
-    apart = stored(verified(stored(meets, "meets"), texts), "apart")
-
-    # bands of members that are linked for certain, or have to be compared
-    y = totals.select(F.col("star").alias("y"), F.col("size").alias("y_all"))
-    z = totals.select(F.col("star").alias("z"), F.col("size").alias("z_all"))
-    within = y.where("y_all > 1").select("y", F.col("y").alias("z"), F.lit(0.0).alias("r"), F.lit(False).alias("linked"), F.lit(False).alias("two"))
-    between = apart.select(F.col("pivot").alias("y"), F.col("node").alias("z"), F.col("dist").alias("r"), "linked").join(y, "y").join(z, "z")
-    between = between.select("y", "z", "r", "linked", ((F.col("y_all") == 1) & (F.col("z_all") == 1)).alias("two"))
-    by = bands.select(F.col("star").alias("y"), F.col("band").alias("i"), F.col("size").alias("n_i"))
-    bz = bands.select(F.col("star").alias("z"), F.col("band").alias("j"), F.col("size").alias("n_j"))
-    own = F.col("y") == F.col("z")
-    cells = within.unionByName(between).join(by, "y").join(bz, "z").where(~own | (F.col("i") <= F.col("j")))
-    edge = lambda c: (F.col(c) + 1) / BANDS
-    sure = F.when(F.col("two"), F.col("linked")).otherwise(edge("i") + edge("j") + F.col("r") <= REACH + _EPS)
-    never = F.when(F.col("two"), ~F.col("linked")).otherwise(F.col("r") - edge("i") - edge("j") > REACH + _EPS)
-    cells = stored(cells.select("y", "z", "i", "j", "n_i", "n_j", sure.alias("sure"), never.alias("never")).where("NOT never"), "cells")
-    certain = cells.where("sure")
-    links_i = certain.select(F.col("y").alias("star"), F.col("i").alias("band"), F.when(own & (F.col("i") == F.col("j")), F.col("n_j") - 1).otherwise(F.col("n_j")).alias("n"))
-    links_j = certain.where(~(own & (F.col("i") == F.col("j")))).select(F.col("z").alias("star"), F.col("j").alias("band"), F.col("n_i").alias("n"))
-    by_band = links_i.unionByName(links_j).groupBy("star", "band").agg(F.sum("n").alias("n"))
-    open_ = cells.where("NOT sure").withColumns({"b_i": F.ceil(F.col("n_i") / BLOCK).cast("int"), "b_j": F.ceil(F.col("n_j") / BLOCK).cast("int")})
-    jobs = open_.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("b_i") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("b_j") - 1)))
-    jobs = stored(jobs.where(~(own & (F.col("i") == F.col("j"))) | (F.col("p") <= F.col("q"))).select("y", "z", "i", "j", "p", "q", "b_i", "b_j"), "jobs")
-    same = own & (F.col("i") == F.col("j")) & (F.col("p") == F.col("q"))
-    block = lambda star, band, blocks, at, side: jobs.where(~same if side else F.lit(True)).join(
-        stars.select("node", F.col("star").alias(star), F.col("band").alias(band)), [star, band]
-    ).where(F.pmod(F.xxhash64("node"), F.col(blocks)) == F.col(at)).select("y", "z", "i", "j", "p", "q", F.lit(side).alias("side"), "node")
-    sides = block("y", "i", "b_i", "p", 0).unionByName(block("z", "j", "b_j", "q", 1)).join(texts, "node")
-    compared = stored(streamed(sides, ["y", "z", "i", "j", "p", "q"], ["side", "node"], _Compare, "y BINARY, z BINARY, node BINARY, n BIGINT"), "compared")
-
-    # links per node, and classes of connected stars
-    counts = stars.join(by_band, ["star", "band"], "left").select("node", "star", F.coalesce("n", F.lit(0)).alias("n"))
-    counts = counts.join(compared.groupBy("node").agg(F.sum("n").alias("m")), "node", "left").select("node", "star", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n_links"))
-    edges = certain.where(~own).select(F.col("y").alias("a"), F.col("z").alias("b")).unionByName(compared.where(~own).select(F.col("y").alias("a"), F.col("z").alias("b"))).distinct()
-    found = components(edges)
+    met = met.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "star").join(sizes.select("star", "radius"), "star")
+    met = met.join(nodes.select(F.col("node").alias("star"), "sig"), "star")
+    families = components(streamed(met, ["bucket", "bi", "bj"], ["star"], _Meet, "a BINARY, b BINARY"))
+
+    # blocks of a family: a star of more than BLOCK nodes has its own, smaller ones share
+    placed = families.select(F.col("node").alias("star"), F.col("root").alias("family")).join(sizes.select("star", "size"), "star")
+    large = F.col("size") > BLOCK
+    small = placed.groupBy("family").agg(F.ceil(F.sum(F.when(~large, F.col("size")).otherwise(0)) / BLOCK).alias("shared"))
+    placed = placed.join(small, "family").select("star", "family", F.when(large, F.col("star")).alias("pure"), F.when(large, F.ceil(F.col("size") / BLOCK)).otherwise(F.greatest("shared", F.lit(1))).alias("n"))
+    at = F.when(F.col("pure").isNotNull(), F.xxhash64("pure", F.pmod(F.xxhash64("node"), F.col("n")))).otherwise(F.pmod(F.xxhash64("star", F.lit(1)), F.col("n")))
+    inside = stored(stars.select("node", "star").join(placed, "star").select("node", "star", "family", "pure", at.alias("block")), "inside")
+    blocks = inside.groupBy("family", "block").agg(F.min("pure").alias("pure"))
+    p, q = (blocks.select("family", F.col("block").alias(x), F.col("pure").alias(f"pure_{x}")) for x in ("p", "q"))
+    jobs = p.join(q, "family").where((F.col("p") <= F.col("q")) & ~F.coalesce(F.col("pure_p") == F.col("pure_q"), F.lit(False)))
+    jobs = stored(jobs.select("family", "p", "q"), "jobs")
+    side = lambda at, k: (jobs if k == 0 else jobs.where("p <> q")).join(inside.select("family", F.col("block").alias(at), "node", "star"), ["family", at]).select("family", "p", "q", F.lit(k).alias("side"), "node", "star")
+    sides = side("p", 0).unionByName(side("q", 1)).join(texts, "node")
+    compared = stored(streamed(sides, ["family", "p", "q"], ["side", "node"], _Compare, "a BINARY, b BINARY, n BIGINT"), "compared")
+
+    # links per node, and classes of linked stars
+    more = compared.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("m"))
+    counts = stars.select("node", "star").join(sizes.select("star", "size"), "star").join(more, "node", "left")
+    counts = counts.select("node", "star", (F.col("size") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    found = components(compared.where("b IS NOT NULL").select("a", "b"))
     grouped = counts.join(found.select(F.col("node").alias("star"), "root"), "star", "left").select("node", F.coalesce("root", "star").alias("root"), "n_links")
     grouped = stored(nodes.select("node", "doc_id", "n_copies").join(grouped, "node", "left").select("node", "doc_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "grouped")
     names = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
