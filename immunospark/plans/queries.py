@@ -385,3 +385,105 @@ def em_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     compat = e.select((F.col("user_id") % 50).alias("contig"), F.col("event_id").alias("read"), "event_type").withColumn("variant", F.explode(F.when(F.col("read") % 3 == 0, F.array("event_type")).otherwise(F.array("event_type", F.lit("other")))))
     return em.abundances(compat)
+
+
+# ---- clusters, intervals, AIRR, alignments ---------------------------------------------------------
+
+from ..operators import airr, cluster, intervals  # noqa: E402
+
+_NODES = "SELECT c_mktsegment AS v, CAST(c_nationkey AS STRING) AS j, translate(lpad(CAST(c_custkey * 7 AS STRING), 10, '0'), '0123456789', 'ACGTACGTAC') AS cdr3, c_custkey AS id, c_acctbal AS amount FROM {customer}"
+
+
+@query(f"""WITH RECURSIVE n AS ({_NODES.format(customer='customer')}), d AS (SELECT DISTINCT v, j, cdr3 FROM n),
+e AS (SELECT a.v, a.j, a.cdr3 AS a, b.cdr3 AS b FROM d a JOIN d b USING (v, j) WHERE hamming(a.cdr3, b.cdr3) <= 2),
+r(v, j, a, b) AS (SELECT * FROM e UNION SELECT r.v, r.j, r.a, e.b FROM r JOIN e ON r.v = e.v AND r.j = e.j AND r.b = e.a)
+SELECT id, n.v || '|' || n.j || '|10|' || m AS cluster FROM n JOIN (SELECT v, j, a, min(b) AS m FROM r GROUP BY v, j, a) x ON x.v = n.v AND x.j = n.j AND x.a = n.cdr3""")
+def hamming_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_NODES, customer=table(spark, sf_dir, "customer"))
+    return cluster.single_linkage(rows, 0.8).select("id", "cluster")
+
+
+@query()
+def center_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.centers(spark.sql(_NODES, customer=table(spark, sf_dir, "customer")), 0.8, amount="amount")
+
+
+@query(f"""WITH n AS ({_NODES.format(customer='customer')}), s AS (SELECT v, cdr3, sum(amount) AS a FROM n GROUP BY v, cdr3)
+SELECT v, arg_min(cdr3, (-a, cdr3)) AS cdr3, round(max(a), 6) AS amount FROM s GROUP BY v""")
+def cluster_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_NODES, customer=table(spark, sf_dir, "customer"))
+    return _rounded(cluster.representatives(rows, "v", amount="amount"), "amount", digits=6)
+
+
+@query("""WITH a AS (SELECT event_id, user_id % 50 AS chrom, floor(epoch(ts) / 60)::BIGINT AS start, floor(epoch(ts) / 60)::BIGINT + event_id % 90 AS stop FROM events),
+g AS (SELECT user_id % 50 AS chrom, floor(epoch(ts) / 60)::BIGINT + 40 AS start, floor(epoch(ts) / 60)::BIGINT + 60 AS stop FROM events WHERE event_type = 'purchase')
+SELECT event_id, chrom, start, stop AS "end" FROM a WHERE EXISTS (SELECT 1 FROM g WHERE g.chrom = a.chrom AND a.start <= g.stop AND a.stop > g.start)""")
+def interval_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    at = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 60)
+    rows = e.select("event_id", (F.col("user_id") % 50).alias("chrom"), at.alias("start"), (at + F.col("event_id") % 90).alias("end"))
+    found = e.where("event_type = 'purchase'").select((F.col("user_id") % 50).alias("chrom"), (at + 40).alias("start"), (at + 60).alias("end"))
+    return intervals.overlapping(rows, found, ["event_id"], 1440)
+
+
+_CONTIG = "translate(md5('c' || CAST(ordinal % 900 AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query(f"""WITH {_CALLED}, k AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY ordinal) - 1 AS i FROM kept),
+x AS (SELECT cid, min_by({_CONTIG}, ordinal) || min_by({_CONTIG}, ordinal) AS seq FROM kept GROUP BY cid)
+SELECT cid || '_' || i AS sequence_id, substr(seq, 1, 20) || cdr3 || substr(seq, 42) AS sequence,
+  CASE WHEN length(cdr3) % 3 <> 0 OR regexp_matches({_aa('cdr3')}, '[_?]') THEN 'F' ELSE 'T' END AS productive,
+  CASE WHEN length(cdr3) % 3 <> 0 OR regexp_matches({_aa('cdr3')}, '[_?]') THEN '' ELSE {_aa('cdr3')} END AS junction_aa, count AS consensus_count
+FROM k JOIN x USING (cid)""")
+def airr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = report.error_filter(report.with_genes(cdr3_rows(spark, sf_dir))).withColumn("_s", F.expr(_CONTIG))
+    hits = "array<struct<gene:string,ref_len:int,read_start:int,read_end:int,ref_start:int,ref_end:int,similarity:double>>"
+    seq = F.min_by("_s", "ordinal")
+    ann = kept.groupBy("cid").agg(F.concat(seq, seq).alias("seq")).withColumns(
+        {"cdr3": F.struct(F.lit(20).alias("start"), F.lit(40).alias("end"), F.lit(100.0).alias("score")), **{f"cdr{k}": F.struct(F.lit("A").alias("seq")) for k in (1, 2)}, **{g: F.array().cast(hits) for g in "vdjc"}}
+    )
+    got = airr.rearrangements(kept.withColumnRenamed("cdr3", "cdr3nt"), ann)
+    return got.select("sequence_id", "sequence", "productive", "junction_aa", "consensus_count")
+
+
+@query(f"""WITH r AS ({READS_DUCK}), f AS (SELECT doc_id, max(CASE WHEN part = 0 THEN seq END) AS a, max(CASE WHEN part = 1 THEN seq END) AS b FROM r WHERE part < 2 GROUP BY doc_id)
+SELECT doc_id, a AS seq1, {_rc('b')} AS seq2 FROM f""".replace("reverse(translate(b, 'ACGT', 'TGCA'))", "reverse(translate(b, 'ACGT', 'TGCA'))"))
+def mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir).where("part < 2")
+    rows = r.select(F.col("doc_id").alias("name"), F.when(F.col("part") == 0, F.lit(0x41)).otherwise(0x91).alias("flag"), "seq", F.lit(None).cast("string").alias("qual"))
+    got = intervals.pairs_of_candidates(rows, rows)
+    return got.select(F.col("name").alias("doc_id"), "seq1", "seq2")
+
+
+@query("""SELECT max(l_quantity)::BIGINT AS longest, avg(l_linenumber) > 3.5 AS late FROM lineitem""")
+def library_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(
+        F.when(F.col("l_linenumber") > 3, 1).otherwise(0).alias("flag"), F.repeat(F.lit("A"), F.col("l_quantity").cast("int")).alias("seq"),
+        F.lit(0).alias("pos"), F.col("l_partkey").cast("int").alias("mate_pos"), F.lit(True).alias("same_chrom"),
+    )
+    return intervals.library_profile(rows, None).select(F.col("max_len").cast("bigint").alias("longest"), F.col("paired").alias("late"))
+
+
+SQL["library_facts"] = "SELECT max(l_quantity)::BIGINT AS longest, avg(CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END) > 0.5 AS late FROM lineitem"
+
+
+@query(f"""WITH {_CALLED}, k AS (SELECT * FROM kept WHERE locus IS NOT NULL),
+o AS (SELECT *, first_value(locus) OVER (PARTITION BY regexp_replace(cid, '_[^_]*$', '') ORDER BY count DESC, cdr3, v NULLS FIRST, j NULLS FIRST, cid) AS l0 FROM k),
+s AS (SELECT *, CASE WHEN locus LIKE 'IG%' THEN 0 WHEN locus IN ('TRA', 'TRB') THEN 1 ELSE 2 END AS t, CASE WHEN l0 LIKE 'IG%' THEN 0 WHEN l0 IN ('TRA', 'TRB') THEN 1 ELSE 2 END AS t0 FROM o),
+p AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(cid, '_[^_]*$', ''), locus IN ('IGH', 'TRB', 'TRD') ORDER BY count DESC, cdr3, v NULLS FIRST, j NULLS FIRST, cid) AS r FROM s WHERE t = t0)
+SELECT regexp_replace(cid, '_[^_]*$', '') AS cell, cid, cdr3 AS cdr3nt, count, r::INT AS rank FROM p WHERE r <= 2""")
+def top_n_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = report.error_filter(report.with_genes(cdr3_rows(spark, sf_dir))).withColumn("cell", genes.barcode_of(F.col("cid"))).withColumnRenamed("cdr3", "cdr3nt")
+    return report.top_per_cell(kept, 2).select("cell", "cid", "cdr3nt", "count", "rank")
+
+
+@query("""WITH h AS (SELECT l_orderkey AS contig, l_partkey % 40 AS gene, l_quantity AS weight, l_linenumber + 10 AS length, ordinal FROM (SELECT *, l_linenumber AS ordinal FROM lineitem)),
+b AS (SELECT contig, min(gene) AS gene, any_value(weight) AS w FROM h GROUP BY contig), a AS (SELECT h.gene, sum(weight / length) AS abundance FROM h GROUP BY gene),
+e AS (SELECT contig, gene, 0 AS o FROM b UNION ALL SELECT contig, gene, 1 + gene FROM h)
+SELECT contig, arg_max(gene, (round(abundance, 6), -o)) AS gene FROM e JOIN a USING (gene) GROUP BY contig""")
+def gene_tie_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("contig"), (F.col("l_partkey") % 40).alias("gene"), F.col("l_quantity").alias("weight"), (F.col("l_linenumber") + 10).alias("length"))
+    best = h.groupBy("contig").agg(F.min("gene").alias("gene")).withColumn("type", F.lit("V"))
+    equals = h.select("contig", F.lit("V").alias("type"), "gene", F.col("gene").alias("ordinal"))
+    return pileup.break_ties(best, equals, _rounded(pileup.gene_abundance(h), "abundance", digits=6)).select("contig", "gene")
