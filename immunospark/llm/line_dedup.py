@@ -25,12 +25,17 @@ an empty table gives no rows; all columns of the documents stay, and those that
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANK, stored, table
+from .shared import stored, table
 
 DEPTH = 3
 SEGMENTS = 8
@@ -38,24 +43,54 @@ MIN_TOKENS = 3
 #: Segments that a line needs for each that is generalised.
 PER_FIELD = 4
 _LEAST = -(1 << 63)
+_DIGIT = re.compile(rb"[0-9]")
+
+
+LINES = "_doc BIGINT, _text BIGINT, _n INT, leaf BIGINT, line BIGINT, k INT, a BIGINT, b BIGINT"
+
+
+def parse(line: bytes) -> tuple[int, int, int, int, int] | None:
+    """leaf, line, k, a, b of a line: hashes of its path and of itself, its segments' number and 16-bit hashes, four in a and four in b."""
+    tokens = line.split()  # of bytes: at ASCII blanks alone
+    n = len(tokens)
+    if n < MIN_TOKENS:
+        return None
+    if _DIGIT.search(line):
+        tokens = [b"<*>" if _DIGIT.search(t) else t for t in tokens]
+    rest, packed = n - DEPTH, [0, 0]
+    k = min(rest, SEGMENTS) if rest >= PER_FIELD else 0
+    for j in range(k):
+        part = b" ".join(tokens[DEPTH + j * rest // k : DEPTH + (j + 1) * rest // k])
+        packed[j >> 2] |= (xxhash.xxh3_64_intdigest(part) & 0xFFFF) << 16 * (j & 3)
+    return xxhash.xxh3_64_intdigest(b"%d " % n + b" ".join(tokens[:DEPTH])), xxhash.xxh3_64_intdigest(b" ".join(tokens)), k, *packed
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """A row per line that can be dropped: _doc, _text (its text's hash), _n (line number from 0), leaf, line, segs."""
-    keyed = docs.where(F.col("text").isNotNull()).select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias("_doc"), F.xxhash64("text").alias("_text"),
-        F.posexplode(F.split("text", "\n")).alias("_n", "_line"),
-    )
-    masked = F.when(F.col("_line").rlike(r"\d"), F.regexp_replace("_line", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\d]*\d[^\x20\x09-\x0D]*", "<*>")).otherwise(F.col("_line"))
-    tokens = keyed.select("_doc", "_text", "_n", F.filter(F.split(masked, f"{BLANK}+"), lambda t: t != "").alias("_t")).where(F.size("_t") >= MIN_TOKENS)
-    rest = F.size("_t") - DEPTH
-    k = F.least(rest, F.lit(SEGMENTS))
-    # segment j holds the tokens from j * rest / k up to (j + 1) * rest / k, after the leading ones
-    segment = lambda j: F.hash(F.slice("_t", 1 + DEPTH + F.floor(j * rest / k).cast("int"), (F.floor((j + 1) * rest / k) - F.floor(j * rest / k)).cast("int")))
-    segs = F.when(rest >= PER_FIELD, F.transform(F.sequence(F.lit(0), k - 1), segment))
-    return tokens.select(
-        "_doc", "_text", "_n", F.xxhash64(F.size("_t"), F.slice("_t", 1, DEPTH)).alias("leaf"), F.xxhash64("_t").alias("line"), segs.alias("segs")
-    )
+    """A row per line that can be dropped: _doc, _text (its text's hash), _n (line number from 0), and what parse() gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, number, found = [], [], []
+            for i, text in enumerate(batch.column("text")):
+                for n, line in enumerate(text.as_py().split(b"\n")):
+                    if (got := parse(line)) is not None:
+                        owner.append(i)
+                        number.append(n)
+                        found.append(got)
+                if len(found) > 100_000 or i == batch.num_rows - 1:
+                    at = pa.array(owner, pa.int32())
+                    cols = [np.array(c, dtype=np.uint64).view(np.int64) for c in zip(*found)] or [np.empty(0, dtype=np.int64)] * 5
+                    cols[2] = cols[2].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("_doc").take(at), batch.column("_text").take(at), pa.array(number, pa.int32()), *map(pa.array, cols)],
+                        names=["_doc", "_text", "_n", "leaf", "line", "k", "a", "b"],
+                    )
+                    owner, number, found = [], [], []
+
+    rows = docs.where(F.col("text").isNotNull())
+    return rows.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias("_doc"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text")
+    ).mapInArrow(run, LINES)
 
 
 def masks() -> list[tuple[int, tuple[int, ...]]]:
@@ -63,15 +98,21 @@ def masks() -> list[tuple[int, tuple[int, ...]]]:
     return [(max(c * PER_FIELD, max(m) + 1), m) for c in range(1, SEGMENTS // PER_FIELD + 1) for m in combinations(range(SEGMENTS), c)]
 
 
+def _seen(m: tuple[int, ...], half: int) -> int:
+    """The bits of a (half 0) or b (half 1) that mask m leaves, as a signed number."""
+    bits = sum(0xFFFF << 16 * (j & 3) for j in range(4 * half, 4 * half + 4) if j not in m)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def generalised(lines: DataFrame) -> DataFrame:
-    """leaf, line, lo: the smallest doc_id of the wildcard templates of lines that share one. lines: leaf, line, segs, lo, hi."""
+    """leaf, line, t_lo: the smallest doc_id of the wildcard templates of lines that share one. lines: leaf, line, k, a, b, lo, hi."""
     several = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("leaf")
-    shared = lines.where(F.col("segs").isNotNull()).join(several, "leaf")
-    keys = []
-    for need, m in masks():
-        hidden = [F.lit(None).cast("int") if j in m else F.get("segs", F.lit(j)) for j in range(SEGMENTS)]
-        # hidden segments are told by m, so that a template of one mask never equals one of another
-        keys.append(F.when(F.size("segs") >= need, F.xxhash64(F.lit(str(m)), *[F.coalesce(h.cast("bigint"), F.lit(1 << 40)) for h in hidden])))
+    shared = lines.where("k > 0").join(several, "leaf")
+    # what a mask hides is told by its number, so that a template of one mask never equals one of another
+    keys = [
+        F.when(F.col("k") >= need, F.xxhash64(F.lit(number), "k", F.col("a").bitwiseAND(F.lit(_seen(m, 0))), F.col("b").bitwiseAND(F.lit(_seen(m, 1)))))
+        for number, (need, m) in enumerate(masks())
+    ]
     spread = shared.select("leaf", "line", "lo", "hi", F.explode(F.array_compact(F.array(*keys))).alias("template"))
     found = spread.groupBy("leaf", "template").agg(F.min("lo").alias("t_lo"), F.max("hi").alias("t_hi"), F.count(F.lit(1)).alias("_n"))
     found = found.where("_n > 1 AND t_lo < t_hi").select("leaf", "template", "t_lo")
@@ -81,7 +122,7 @@ def generalised(lines: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame) -> DataFrame:
     """_doc, _text, _dropped: the line numbers that each document loses."""
     rows = stored(parsed(docs), "lines")
-    lines = stored(rows.groupBy("leaf", "line").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"), F.first("segs").alias("segs")), "templates")
+    lines = stored(rows.groupBy("leaf", "line").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"), *[F.min(c).alias(c) for c in ("k", "a", "b")]), "templates")
     wide = stored(generalised(lines), "wildcards")
     first = lines.select("leaf", "line", "lo", "hi").join(wide, ["leaf", "line"], "left")
     first = first.select("leaf", "line", F.least("lo", "t_lo").alias("lo"), "hi").where("lo < hi").drop("hi")
