@@ -41,7 +41,7 @@ END_TOKEN = 1
 TOKENIZER = "word_bpe_49k.json"
 ITEMS = 8_000
 ROUNDS = 4
-#: Words whose ids a task remembers.
+#: Words whose ids a worker remembers.
 MEMORY = 600_000
 
 PIECES = "item BIGINT, doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
@@ -54,37 +54,43 @@ _BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 _COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
+def byte_letters() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+class _Known(dict):
+    """The ids of pre-tokens, or of words between blanks, as bytes; the first MEMORY seen are remembered."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.ids(word)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < MEMORY:
+            self[word] = out
+        return out
+
+
 class WordTokens:
     """The token ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[str], pretokens: bool) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known = {}
-            new = list(words)
-        if pretokens:
-            # the byte-level alphabet maps printable ASCII to itself, so such pre-tokens can go to the model at once
-            plain, new = [w for w in new if w.isascii() and w.isprintable()], [w for w in new if not (w.isascii() and w.isprintable())]
-            split = self.tokenizer.model.tokenize
-            self.known.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in ((w, [t.id for t in split(w)]) for w in plain))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(part, got))
+        tokenizer = Tokenizer.from_file(path)
+        model, letters = tokenizer.model, byte_letters()
+        self.pretokens = _Known(lambda w: [t.id for t in model.tokenize(w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]))])
+        self.words = _Known(lambda w: tokenizer.encode(w, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        pretokens = not _OTHERS.search(text)
-        words = _PRETOKENS.findall(text.lower()) if pretokens else _BLANKS.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words), pretokens)
-            return b"".join(map(self.known.__getitem__, words))
+        if _OTHERS.search(text):
+            return b"".join(map(self.words.__getitem__, _BLANKS.split(text)))
+        return b"".join(map(self.pretokens.__getitem__, _PRETOKENS.findall(text.lower())))
 
 
 #: A task's tokenizers, kept for the next task of the same worker.
