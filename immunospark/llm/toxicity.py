@@ -1,14 +1,14 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels say whether a document is toxic, not where. Token labels are therefore derived from the
-labelled documents: a word is an offence if its document frequency in toxic documents exceeds that
-in others by a clear log-odds, and in toxic documents offences are tagged 1, all other tokens 0. On
+labelled documents: a word is an offence if it is more frequent in toxic documents than in others by
+log-odds whose lower bound is clear, and in toxic documents offences are tagged 1, all other tokens 0. On
 those tagged tokens a two-state linear-chain CRF is fitted (penalised likelihood, forward-backward
 gradients). Per document, forward-backward marginals of the whole token sequence give the spans
 whose marginal is at least SPAN and three sums that a logistic layer, fitted on the same labelled
 documents, turns into the score.
 
-Words outside the vocabulary share one potential, so runs of them are powers of one 2x2 matrix:
+The vocabulary holds offences and beginnings of words that are. Other words share one potential, so runs of them are powers of one 2x2 matrix:
 the recursion only stops at vocabulary words, whatever the length of the text.
 
 The model is fitted on a bounded sample, SAMPLE_DOCS labelled documents of either label, drawn by
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +35,10 @@ from .shared import fold, table
 
 SAMPLE_DOCS = 2500
 VOCABULARY = 5000
-#: Documents that a word must be in, and its least log-odds, to be an offence.
-MIN_DF, MIN_LOG_ODDS = 3, 2.5
+#: Toxic documents that a word must be in, their least share, and the 95% lower bound that its log-odds must have, to be an offence.
+MIN_DF, MIN_SHARE, MIN_LOG_ODDS = 4, 0.01, 2.0
+#: Letters of a word's beginning.
+STEM = 5
 PENALTY = 1e-3
 STEPS = 150
 WINDOW = 24
@@ -50,18 +52,37 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def stem(word: str) -> str:
+    """The beginning of a word, by which its relatives are told; `*` is no word character."""
+    return word[:STEM] + "*"
+
+
 def offences(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Words that tell toxic documents from others."""
-    df: list[Counter] = [Counter(), Counter()]
+    """Words, and beginnings of words, that tell toxic documents from others.
+
+    A word counts in toxic documents by the different neighbours it has there, at most one pair a
+    document, so that copies of one document count as one; in others it counts by documents.
+    """
     n = Counter(y for _, y in docs)
+    clean: Counter = Counter()
+    around: dict[str, set] = defaultdict(set)
     for ws, y in docs:
-        df[y].update(set(ws))
+        if not y:
+            clean.update({*ws, *map(stem, ws)})
+            continue
+        seen: dict[str, tuple] = {}
+        for before, w, after in zip(["", *ws], ws, [*ws[1:], ""]):
+            seen.setdefault(w, (before, after))
+            seen.setdefault(stem(w), (before, after))
+        for w, pair in seen.items():
+            around[w].add(pair)
+    least = max(MIN_DF, math.ceil(MIN_SHARE * n[1]))
+    toxic = {w: len(x) for w, x in around.items() if len(x) >= least}
     odds = {
-        w: math.log((k + 0.5) / (n[1] - k + 0.5)) - math.log((df[0][w] + 0.5) / (n[0] - df[0][w] + 0.5))
-        for w, k in df[1].items() if k >= MIN_DF
+        w: math.log((k + 0.5) / (n[1] - k + 0.5)) - math.log((clean[w] + 0.5) / (n[0] - clean[w] + 0.5)) - 1.645 * math.sqrt(1 / (k + 0.5) + 1 / (clean[w] + 0.5))
+        for w, k in toxic.items()
     }
-    # a word that is frequent where it occurs at all beats one that a few copies of a document repeat
-    strong = {w: o * math.sqrt(df[1][w]) for w, o in odds.items() if o >= MIN_LOG_ODDS}
+    strong = {w: o * math.sqrt(toxic[w]) for w, o in odds.items() if o >= MIN_LOG_ODDS}
     return set(sorted(strong, key=lambda w: (-strong[w], w))[:VOCABULARY])
 
 
@@ -69,13 +90,23 @@ class Crf:
     """Two states; a potential per vocabulary word (0: any other word), and transitions."""
 
     def __init__(self, vocabulary: list[str]):
-        self.index = {w: i + 1 for i, w in enumerate(vocabulary)}
+        self.known = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.emit = np.zeros((len(vocabulary) + 1, 2))
         self.move = np.zeros((2, 2))
         self.layer = np.zeros(4)
         self.fitted = False
         self.powers: np.ndarray | None = None
 
+    def ids(self, ws: list[str]) -> tuple[list[int], list[int]]:
+        """Positions of vocabulary words, and their numbers: of the word itself, else of its beginning."""
+        known, at, out = self.known, [], []
+        for i, w in enumerate(ws):
+            n = known.get(w) or known.get(w[:STEM] + "*")
+            if n:
+                at.append(i)
+                out.append(n)
+        return at, out
+
     def fit(self, seqs: np.ndarray, tags: np.ndarray) -> None:
         """seqs, tags: windows of word ids and labels, all of one length; Adam on the mean log-likelihood."""
         s, t = seqs.shape
@@ -152,10 +183,10 @@ class Crf:
 
     def features(self, text: str | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
         ws = words(text)
-        at = [i for i, w in enumerate(ws) if w in self.index]
+        at, numbers = self.ids(ws)
         if not at:
             return np.array([1.0, 0.0, 0.0, 0.0]), []
-        got = self.marginals(at, [self.index[ws[i]] for i in at], len(ws))
+        got = self.marginals(at, numbers, len(ws))
         spans: list[tuple[int, int]] = []
         offending = {i for i, p in zip(at, got) if p >= SPAN}
         if offending:
@@ -185,7 +216,9 @@ def fitted(docs: list[tuple[str, int]]) -> Crf:
     crf = Crf(sorted(bad))
     seqs, tags = [], []
     for ws, y in tokens:
-        ids = np.array([crf.index.get(w, 0) for w in ws], dtype=np.int64)
+        ids = np.zeros(len(ws), dtype=np.int64)
+        at, numbers = crf.ids(ws)
+        ids[at] = numbers
         if len(ids) < WINDOW:
             continue
         starts = {min(max(0, i - WINDOW // 2), len(ids) - WINDOW) for i in np.flatnonzero(ids)[:8]} | {0}
