@@ -64,7 +64,7 @@ def learned(rows: DataFrame) -> dict[str, bytes]:
     got = rows.where(draw < share).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
     out: dict[str, bytes] = {}
     for lang in counts:  # from most labelled rows to fewest, which settles ties
-        texts = [letters(r["text"]) for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: r["doc_id"])]
+        texts = [letters(r["text"]) for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
         # zstandard finds the end of a dictionary cheapest, so the last bytes are the ones to keep
         out[lang] = b" ".join(dict.fromkeys(texts[:SAMPLE_DOCS]))[-DICT_BYTES:]
     return {k: v for k, v in out.items() if len(v) >= 8}
