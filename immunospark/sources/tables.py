@@ -104,7 +104,7 @@ def parse_contigs(lines: DataFrame) -> DataFrame:
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     """Each file is one text, so that its lines can be numbered."""
     whole = spark.read.text(path, wholetext=True)
-    return parse_contigs(whole.select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("line_no", "value")))
+    return parse_contigs(whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("line_no", "value")))
 
 
 def parse_assembled_reads(fasta: DataFrame) -> DataFrame:
