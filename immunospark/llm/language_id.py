@@ -23,13 +23,14 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, table
+from .shared import fold, small_batches, table
 
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 1500
@@ -105,6 +106,7 @@ class Classifier:
 
 def predicted(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Classifier(dictionaries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,14 +124,15 @@ def predicted(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Classifier(dictionaries))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array([not model.predict(t)[3] for t in batch.column("text").to_pylist()], pa.bool_()))
+    @F.pandas_udf("boolean")
+    def keeps(texts: pd.Series) -> pd.Series:
+        # only texts go to Python and only flags come back
+        return pd.Series([not shared.value.predict(t)[3] for t in texts], dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(keeps(F.col("text").cast("string")))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

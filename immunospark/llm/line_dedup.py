@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import small_batches, stored, table
 
 DEPTH = 3
 SEGMENTS = 8
@@ -87,6 +87,7 @@ def parsed(docs: DataFrame) -> DataFrame:
                     )
                     owner, number, found = [], [], []
 
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("text").isNotNull())
     return rows.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias("_doc"), F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, stored, table
+from .shared import shuffle_partitions, small_batches, stored, table
 
 WORDS = 5
 #: The threshold as a fraction: similarity >= OVER / UNDER.
@@ -60,7 +60,7 @@ class _Hashes(dict):
     """64-bit hashes of words, remembered up to a number of them."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -306,6 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links (other shingle sets at least 0.8 similar), n_copies (documents of its own set, itself included)."""
+    small_batches(docs.sparkSession)
     every = stored(signed(docs), "signed")
     rows = every.where(F.col("node").isNotNull())
     # one row per shingle set; the smallest doc_id that has it tells where its text is

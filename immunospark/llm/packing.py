@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import small_batches, stored, table
 
 CAPACITY = 4096
 END_TOKEN = 1
@@ -42,7 +42,7 @@ TOKENIZER = "word_bpe_49k.json"
 ITEMS = 8_000
 ROUNDS = 4
 #: Words whose ids a worker remembers.
-MEMORY = 600_000
+MEMORY = 400_000
 
 PIECES = "item BIGINT, doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 #: The tokenizer's pre-token pattern over the characters up to U+017F, whose lower case and
@@ -114,6 +114,7 @@ def tokenizer_path(path: str | None) -> str:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """item (any unique number), doc_id, piece, start, length, ids_crc32 of every piece."""
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = word_tokens(tokenizer_path(path)), np.array([END_TOKEN], dtype="<u4").tobytes()
         item = TaskContext.get().partitionId() << 36

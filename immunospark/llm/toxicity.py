@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, table
+from .shared import fold, small_batches, table
 
 SAMPLE_DOCS = 2500
 VOCABULARY = 5000
@@ -251,6 +251,7 @@ def training(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 
 def scored(docs: DataFrame, model: Crf) -> DataFrame:
     """doc_id, score, spans (code-point offsets of offending words, end exclusive)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
