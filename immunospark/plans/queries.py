@@ -534,3 +534,53 @@ def mate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"), dna.reverse_complement(F.substr(both, F.lit(101), F.lit(100))).alias("seq_2"), F.repeat(F.lit("I"), F.lit(100)).alias("qual_2")
     )
     return mates.resolve_pairs(pairs).select("id", "seq", "merged")
+
+
+# ---- assembly and annotation -----------------------------------------------------------------------
+
+from ..operators import annotate, assemble  # noqa: E402
+
+
+@query()
+def assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs of each document's reads: the document stands for the barcode."""
+    r = reads(spark, sf_dir).select(F.col("doc_id").cast("string").alias("cell"), "id", "seq", F.lit(1).alias("min_cnt"), F.lit(1).alias("median_cnt"), F.lit(1.0).alias("avg_cnt"))
+    return assemble.assemble(r, ["cell"], assemble.BARCODE_OVERLAP, True).select("cell", "contig", "consensus", "n_reads")
+
+
+@query()
+def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene hits of reads against the benchmark passages as genes of one locus."""
+    kind = F.when(F.col("gene_idx") % 2 == 0, "V").otherwise("J")
+    none = F.lit(None).cast("struct<a:int,b:int>")
+    ref = _reference(spark, sf_dir).select(
+        "gene_idx", F.concat(F.lit("IGH"), kind, F.col("gene_idx").cast("string")).alias("name"), "seq", kind.alias("gene_type"), F.lit("IGH").alias("locus"),
+        none.alias("cdr1"), none.alias("cdr2"), F.lit(None).cast("int").alias("cdr3_start"), F.lit(None).cast("int").alias("j_end"),
+    )
+    got = annotate.annotate(reads(spark, sf_dir).select(F.col("id").alias("cid"), "seq"), ref)
+    first = lambda c: F.get(c, F.lit(0))
+    return got.select("cid", *[first(c).gene.alias(f"{c}_gene") for c in "vj"], *[first(c).read_start.alias(f"{c}_start") for c in "vj"])
+
+
+# ---- contained contigs and mate edges ----------------------------------------------------------------
+
+from ..operators import contained as inside  # noqa: E402
+
+_PIECES = """SELECT cid, seq FROM (SELECT CAST(gene_idx AS STRING) AS cid, seq FROM ref UNION ALL SELECT concat(CAST(gene_idx AS STRING), 'p'), concat(substr(seq, 8, 30), 'A', substr(seq, 39, 20)) FROM ref
+UNION ALL SELECT concat(CAST(gene_idx AS STRING), 'q'), concat(substr(seq, 3, 20), 'AA', substr(seq, 25, 30)) FROM ref)"""
+
+
+@query(f"""WITH ref AS ({_REF.format(all=", 'g'", benchmark='benchmark')}), s AS ({_PIECES}),
+p AS (SELECT a.cid, b.cid AS host, a.seq, b.seq AS h, unnest(range(0, length(b.seq) - length(a.seq) + 1)) AS pl FROM s a JOIN s b ON a.cid <> b.cid AND length(b.seq) > length(a.seq) AND length(a.seq) >= 30)
+SELECT DISTINCT cid, host FROM p WHERE hamming(seq, substr(h, pl + 1, length(seq))) <= 1""")
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = spark.sql(_PIECES.replace("FROM ref", "FROM {ref}"), ref=_reference(spark, sf_dir))
+    return inside.contained(pieces)
+
+
+@query("""WITH p AS (SELECT o_orderkey AS fragment, o_custkey % 60 AS contig, o_orderkey % 100 AS off FROM orders UNION ALL SELECT l_orderkey, l_suppkey % 60, l_linenumber FROM lineitem WHERE l_linenumber = 1)
+SELECT a.contig AS src, b.contig AS dst, count(*) AS n, min(a.off) AS first, max(a.off) AS last FROM p a JOIN p b USING (fragment) WHERE a.contig <> b.contig GROUP BY a.contig, b.contig""")
+def mate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment"), (F.col("o_custkey") % 60).alias("contig"), (F.col("o_orderkey") % 100).alias("offset"))
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("fragment"), (F.col("l_suppkey") % 60).alias("contig"), F.col("l_linenumber").cast("bigint").alias("offset"))
+    return inside.mate_edges(o.unionByName(li))

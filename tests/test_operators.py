@@ -303,3 +303,53 @@ def test_assembly_of_a_tiled_sequence(spark):
     assert {g: r.consensus for g, r in found.items()} == truth and all(r.n_reads == 24 for r in found.values())
     places = {r.id: (r.contig, r.offset) for r in assemble.assigned(reads.dropDuplicates(["id"]), got, ["g"]).collect()}
     assert places == {f"{g}{k}": (0, k) for g in "xy" for k in range(0, 221, 20)}
+
+
+def bam_bytes(rows):
+    """A BAM file of (name, flag, ref, pos, cigar, seq, qual, tags)."""
+    import gzip
+    import struct
+
+    from immunospark.sources import bam
+
+    names = [b"chr1", b"chr2"]
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 2) + b"".join(struct.pack("<i", 5) + n + b"\0" + struct.pack("<i", 1000) for n in names)
+    out = [head]
+    for name, flag, ref, pos, cigar, seq, qual, tags in rows:
+        ops = [(int(n) << 4) | bam._OPS.index(c) for n, c in cigar]
+        bases = [bam._BASES.index(b) for b in seq] + [0] * (len(seq) % 2)
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 60, 0, len(ops), flag, len(seq), ref, pos + 50, 0) + name.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops)
+        body += bytes(bases[k] << 4 | bases[k + 1] for k in range(0, len(bases), 2)) + bytes(ord(q) - 33 for q in qual)
+        body += b"".join(t.encode() + b"Z" + v.encode() + b"\0" if isinstance(v, str) else t.encode() + b"i" + struct.pack("<i", v) for t, v in tags.items())
+        out.append(struct.pack("<i", len(body)) + body)
+    data = b"".join(out)
+    return b"".join(gzip.compress(data[k : k + 100]) for k in range(0, len(data), 100)) + gzip.compress(b"")
+
+
+def test_bam_and_sam_agree(spark, tmp_path):
+    from immunospark.sources.bam import read_bam, read_sam
+
+    rows = [("r1", 0x41, 0, 9, [(3, "M"), (10, "N"), (2, "M")], "ACGTA", "IIII#", {"CB": "AAAC-1", "NM": 2}), ("r2", 0x91, 1, 99, [(4, "S"), (1, "M")], "TTTTN", "#####", {})]
+    (tmp_path / "x.bam").write_bytes(bam_bytes(rows))
+    text = ["@HD\tVN:1.6"]
+    for name, flag, ref, pos, cigar, seq, qual, tags in rows:
+        text.append("\t".join([name, str(flag), f"chr{ref + 1}", str(pos + 1), "60", "".join(f"{n}{c}" for n, c in cigar), "=", str(pos + 51), "0", seq, qual, *[f"{t}:{'Z' if isinstance(v, str) else 'i'}:{v}" for t, v in tags.items()]]))
+    (tmp_path / "x.sam").write_text("\n".join(text) + "\n")
+    one = read_bam(spark, str(tmp_path / "x.bam")).drop("file_ord", "ordinal").orderBy("name").collect()
+    two = read_sam(spark, str(tmp_path / "x.sam")).orderBy("name").collect()
+    assert one == two and one[0].tags["CB"] == "AAAC-1" and one[0].cigar == "3M10N2M"
+
+
+def test_hit_filters(spark):
+    from immunospark.operators import filters
+
+    hit = lambda a, b, c=0, d=10, n=11: F.struct(F.lit(n).alias("ref_len"), F.lit(a).alias("read_start"), F.lit(b).alias("read_end"), F.lit(c).alias("ref_start"), F.lit(d).alias("ref_end"))
+    none = F.when(F.lit(False), hit(0, 0))
+    cdr3 = F.struct(F.lit(90).alias("start"), F.lit(120).alias("end"))
+    got = spark.range(1).select(
+        filters.wrong_order([hit(0, 50), none, hit(30, 60), none]), filters.wrong_order([hit(0, 50), none, hit(45, 60), none]),
+        filters.constant_only(none, none, hit(0, 80, 210, 290), F.lit(81), F.lit(-1)), filters.constant_only(hit(0, 5), none, hit(0, 80, 210, 290), F.lit(81), F.lit(-1)),
+        filters.complete_vdj(hit(0, 95), hit(110, 140), cdr3, F.lit("ACGT")), filters.complete_vdj(hit(0, 95), hit(110, 140), cdr3, F.lit("ACGN")), filters.complete_vdj(hit(0, 95), none, cdr3, F.lit("A")),
+        filters.overlap_low_complexity(F.lit("AAAAACCCCCG"), F.lit(0), F.lit(10)), filters.overlap_low_complexity(F.lit("AAACCCGGG"), F.lit(0), F.lit(8)),
+    ).first()
+    assert tuple(got) == (True, False, True, False, True, False, False, True, False)
