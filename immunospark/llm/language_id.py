@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, small_batches, table
+from .shared import fold, small_batches, table, worker_cache
 
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 1500
@@ -83,6 +83,7 @@ class Classifier:
 
     def sizes(self, data: bytes) -> list[int]:
         if self.coders is None:
+            worker_cache("none", object)
             self.coders = []
             for raw in self.dictionaries.values():
                 d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored, table
+from .shared import small_batches, stored, table, worker_cache
 
 DEPTH = 3
 SEGMENTS = 8
@@ -69,6 +69,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     """A row per line that can be dropped: _doc, _text (its text's hash), _n (line number from 0), and what parse() gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none", object)
         for batch in batches:
             owner, number, found = [], [], []
             for i, text in enumerate(batch.column("text")):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, small_batches, stored, table
+from .shared import shuffle_partitions, small_batches, stored, table, worker_cache
 
 WORDS = 5
 #: The threshold as a fraction: similarity >= OVER / UNDER.
@@ -66,15 +66,12 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     ws = _WORD.findall(text.lower()) if text else []
     if not ws:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, ws), dtype=np.uint64, count=len(ws))
+    h = np.fromiter(map(worker_cache("hashes", _Hashes).__getitem__, ws), dtype=np.uint64, count=len(ws))
     n = max(1, len(h) - WORDS + 1)
     out = np.full(n, min(len(h), WORDS), dtype=np.uint64)
     for k in range(min(len(h), WORDS)):

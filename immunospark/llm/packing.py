@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored, table
+from .shared import small_batches, stored, table, worker_cache
 
 CAPACITY = 4096
 END_TOKEN = 1
@@ -42,7 +42,7 @@ TOKENIZER = "word_bpe_49k.json"
 ITEMS = 8_000
 ROUNDS = 4
 #: Words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 300_000
 
 PIECES = "item BIGINT, doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 #: The tokenizer's pre-token pattern over the characters up to U+017F, whose lower case and
@@ -93,16 +93,6 @@ class WordTokens:
         return b"".join(map(self.pretokens.__getitem__, _PRETOKENS.findall(text.lower())))
 
 
-#: A task's tokenizers, kept for the next task of the same worker.
-_tokenizers: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokens(path)
-    return _tokenizers[path]
-
-
 def tokenizer_path(path: str | None) -> str:
     if path is None:
         import public_tokenizers
@@ -116,7 +106,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = word_tokens(tokenizer_path(path)), np.array([END_TOKEN], dtype="<u4").tobytes()
+        where = tokenizer_path(path)
+        tokens, end = worker_cache(f"tokens {where}", lambda: WordTokens(where)), np.array([END_TOKEN], dtype="<u4").tobytes()
         item = TaskContext.get().partitionId() << 36
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six characters of [\x20\x09-\x0D], as a Java and a DuckDB regular expression class.
 BLANK = r"[\x20\x09-\x0D]"
 
+T = TypeVar("T")
+
 _fallback: list[str] = []
 
 
@@ -49,6 +58,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "8m")
 
 
+_caches: dict[str, object] = {}
+_stage: int | None = None
+
+
+def worker_cache(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps for the tasks of one stage. The first call of another stage's task drops all of it and gives the memory back, as workers live on from stage to stage."""
+    global _stage
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if stage != _stage:
+        _stage = stage
+        _caches.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what they keep
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    if name not in _caches:
+        _caches[name] = make()
+    return _caches[name]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
