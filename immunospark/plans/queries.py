@@ -9,7 +9,8 @@ from ..functions import cdr3 as fcdr3
 from ..functions import dna, genes, read_format
 from ..operators import barcode_report as br
 from ..operators import barcodes, diversity, em, kmers, pileup, report
-from .standins import CDR3, READS_DUCK, cdr3_rows, reads, table
+from ..operators.graph import cut
+from .standins import CDR3, READS_DUCK, cdr3_rows, reads, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -131,7 +132,7 @@ rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY barcode, locus
 
 @query(f"WITH {_CHAINS} SELECT barcode, locus, cid, cdr3 AS cdr3nt, aa AS cdr3aa, count FROM rep")
 def representative_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = br.chain_rows(cdr3_rows(spark, sf_dir)).where("rank > 0 AND locus IS NOT NULL")
+    rows = br.chain_rows(cdr3_rows(spark, sf_dir)).where("NOT partial AND locus IS NOT NULL")
     return br.representatives(rows).where("is_rep").select("barcode", "locus", "chain.cid", "chain.cdr3nt", "chain.cdr3aa", "chain.count")
 
 
@@ -162,7 +163,7 @@ _ORDER_CELLS = CDR3.replace("'B' || CAST(l_suppkey AS STRING) || '_' || CAST(l_o
 
 
 def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_ORDER_CELLS.replace("FROM lineitem)", "FROM {lineitem})"), lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(_ORDER_CELLS.replace("FROM lineitem)", "FROM {lineitem})"), lineitem=spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
 
 
 _ORDERS = _CELLS.replace(CDR3, _ORDER_CELLS)
@@ -177,7 +178,7 @@ fl AS (SELECT hit.barcode, bool_or(coalesce(CASE WHEN a.c1 IS NULL THEN b.c1 IS
   FROM hit JOIN two a ON a.barcode = hit.barcode JOIN two b ON b.barcode = hit.source GROUP BY hit.barcode)
 SELECT barcode, cell_type FROM two WHERE (c1 IS NOT NULL OR c2 IS NOT NULL) AND barcode NOT IN (SELECT barcode FROM fl WHERE x AND y)""")
 def denoise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return br.diffusion_filter(_pair_report(spark, sf_dir), high=40.0, share=0.2).select("barcode", "cell_type")
+    return br.diffusion_filter(cut(_pair_report(spark, sf_dir)), high=40.0, share=0.2).select("barcode", "cell_type")
 
 
 @query(f"""WITH {_ORDERS}
@@ -198,7 +199,7 @@ sec AS (SELECT *, row_number() OVER (PARTITION BY barcode, locus ORDER BY pushed
 
 @query(f"WITH {_SECONDARY} SELECT barcode, locus, k::INT AS k, cid, aa AS cdr3aa, count FROM sec")
 def secondary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = br.chain_rows(cdr3_rows(spark, sf_dir)).where("rank > 0 AND locus IS NOT NULL")
+    rows = br.chain_rows(cdr3_rows(spark, sf_dir)).where("NOT partial AND locus IS NOT NULL")
     got = br.secondaries(br.representatives(rows)).select("barcode", "locus", F.posexplode("others").alias("k", "x"))
     return got.select("barcode", "locus", (F.col("k") + 1).alias("k"), "x.cid", "x.cdr3aa", "x.count")
 
@@ -212,7 +213,7 @@ def secondary_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chain_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _order_cells(spark, sf_dir)
-    got = br.impute(br.barcode_report(rows), rows)
+    got = br.impute(cut(br.barcode_report(rows)), rows)
     return got.select("barcode", "cell_type", F.col("chain1.cid").alias("cid1"), F.col("chain2.cid").alias("cid2"))
 
 

@@ -52,9 +52,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a small file of one row group is one task otherwise, and what follows is far dearer than its rows are to deal out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cdr3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CDR3.replace("FROM lineitem)", "FROM {lineitem})"), lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(CDR3.replace("FROM lineitem)", "FROM {lineitem})"), lineitem=spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(READS_SPARK.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return spark.sql(READS_SPARK.replace("FROM documents", "FROM {documents}"), documents=spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
