@@ -159,7 +159,7 @@ def _pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return br.barcode_report(_order_cells(spark, sf_dir))
 
 
-_ORDER_CELLS = CDR3.replace("'B' || CAST(l_suppkey AS STRING) || '_' || CAST(l_orderkey % 500 AS STRING)", "'C' || CAST(l_orderkey AS STRING) || '_' || CAST((l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey AS STRING)")
+_ORDER_CELLS = CDR3.replace("'B' || CAST(l_suppkey AS STRING) || '_' || CAST(l_orderkey % 500 AS STRING)", "'C' || CAST(l_orderkey AS STRING) || '_' || CAST(((l_linenumber * CAST(100000 AS BIGINT) + l_partkey) * 10000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS STRING)")
 
 
 def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

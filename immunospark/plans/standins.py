@@ -30,7 +30,7 @@ SELECT ordinal, cid, idx,
   CAST(CASE WHEN p % 11 = 0 THEN 0 WHEN p % 13 = 0 THEN 0.01 ELSE 1 END AS DOUBLE) AS score,
   cnt AS count, CAST(80 + p % 20 AS DOUBLE) AS germline_similarity, CAST(o % 2 AS INT) AS complete_vdj
 FROM (
-  SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ordinal, l_linenumber AS idx, l_partkey AS p, l_orderkey AS o,
+  SELECT (((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS ordinal, l_linenumber AS idx, l_partkey AS p, l_orderkey AS o,
     'B' || CAST(l_suppkey AS STRING) || '_' || CAST(l_orderkey % 500 AS STRING) AS cid,
     CASE WHEN l_linenumber = 7 THEN l_quantity / 64 ELSE l_quantity END AS cnt,
     {_locus('(l_suppkey + l_linenumber % 3)')} AS loc, CAST(l_partkey % 5 + 1 AS STRING) AS vn
