@@ -28,5 +28,5 @@ def test_query(spark, duck, name):
     if name not in SQL:
         assert rows
         return
-    want = duck.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
+    want = duck.execute('select ' + ', '.join(f'"{c}"' for c in got.columns) + f' from ({SQL[name]})').fetchall()
     assert rows == sorted(plain(r) for r in want)
