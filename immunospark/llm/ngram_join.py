@@ -21,8 +21,8 @@ text is copied to each salt), and counts are combined before each shuffle.
 
 Words are runs of word characters in lower case. Defined results: a null text is empty; a document
 without words is a class of its own; one with fewer than five words has the run of them as its only
-shingle; rows that share doc_id and shingles give rows of their own with equal results; a null doc_id
-is carried along; an empty table gives no rows; extra columns are ignored.
+shingle; rows that share doc_id and shingles give rows of their own with equal results, and kept() keeps one of
+them; a null doc_id is carried along and comes after all others; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,11 +105,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id BIGINT, node BINARY, n INT, sig ARRAY<INT>"
+SIGNED = "doc_id BIGINT, content BIGINT, node BINARY, n INT, sig ARRAY<INT>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the shingle set; null without words), n (its size), sig."""
+    """doc_id, content (hash of the text), node (digest of the shingle set; null without words), n (its size), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,14 +121,21 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("content"),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([next(sigs) if len(s) else None for s in sets], pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "node", "n", "sig"],
+                    names=["doc_id", "content", "node", "n", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content")).mapInArrow(run, SIGNED)
+
+
+def row_of(content: Column) -> Column:
+    """What tells rows apart, and their order within a class: the smallest doc_id first, null ones last, then the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), content.alias("content"))
 
 
 def prefix(tree: Column, depth: int) -> Column:
@@ -301,14 +308,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links (other shingle sets at least 0.8 similar), n_copies (documents of its own set, itself included)."""
+def placed(docs: DataFrame) -> DataFrame:
+    """A row per row of docs: doc_id, row (see row_of), node, first (the smallest row of its class; null without words), class_id, n_links, n_copies."""
     small_batches(docs.sparkSession)
     every = stored(signed(docs), "signed")
     rows = every.where(F.col("node").isNotNull())
     # one row per shingle set; the smallest doc_id that has it tells where its text is
-    nodes = rows.groupBy("node").agg(F.min_by(F.struct("doc_id", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x"), F.count(F.lit(1)).alias("n_copies"))
-    nodes = stored(nodes.select("node", F.col("x.doc_id").alias("doc_id"), F.col("x.sig").alias("sig"), "n_copies"), "nodes")
+    nodes = rows.groupBy("node").agg(F.min_by(F.struct("doc_id", "content", "sig"), row_of(F.col("content"))).alias("x"), F.count(F.lit(1)).alias("n_copies"))
+    nodes = stored(nodes.select("node", F.col("x.doc_id").alias("doc_id"), F.col("x.content").alias("content"), F.col("x.sig").alias("sig"), "n_copies"), "nodes")
 
     # the forest: the shortest prefixes with company, and within them the deepest match of each node
     low = shortest()
@@ -345,12 +352,12 @@ def joined(docs: DataFrame) -> DataFrame:
     families = components(streamed(met, ["bucket", "bi", "bj"], ["star"], _Meet, "a BINARY, b BINARY"))
 
     # blocks of a family: a star of more than BLOCK nodes has its own, smaller ones share
-    placed = families.select(F.col("node").alias("star"), F.col("root").alias("family")).join(sizes.select("star", "size"), "star")
+    dealt = families.select(F.col("node").alias("star"), F.col("root").alias("family")).join(sizes.select("star", "size"), "star")
     large = F.col("size") > BLOCK
-    small = placed.groupBy("family").agg(F.ceil(F.sum(F.when(~large, F.col("size")).otherwise(0)) / BLOCK).alias("shared"))
-    placed = placed.join(small, "family").select("star", "family", F.when(large, F.col("star")).alias("pure"), F.when(large, F.ceil(F.col("size") / BLOCK)).otherwise(F.greatest("shared", F.lit(1))).alias("n"))
+    small = dealt.groupBy("family").agg(F.ceil(F.sum(F.when(~large, F.col("size")).otherwise(0)) / BLOCK).alias("shared"))
+    dealt = dealt.join(small, "family").select("star", "family", F.when(large, F.col("star")).alias("pure"), F.when(large, F.ceil(F.col("size") / BLOCK)).otherwise(F.greatest("shared", F.lit(1))).alias("n"))
     at = F.when(F.col("pure").isNotNull(), F.xxhash64("pure", F.pmod(F.xxhash64("node"), F.col("n")))).otherwise(F.pmod(F.xxhash64("star", F.lit(1)), F.col("n")))
-    inside = stored(stars.select("node", "star").join(placed, "star").select("node", "star", "family", "pure", at.alias("block")), "inside")
+    inside = stored(stars.select("node", "star").join(dealt, "star").select("node", "star", "family", "pure", at.alias("block")), "inside")
     blocks = inside.groupBy("family", "block").agg(F.min("pure").alias("pure"))
     p, q = (blocks.select("family", F.col("block").alias(x), F.col("pure").alias(f"pure_{x}")) for x in ("p", "q"))
     jobs = p.join(q, "family").where((F.col("p") <= F.col("q")) & ~F.coalesce(F.col("pure_p") == F.col("pure_q"), F.lit(False)))
@@ -365,13 +372,34 @@ def joined(docs: DataFrame) -> DataFrame:
     counts = counts.select("node", "star", (F.col("size") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
     found = components(compared.where("b IS NOT NULL").select("a", "b"))
     grouped = counts.join(found.select(F.col("node").alias("star"), "root"), "star", "left").select("node", F.coalesce("root", "star").alias("root"), "n_links")
-    grouped = stored(nodes.select("node", "doc_id", "n_copies").join(grouped, "node", "left").select("node", "doc_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "grouped")
-    names = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    verdict = grouped.join(names, "root").select("node", "class_id", "n_links", "n_copies")
-    out = every.select("doc_id", "node").join(verdict, "node", "left")
+    grouped = stored(nodes.select("node", row_of(F.col("content")).alias("row"), "doc_id", "n_copies").join(grouped, "node", "left").select("node", "row", "doc_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "grouped")
+    names = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min("row").alias("first"))
+    verdict = grouped.join(names, "root").select("node", "first", "class_id", "n_links", "n_copies")
+    return every.select("doc_id", row_of(F.col("content")).alias("row"), "node").join(verdict, "node", "left")
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links (other shingle sets at least 0.8 similar), n_copies (documents of its own set, itself included)."""
+    out = placed(docs)
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"))
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of docs, of each class one: the smallest by row_of, and of rows that repeat it the one with the smallest columns.
+
+    So rows of a null doc_id stay only in classes without another id, and rows of one doc_id are judged each by
+    its own text. Rows without words are classes of their own, but those that repeat a doc_id and text are one
+    document; with a null doc_id nothing says so, and all of them stay.
+    """
+    found = stored(placed(docs).select("row", F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("stays"), (F.col("node").isNotNull() | ~F.col("row.none")).alias("one")), "near-duplicates")
+    rows = found.where("one").groupBy("row").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    rows = stored(rows.where("NOT stays OR n > 1").select(F.col("row").alias("_row"), "stays"), "near-rows")
+    keyed = docs.withColumn("_row", row_of(F.xxhash64(F.col("text").cast("string"))))
+    single = keyed.join(rows, "_row", "left_anti").select(*docs.columns)
+    again = keyed.join(rows.where("stays"), "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_x"))
+    return single.unionByName(again.select("_x.*"))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the wanted nodes (node, doc_id). Rows that repeat a doc_id are told apart by their shingles, and each node gets one text."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"))
