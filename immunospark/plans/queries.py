@@ -585,3 +585,15 @@ def mate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment"), (F.col("o_custkey") % 60).alias("contig"), (F.col("o_orderkey") % 100).alias("offset"))
     li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("fragment"), (F.col("l_suppkey") % 60).alias("contig"), F.col("l_linenumber").cast("bigint").alias("offset"))
     return inside.mate_edges(o.unionByName(li))
+
+
+# ---- mates over whole tables: the SQL of mate_pairs and mate_edges takes a part of their rows ---------
+
+
+@query(f"""WITH r AS ({READS_DUCK}), f AS (SELECT doc_id, part // 2 AS pair, max(CASE WHEN part % 2 = 0 THEN seq END) AS a, max(CASE WHEN part % 2 = 1 THEN seq END) AS b FROM r GROUP BY doc_id, part // 2)
+SELECT doc_id, pair, a AS seq1, {_rc('b')} AS seq2 FROM f""")
+def mate_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads of each document, two by two; a last one without a mate stays alone."""
+    name = F.struct("doc_id", F.expr("part div 2").alias("pair"))
+    rows = reads(spark, sf_dir).select(name.alias("name"), F.when(F.col("part") % 2 == 0, F.lit(0x41)).otherwise(0x91).alias("flag"), "seq", F.lit(None).cast("string").alias("qual"))
+    return intervals.pairs_of_candidates(rows, rows).select("name.doc_id", "name.pair", "seq1", "seq2")
