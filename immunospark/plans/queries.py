@@ -597,3 +597,12 @@ def mate_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.struct("doc_id", F.expr("part div 2").alias("pair"))
     rows = reads(spark, sf_dir).select(name.alias("name"), F.when(F.col("part") % 2 == 0, F.lit(0x41)).otherwise(0x91).alias("flag"), "seq", F.lit(None).cast("string").alias("qual"))
     return intervals.pairs_of_candidates(rows, rows).select("name.doc_id", "name.pair", "seq1", "seq2")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS fragment, o_custkey % 60 AS contig, o_orderkey % 100 AS off FROM orders UNION ALL SELECT l_orderkey, l_suppkey % 60, l_linenumber FROM lineitem)
+SELECT a.contig AS src, b.contig AS dst, count(*) AS n, min(a.off) AS first, max(a.off) AS last FROM p a JOIN p b USING (fragment) WHERE a.contig <> b.contig GROUP BY a.contig, b.contig""")
+def mate_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order and every one of its lines is a placement."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment"), (F.col("o_custkey") % 60).alias("contig"), (F.col("o_orderkey") % 100).alias("offset"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fragment"), (F.col("l_suppkey") % 60).alias("contig"), F.col("l_linenumber").cast("bigint").alias("offset"))
+    return inside.mate_edges(o.unionByName(li))
