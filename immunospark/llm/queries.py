@@ -7,7 +7,7 @@ from importlib import import_module
 #: query: (module, has SQL)
 _QUERIES = {
     "op1_exact_dedup": ("exact_dedup", True),
-    "op2_line_dedup": ("line_dedup", False),
+    "op2_line_dedup": ("line_dedup", True),
     "op3_best_fit_packing": ("packing", False),
     "op4_warc": ("warc", True),
     "op5_ngram_jaccard_join": ("ngram_join", False),

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
 
 import pyarrow as pa
@@ -24,10 +24,12 @@ _fallback: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that every executor shares: spark.checkpoint.dir, or, in one process alone, a temporary one where that is unset."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="llm-work-"))
     return _fallback[0]
@@ -44,13 +46,43 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of a row group of stored tables: what a writing or reading task holds of them.
+ROW_GROUP = 32 << 20
+
+_scratch: list[list[str]] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: later steps neither recompute it nor lose it with an executor."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that stored() writes within; whoever asks for them deletes those that nothing reads any more."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        _scratch.pop()
+
+
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, lengthened by underscores until no column has them, in whatever case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python by bytes, as texts may be long: what a task holds outside the heap is some multiple of one batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -92,5 +124,5 @@ def text_of(column: str = "text") -> Column:
 
 
 def fold(column: Column, modulus: int) -> Column:
-    """crc32 of the id's decimal text, modulo modulus: the fold that held-out rows are told by."""
-    return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
+    """crc32 of the id's decimal text, modulo modulus: the fold that held-out rows are told by. A null id counts as the empty text, so its remainder is 0."""
+    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

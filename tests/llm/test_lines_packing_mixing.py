@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def docs(spark, rows):
 def templates(line):
     """The keys of all templates of a line, worked out from its text alone."""
     tokens = re.findall(r"[^\x20\x09-\x0D]+", line)
-    if len(tokens) < ld.MIN_TOKENS:
+    if len(tokens) < ld.MIN_TOKENS and len("".join(tokens)) < ld.MIN_CHARS:
         return []
     tokens = ["<*>" if re.search("[0-9]", t) else t for t in tokens]
     leaf, rest = (len(tokens), *tokens[: ld.DEPTH]), len(tokens) - ld.DEPTH
@@ -39,12 +40,22 @@ def templates(line):
 
 
 def brute_lines(rows):
-    first = {}
+    """A line goes if an earlier document has an equal line, or a root of one of its templates: a line without an earlier one of its templates."""
+    first, least = {}, {}
     for i, t in rows:
         for line in (t or "").split("\n"):
-            for key in templates(line):
-                first[key] = min(first.get(key, i), i)
-    return {i: None if t is None else "\n".join(x for x in t.split("\n") if all(first[k] >= i for k in templates(x))) for i, t in rows}
+            keys = templates(line)
+            for key in keys:
+                least[key] = min(least.get(key, i), i)
+            if keys:
+                first[keys[0]] = min(first.get(keys[0], (i, keys)), (i, keys))
+    roots = {}
+    for i, keys in first.values():
+        if all(least[k] >= i for k in keys):
+            for k in keys:
+                roots[k] = min(roots.get(k, i), i)
+    stays = {line: min([i, *(roots[k] for k in keys if k in roots)]) for line, (i, keys) in first.items()}
+    return {i: None if t is None else "\n".join(x for x in t.split("\n") if not (keys := templates(x)) or stays[keys[0]] >= i) for i, t in rows}
 
 
 def line_corpus():
@@ -78,6 +89,44 @@ def test_first_document_keeps_its_lines_and_long_passages_go(spark):
     assert got == {1: rows[0][1], 2: "own line of two", 3: "nothing shared in here at all"}
 
 
+def test_segments_are_told_by_all_their_bits(spark):
+    """Two of four segments differ, so no template is shared, however few bits of the words' hashes do."""
+    rows = [(1, "The report says north wordjiaa rose today"), (2, "The report says south wordqsaa rose today")]
+    assert {r.doc_id: r.text for r in ld.line_dedup(docs(spark, rows)).collect()} == dict(rows)
+
+
+def test_end_of_a_chain_stays(spark):
+    """Document 2 goes for document 1; document 3 is like 2 alone, which is gone, and stays; 4 goes for 3, an equal line."""
+    rows = [(1, "a b c p q r t"), (2, "a b c P q r t"), (3, "a b c P Q r t"), (4, "a b c P Q r t")]
+    assert {r.doc_id: r.text for r in ld.line_dedup(docs(spark, rows)).collect()} == {1: rows[0][1], 2: "", 3: rows[2][1], 4: ""}
+
+
+def test_one_leaf_of_many_lines(spark):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(f"The report says w{chr(97 + rng.randrange(26))}{'x' * rng.randrange(12)} v{'y' * rng.randrange(9)}{chr(97 + rng.randrange(26))} rose {'z' * rng.randrange(1, 9)}" for _ in range(50))) for i in range(2000)]
+    got = {r.doc_id: r.text for r in ld.line_dedup(docs(spark, rows).repartition(4)).collect()}
+    want = brute_lines(rows)
+    left = sum(t.count("\n") + 1 for t in want.values())
+    assert got == want and 10_000 < left < 90_000
+
+
+def test_lines_any_column_names_and_long_words(spark):
+    passage = "长" * 40
+    df = spark.createDataFrame([(1, passage, 1, 2, 3, 4), (2, f"{passage}\nshort", 5, 6, 7, 8)], "doc_id BIGINT, text STRING, _doc INT, _text INT, _dropped INT, _LINES INT")
+    out = ld.line_dedup(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(1, passage, 1, 2, 3, 4, 1, 0), (2, "short", 5, 6, 7, 8, 2, 1)]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_lines_sql_agrees(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '/root/testdata/{sf}/documents.parquet'")
+    got = ld.op2_line_dedup(spark, f"/root/testdata/{sf}")
+    want = con.execute(f"select {', '.join(got.columns)} from ({ld.ORACLE})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_lines_null_id_repeats_and_empty(spark):
     rows = [(None, "one two three"), (2, "one two three"), (2, "one two three"), (3, "one two three\nkeep me here")]
     got = sorted((str(r.doc_id), r.text) for r in ld.line_dedup(docs(spark, rows)).collect())
