@@ -48,6 +48,27 @@ def test_index_persists_and_appends(spark, tmp_path):
     again.drop()
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_in_batches_and_extreme_ids(spark, batches):
+    """Batches of falling length lead to the best row of the whole table; ids need no sign."""
+    least = -(1 << 63)
+    rows = [(i, "ab" + " " * (i % 4) + "c" * (i % 7)) for i in range(60)] + [(least, "q"), (5, "q"), (least, " q"), (least + 1, " q")]
+    index = ed.DigestIndex.create(spark)
+    got = ed.dedup(docs(spark, rows), index, batches=batches).collect()
+    best = {}
+    for i, t in rows:
+        best[norm(t)] = min(best.get(norm(t), (0, 0)), (-len(t), i)) if norm(t) in best else (-len(t), i)
+    digest = {hashlib.sha256(k.encode()).hexdigest(): v[1] for k, v in best.items()}
+    assert len(got) == len(rows) and all(r.keep_id == digest[r.text_sha256] and r.kept == (r.doc_id == r.keep_id) for r in got)
+    assert index.read().count() == len(best)
+
+
+def test_query_leaves_no_table_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert ed.op1_exact_dedup(spark, "/root/testdata/sf0.001").count() == 200
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_exact_empty(spark):
     assert ed.dedup(docs(spark, []), ed.DigestIndex.create(spark)).count() == 0
 
