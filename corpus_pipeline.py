@@ -20,7 +20,7 @@ MIX_SHARE = 0.9
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier rejects go. It learns from the labelled rows of its own input."""
-    model = lang.learned(docs.select("doc_id", "text", "lang"))
+    model = lang.learned(docs.select("text", "lang"))
     return lang.kept(docs, model)
 
 

@@ -6,15 +6,16 @@ each run of anything but letters as one space, and belongs to the language whose
 it smallest. The margin is the share by which the runner-up is
 larger; a text with a narrow margin is rejected.
 
-Dictionaries come from a bounded sample of the labelled rows: SAMPLE_DOCS documents a language, of
-which at most SAMPLE_CHARS characters each, up to DICT_BYTES a language and MAX_LANGS languages.
-They are what is broadcast, so that is at most MAX_LANGS * DICT_BYTES. Everything else is a map over
-the documents: no shuffle, one Arrow batch in memory at a time.
+Dictionaries come from a bounded sample of the labelled rows: of each language SAMPLE_DOCS distinct beginnings of
+SAMPLE_CHARS characters, drawn by their hash, so that neither repeated texts nor repeated or null ids weigh more, up to
+DICT_BYTES a language and ALL_BYTES in all, which many languages share evenly. They are what is
+broadcast. Everything else is a map over the documents: no shuffle, one Arrow batch in memory at a time.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; without
-any labelled row every text is `und`; ties go to the language with more labelled rows, then the alphabetically first; with one
-language the score is 1; repeated rows are predicted one by one; an empty table gives no rows; extra
-columns are ignored.
+any labelled row every text is `und`; a language whose labelled texts have no letter can't be learned; ties go to the
+language with more labelled rows, then the alphabetically first; with one
+language the score is 1; a row with a null doc_id is not held out (null counts as the empty text, whose remainder is 0);
+repeated rows are predicted one by one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ from .shared import fold, small_batches, table, worker_cache
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 1500
 DICT_BYTES = 96 << 10
-MAX_LANGS = 256
+#: Of all dictionaries.
+ALL_BYTES = 24 << 20
+#: The least that zstandard takes for a raw-content dictionary.
+LEAST_BYTES = 8
 BLOCK = 2 << 10
 LEVEL = 5
 #: Share by which the second language must be larger.
@@ -52,23 +56,28 @@ def letters(text: str) -> bytes:
 
 
 def learned(rows: DataFrame) -> dict[str, bytes]:
-    """language: the bytes of its dictionary. rows: doc_id, text, lang of the labelled documents."""
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    """language: the bytes of its dictionary. rows: text, lang of the labelled documents."""
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return {}
-    # a share of each language that is drawn by the id's hash, and then at most SAMPLE_DOCS of it
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share: Column = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * SAMPLE_DOCS / n)).otherwise(share)
-    got = rows.where(draw < share).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    # a share of each language's distinct texts that is drawn by their hash, and then at most SAMPLE_DOCS of them
+    share: Column = F.lit(0)
+    for lang, r in counts.items():
+        share = F.when(F.col("lang") == lang, int(min(1.0, 1.5 * SAMPLE_DOCS / r["texts"]) * (1 << 40))).otherwise(share)
+    got = rows.where(F.col("h") < share).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    by: dict[str, list] = {lang: [] for lang in counts}
+    for r in got:
+        by[r["lang"]].append((r["h"], r["text"]))
+    room = min(DICT_BYTES, max(LEAST_BYTES, ALL_BYTES // len(counts)))
     out: dict[str, bytes] = {}
-    for lang in counts:  # from most labelled rows to fewest, which settles ties
-        texts = [letters(r["text"]) for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
+    for lang, texts in by.items():  # from most labelled rows to fewest, which settles ties
         # zstandard finds the end of a dictionary cheapest, so the last bytes are the ones to keep
-        out[lang] = b" ".join(dict.fromkeys(texts[:SAMPLE_DOCS]))[-DICT_BYTES:]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+        raw = b" ".join(dict.fromkeys(letters(t) for _, t in sorted(texts)[:SAMPLE_DOCS]))[-room:]
+        if raw.strip():
+            out[lang] = raw * -(-LEAST_BYTES // len(raw))
+    return out
 
 
 class Classifier:
@@ -139,6 +148,6 @@ def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 3) == 1
-    model = learned(docs.where(~held).select("doc_id", "text", "lang"))
+    model = learned(docs.where(~held).select("text", "lang"))
     out = predicted(docs, model)
     return out.withColumn("held_out", fold(F.col("doc_id"), 3) == 1).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")

@@ -12,10 +12,13 @@ The vocabulary holds offences and beginnings of words that are. Other words shar
 the recursion only stops at vocabulary words, whatever the length of the text.
 
 The model is fitted on a bounded sample, SAMPLE_DOCS labelled documents of either label, drawn by
-the hash of the id; its vocabulary has at most VOCABULARY words. Scoring is a map over documents.
+the hash of the id, one text an id and the first SAMPLE_CHARS characters of it; its vocabulary has at most VOCABULARY
+words, the strongest. Of these documents every offence is trained on, in windows of WINDOW words, which short documents
+fill up with words outside the vocabulary. Scoring is a map over documents and reads whole texts.
 
 Defined results: null and empty texts get the score of a text without offences; without labelled
 documents of both kinds every score is 0; a document with several labels counts as toxic if any is;
+a row with a null doc_id is held out (null counts as the empty text, whose remainder is 0) and never learned from;
 repeated rows are scored one by one; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from .shared import fold, small_batches, table
 
 SAMPLE_DOCS = 2500
+SAMPLE_CHARS = 20_000
 VOCABULARY = 5000
 #: Toxic documents that a word must be in, their least share, and the 95% lower bound that its log-odds must have, to be an offence.
 MIN_DF, MIN_SHARE, MIN_LOG_ODDS = 4, 0.01, 2.0
@@ -49,7 +53,7 @@ OUT = "doc_id BIGINT, score DOUBLE, spans ARRAY<STRUCT<start: INT, end: INT>>"
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return [w.lower() for w in _WORD.findall(text)] if text else []
 
 
 def stem(word: str) -> str:
@@ -190,7 +194,7 @@ class Crf:
         spans: list[tuple[int, int]] = []
         offending = {i for i, p in zip(at, got) if p >= SPAN}
         if offending:
-            # the offsets count code points of the text as it is, which lower() can change in length
+            # the offsets count code points of the text as it is, and words are numbered in it as words() does
             for i, m in enumerate(_WORD.finditer(text)):
                 if i in offending:
                     if spans and i - 1 in offending:
@@ -219,9 +223,11 @@ def fitted(docs: list[tuple[str, int]]) -> Crf:
         ids = np.zeros(len(ws), dtype=np.int64)
         at, numbers = crf.ids(ws)
         ids[at] = numbers
-        if len(ids) < WINDOW:
-            continue
-        starts = {min(max(0, i - WINDOW // 2), len(ids) - WINDOW) for i in np.flatnonzero(ids)[:8]} | {0}
+        ids = np.pad(ids, (0, max(0, WINDOW - len(ids))))
+        starts, last = {0}, len(ids) - WINDOW
+        for i in np.flatnonzero(ids):
+            if not any(a <= i < a + WINDOW for a in (max(starts), 0)):
+                starts.add(min(max(0, int(i) - WINDOW // 2), last))
         for i in sorted(starts):
             got = ids[i : i + WINDOW]
             seqs.append(got)
@@ -245,8 +251,10 @@ def training(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
         marks.where((F.col("toxic") == 1) == bool(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("doc_id", F.lit(y).alias("y"))
         for y in (0, 1)
     ]
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
-    return [(r["text"], r["y"]) for r in sorted(rows.collect(), key=lambda r: (r["y"], r["doc_id"], r["text"]))]
+    # one text an id, cut where it is read: at most 2 * SAMPLE_DOCS * SAMPLE_CHARS characters reach the driver
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return [(r["text"], r["y"]) for r in sorted(rows.collect(), key=lambda r: (r["y"], r["doc_id"]))]
 
 
 def scored(docs: DataFrame, model: Crf) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Layout of an archive (.warc.zst): a skippable frame of magic 0x184D2A5D that holds the dictionary,
 itself compressed, then one Zstandard frame per WARC/1.1 record. The dictionary is trained on a
-bounded sample of the records, SAMPLE_RECORDS of at most SAMPLE_BYTES each; a table too small to
-train on gets archives without one. Any record can be read alone, given the dictionary.
+bounded sample of the distinct payloads, SAMPLE_RECORDS drawn by their digests' hash and cut to SAMPLE_BYTES each
+where they are read; a table too small to train on gets archives without one. Any record can be read alone, given the dictionary.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, the one with the largest page_id is
 the response and the others are revisits. Digests are grouped with map-side combining and only the
@@ -192,21 +192,40 @@ def parsed(fields: dict[str, str], block: bytes) -> tuple | None:
     return (page and int(page), size, digest, kind, refers and int(refers))
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, digest, refers_to of the pages to be archived as revisits."""
-    rows = stored(pages.select("page_id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest")), "page-digests")
+def digests(pages: DataFrame) -> DataFrame:
+    """page_id, n (bytes) and digest of every payload, stored."""
+    return stored(pages.select("page_id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest")), "page-digests")
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """page_id, digest, refers_to of the pages to be archived as revisits. rows: see digests()."""
     rows = rows.where((F.col("n") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest")
     groups = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(groups.drop("n"), "digest").where(F.col("page_id") != F.col("refers_to")).distinct()
 
 
+def sampled(pages: DataFrame, rows: DataFrame) -> list[bytes]:
+    """Records of SAMPLE_RECORDS distinct payloads at most, each cut to SAMPLE_BYTES; nothing longer leaves a task. rows: see digests()."""
+    payloads = rows.where("page_id IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("page_id"))
+    payloads = payloads.withColumn("h", F.pmod(F.xxhash64("digest"), F.lit(1 << 40)))
+    n = payloads.count()
+    if not n:
+        return []
+    # the share leaves each task a few rows to send, of a digest and an id
+    near = payloads.where(F.col("h") < int(min(1.0, 2 * SAMPLE_RECORDS / n + 50 / n) * (1 << 40)))
+    picked = {r["page_id"]: r["digest"] for r in near.orderBy("h", "digest").limit(SAMPLE_RECORDS).collect()}
+    cut = pages.where(F.col("page_id").isin(list(picked))).select("page_id", "url", F.sha1("payload").alias("digest"), F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("payload"))
+    wanted = pages.sparkSession.createDataFrame(list(picked.items()), "page_id BIGINT, digest STRING")
+    got = cut.join(F.broadcast(wanted), ["page_id", "digest"]).groupBy("page_id", "digest").agg(F.min("url").alias("url"), F.min("payload").alias("payload")).collect()
+    return [record(r["page_id"], r["url"], bytes(r["payload"]), r["digest"], None) for r in sorted(got, key=lambda r: r["digest"])]
+
+
 def written(pages: DataFrame, folder: str) -> DataFrame:
     """Archive page_id, url, html under folder; the manifest of the archives."""
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    again = stored(revisits(pages), "revisits")
-    drawn = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
-    sample = drawn.select("page_id", "url", F.sha1("payload").alias("digest"), F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("payload")).collect()
-    dictionary = trained([record(r["page_id"], r["url"], bytes(r["payload"]), r["digest"], None) for r in sample])
+    known = digests(pages)
+    again = stored(revisits(known), "revisits")
+    dictionary = trained(sampled(pages, known))
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)
     rows = pages.withColumn("digest", F.sha1("payload")).join(again, ["page_id", "digest"], "left")
 

@@ -120,3 +120,12 @@ def test_warc_empty_and_dictionary(spark):
     assert warc.trained([]) is None
     held = warc.trained([warc.record(i, "http://a/", f"<html>{i} common words here</html>".encode() * 5, "00" * 20, None) for i in range(300)])
     assert zstandard.ZstdCompressionDict(held).dict_id()
+
+
+def test_dictionary_sample_is_bounded_and_of_distinct_payloads(spark, monkeypatch):
+    """A payload that most rows share is drawn once, and no record is longer than its bound allows."""
+    monkeypatch.setattr(warc, "SAMPLE_RECORDS", 50)
+    rows = [(i, "http://a/", "same " * 9000) for i in range(2000)] + [(5000 + i, "http://b/", f"page {i} " * 40) for i in range(400)] + [(7, "http://a/", "same " * 9000)] * 50
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, payload STRING").selectExpr("page_id", "url", "cast(payload AS BINARY) AS payload")
+    got = warc.sampled(pages, warc.digests(pages))
+    assert 20 <= len(got) <= 50 and max(map(len, got)) < warc.SAMPLE_BYTES + 1000 and len(set(got)) == len(got)
