@@ -15,7 +15,7 @@ _QUERIES = {
     "op7_toxicity": ("toxicity", False),
     "op8_language_id": ("language_id", False),
     "op9_quality_rules": ("quality_rules", True),
-    "op10_mixing": ("mixing", False),
+    "op10_mixing": ("mixing", True),
 }
 
 
