@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate join, source mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's documents. All but the last return the columns of documents.
+again as the next stage's documents; run() then deletes the predecessor's and what the stage itself stored.
+All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from immunospark.llm import language_id as lang
 from immunospark.llm import line_dedup as lines
 from immunospark.llm import mixing, ngram_join, packing
-from immunospark.llm.shared import stored, table
+from immunospark.llm.shared import drop_path, scratch, stored, table
 
 #: Share of the tokens that mixing takes; documents are taken once at most.
 MIX_SHARE = 0.9
@@ -64,7 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as paths:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        *inner, result = paths
+        for path in [*before, *inner]:
+            drop_path(spark, path)
+        before = [result]
     return docs

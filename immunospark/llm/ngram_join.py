@@ -10,7 +10,7 @@ No step lists the pairs of a group. A node is verified against one pivot, the sm
 deepest matches; nodes nearer than half the reach (distance below 0.1) make up the pivot's star. As
 Jaccard distance is a metric, any two nodes of a star are linked, so a star's links are known from
 its size. Stars that meet in a bucket of the shortest prefixes and whose pivots' signatures are not
-too far apart, by a margin of four standard deviations, are of one family: a task takes in a bucket,
+too far apart, by a margin of four standard deviations at the distance in question, are of one family: a task takes in a bucket,
 in blocks of at most STARS, and gives back a spanning forest. Within a family, nodes of different
 stars are compared exactly, in blocks of at most BLOCK nodes, inside tasks that give back a count per
 node and a spanning forest of the stars they link. Linked stars make a class; its smallest doc_id
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, small_batches, stored, table, worker_cache
+from .shared import shuffle_partitions, small_batches, stored, table, unused, worker_cache
 
 WORDS = 5
 #: The threshold as a fraction: similarity >= OVER / UNDER.
@@ -46,8 +46,8 @@ TREES, DEPTH = 24, 7
 RECALL = 0.9999
 #: Nodes of a block; stars of a bucket's block; members that share a copy of a pivot.
 BLOCK, STARS, COPY = 512, 512, 256
-#: How much farther apart signatures may say that pivots are: four standard deviations of their estimate.
-MARGIN = 4 * (0.8 * 0.2 / (TREES * DEPTH)) ** 0.5
+#: Standard deviations by which signatures may say that pivots are farther apart than they are.
+MARGIN = 4.0
 _WORD = re.compile(r"\w+")
 
 
@@ -248,7 +248,8 @@ class _Meet:
         found = _Forest()
         for i in range(len(sig) - 1):
             like = (sig[i + 1 :] == sig[i]).mean(1)
-            for j in i + 1 + np.flatnonzero(1 - like <= REACH + far[i] + far[i + 1 :] + MARGIN):
+            reach = np.minimum(REACH + far[i] + far[i + 1 :], 1)
+            for j in i + 1 + np.flatnonzero(1 - like <= reach + MARGIN * np.sqrt(reach * (1 - reach) / sig.shape[1])):
                 found.join(star[i], star[j])
         return found.edges
 
@@ -331,7 +332,7 @@ def placed(docs: DataFrame) -> DataFrame:
     pairs = stored(deepest.select("node", F.col("x.leader").alias("pivot")).where("pivot < node"), "pairs")
 
     # the texts of all nodes with company, once each
-    wanted = matched.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+    wanted = matched.select("node").distinct().join(nodes.select("node", "doc_id", "content"), "node")
     texts = stored(_texts(docs, wanted), "texts")
 
     # stars: members are verified, pivots of others are roots of their own
@@ -394,29 +395,18 @@ def kept(docs: DataFrame) -> DataFrame:
     found = stored(placed(docs).select("row", F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("stays"), (F.col("node").isNotNull() | ~F.col("row.none")).alias("one")), "near-duplicates")
     rows = found.where("one").groupBy("row").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     rows = stored(rows.where("NOT stays OR n > 1").select(F.col("row").alias("_row"), "stays"), "near-rows")
-    keyed = docs.withColumn("_row", row_of(F.xxhash64(F.col("text").cast("string"))))
-    single = keyed.join(rows, "_row", "left_anti").select(*docs.columns)
-    again = keyed.join(rows.where("stays"), "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_x"))
-    return single.unionByName(again.select("_x.*"))
+    key, same = unused(docs.columns, "_row", "_x")
+    rows = rows.withColumnRenamed("_row", key)
+    keyed = docs.withColumn(key, row_of(F.xxhash64(F.col("text").cast("string"))))
+    single = keyed.join(rows, key, "left_anti").select(*docs.columns)
+    again = keyed.join(rows.where("stays"), key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(same))
+    return single.unionByName(again.select(f"{same}.*"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of the wanted nodes (node, doc_id). Rows that repeat a doc_id are told apart by their shingles, and each node gets one text."""
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"))
-    rows = docs.where(F.col("text").isNotNull()).select(key.alias("key"), "text")
-    picked = rows.join(wanted.groupBy(key.alias("key")).agg(F.collect_set("node").alias("nodes")), "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, nodes = [], []
-            for k, (text, want) in enumerate(zip(b.column("text"), b.column("nodes"))):
-                key = xxhash.xxh3_128_digest(shingles(text.as_py()).tobytes())
-                if key in want.as_py():
-                    keep.append(k)
-                    nodes.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), b.column("text").take(pa.array(keep, pa.int64()))], names=["node", "text"])
-
-    return picked.select("text", "nodes").mapInArrow(run, "node BINARY, text STRING").groupBy("node").agg(F.min("text").alias("text"))
+    """node, text of the wanted nodes (node, doc_id, content). A text is found by its row's id and its own hash, so that rows without an id are no group."""
+    rows = docs.where(F.col("text").isNotNull()).select(row_of(F.xxhash64(F.col("text").cast("string"))).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.join(wanted.select("node", row_of(F.col("content")).alias("row")), "row").groupBy("node").agg(F.min("text").alias("text"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,11 +83,19 @@ def unused(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
+#: Session settings for whole texts: Arrow batches to Python by bytes, rows of a Parquet reader's batch, bytes of a row group.
+_BOUNDS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024"),
+    "parquet.block.size": (None, str(ROW_GROUP)),
+}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python by bytes, as texts may be long: what a task holds outside the heap is some multiple of one batch."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "67108864b") == "67108864b":
-        spark.conf.set(key, "8m")
+    """Bound what a task holds of texts at a time, as these may be long, where the session has Spark's defaults: it is some multiple of a batch and a row group."""
+    for key, (default, bound) in _BOUNDS.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, bound)
 
 
 _caches: dict[str, object] = {}

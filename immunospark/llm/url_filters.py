@@ -6,11 +6,11 @@ the spread among the units of that level (method of moments): suffixes shrink to
 domains to their suffix, hosts to their domain. A page is blocked if the lower posterior bound of
 its host's bad rate is above MAX_BAD, so a host without evidence is never blocked.
 
-Outcomes are pre-aggregated per host before any shuffle; the pages meet one row per host in a plain
+Outcomes are pre-aggregated per host before any shuffle, and stored; the pages meet one row per host in a plain
 join, whose hot partitions Spark splits. Only four numbers reach the driver.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is
-judged by the overall rate's posterior alone; repeated rows are judged one by one; an empty table
+judged like any other by the outcomes of the empty host; repeated rows are judged one by one; an empty table
 gives no rows; without any outcome nothing is blocked by reputation; extra columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import stored, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Suffixes of two labels, under which a registered domain has three. Fixed values.
@@ -105,7 +105,7 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] =
     rows = with_host(pages)
     labelled = rows.join(outcomes.where(F.col("bad").isNotNull()).select("page_id", "bad"), "page_id")
     counts = labelled.groupBy("host").agg(F.sum("bad").alias("k"), F.count(F.lit(1)).alias("n"))
-    found = reputations(rows.select("host").distinct(), counts)
+    found = reputations(rows.select("host").distinct(), stored(counts, "outcomes"))
     rule, verdict = rule_of(rules)
     method = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
     return rows.join(found, "host", "left").select(
