@@ -23,16 +23,19 @@ def reverse_complement_strict(seq: Column) -> Column:
     return F.reverse(F.translate(F.regexp_replace(seq, "[^ACGT]", "N"), "ACGT", "TGCA"))
 
 
-def codon_map() -> Column:
-    return F.create_map(*[F.lit(x) for kv in CODONS.items() for x in kv])
-
-
 def translate_codons(seq: Column) -> Column:
     """Amino acids of whole codons from the start; an unknown codon is `?`, and so is a last one that is cut short."""
-    up = F.upper(seq)
+    # bases as digits in the order of the code's table, so that a codon is a place in it; whatever else is no digit
+    digits = F.translate(F.upper(seq), _BASES, "0123")
     n = F.ceil(F.length(seq) / 3).cast("int")
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at(codon_map(), F.substr(up, i * 3 + 1, F.lit(3))), F.lit("?")))
-    return F.when(n > 0, F.array_join(each, "")).otherwise(F.when(seq.isNotNull(), ""))
+
+    def amino(i: Column) -> Column:
+        codon = F.substr(digits, i * 3 + 1, F.lit(3))
+        place = [F.ascii(F.substr(codon, F.lit(k), F.lit(1))) - 48 for k in (1, 2, 3)]
+        known = (F.length(codon) == 3) & ~codon.rlike("[^0-3]")
+        return F.when(known, F.substr(F.lit(_AMINO), place[0] * 16 + place[1] * 4 + place[2] + 1, F.lit(1))).otherwise("?")
+
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), amino), "")).otherwise(F.when(seq.isNotNull(), ""))
 
 
 def count_base(seq: Column, base: str) -> Column:
@@ -82,6 +85,16 @@ def n_runs(seq: Column, gap: int = 7) -> Column:
     return F.split(seq, "N{%d,}" % gap)
 
 
+def kmer_code(kmer: Column) -> Column:
+    """A k-mer of up to 31 bases as a number, two bits a base in the order ACGT; codes of one length sort as their k-mers."""
+    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("bigint")
+
+
+def kmer_text(code: Column, k: int) -> Column:
+    """The k-mer of a code."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
 def no_match_gap(k: int) -> float:
     """Bases without a k-mer match beyond which, at 80% identity, an overlap is implausible at 1%."""
     import math

@@ -335,7 +335,7 @@ def pile_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT lang, string_agg(CASE WHEN a = m THEN 'A' WHEN c = m THEN 'C' WHEN g = m THEN 'G' ELSE 'T' END, '' ORDER BY pos) AS consensus, sum(a + c + g + t)::BIGINT AS weight, min(a + c + g + t) < 1000 AS shallow FROM q GROUP BY lang""")
 def consensus_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pileup.contigs(pileup.pile_up(reads(spark, sf_dir), ["lang"]), ["lang"])
-    return got.select("lang", "consensus", "weight", F.lit(False).alias("shallow") if False else (F.array_min(F.transform("pos_weight", lambda x: x["a"] + x["c"] + x["g"] + x["t"])) < 1000).alias("shallow"))
+    return got.select("lang", "consensus", "weight", (F.array_min(F.transform("pos_weight", lambda x: x["a"] + x["c"] + x["g"] + x["t"])) < 1000).alias("shallow"))
 
 
 @query(f"WITH r AS ({READS_DUCK}) SELECT seq, string_agg(id, '|' ORDER BY doc_id, part) AS name, min(doc_id * 1000000 + part) AS ordinal FROM r GROUP BY seq")
@@ -447,15 +447,6 @@ def airr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("sequence_id", "sequence", "productive", "junction_aa", "consensus_count")
 
 
-@query(f"""WITH r AS ({READS_DUCK}), f AS (SELECT doc_id, max(CASE WHEN part = 0 THEN seq END) AS a, max(CASE WHEN part = 1 THEN seq END) AS b FROM r WHERE part < 2 GROUP BY doc_id)
-SELECT doc_id, a AS seq1, {_rc('b')} AS seq2 FROM f""".replace("reverse(translate(b, 'ACGT', 'TGCA'))", "reverse(translate(b, 'ACGT', 'TGCA'))"))
-def mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reads(spark, sf_dir).where("part < 2")
-    rows = r.select(F.col("doc_id").alias("name"), F.when(F.col("part") == 0, F.lit(0x41)).otherwise(0x91).alias("flag"), "seq", F.lit(None).cast("string").alias("qual"))
-    got = intervals.pairs_of_candidates(rows, rows)
-    return got.select(F.col("name").alias("doc_id"), "seq1", "seq2")
-
-
 @query("""SELECT max(l_quantity)::BIGINT AS longest, avg(l_linenumber) > 3.5 AS late FROM lineitem""")
 def library_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -579,20 +570,12 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.contained(pieces)
 
 
-@query("""WITH p AS (SELECT o_orderkey AS fragment, o_custkey % 60 AS contig, o_orderkey % 100 AS off FROM orders UNION ALL SELECT l_orderkey, l_suppkey % 60, l_linenumber FROM lineitem WHERE l_linenumber = 1)
-SELECT a.contig AS src, b.contig AS dst, count(*) AS n, min(a.off) AS first, max(a.off) AS last FROM p a JOIN p b USING (fragment) WHERE a.contig <> b.contig GROUP BY a.contig, b.contig""")
-def mate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment"), (F.col("o_custkey") % 60).alias("contig"), (F.col("o_orderkey") % 100).alias("offset"))
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("fragment"), (F.col("l_suppkey") % 60).alias("contig"), F.col("l_linenumber").cast("bigint").alias("offset"))
-    return inside.mate_edges(o.unionByName(li))
-
-
-# ---- mates over whole tables: the SQL of mate_pairs and mate_edges takes a part of their rows ---------
+# ---- mates ------------------------------------------------------------------------------------------
 
 
 @query(f"""WITH r AS ({READS_DUCK}), f AS (SELECT doc_id, part // 2 AS pair, max(CASE WHEN part % 2 = 0 THEN seq END) AS a, max(CASE WHEN part % 2 = 1 THEN seq END) AS b FROM r GROUP BY doc_id, part // 2)
 SELECT doc_id, pair, a AS seq1, {_rc('b')} AS seq2 FROM f""")
-def mate_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reads of each document, two by two; a last one without a mate stays alone."""
     name = F.struct("doc_id", F.expr("part div 2").alias("pair"))
     rows = reads(spark, sf_dir).select(name.alias("name"), F.when(F.col("part") % 2 == 0, F.lit(0x41)).otherwise(0x91).alias("flag"), "seq", F.lit(None).cast("string").alias("qual"))
@@ -601,7 +584,7 @@ def mate_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT o_orderkey AS fragment, o_custkey % 60 AS contig, o_orderkey % 100 AS off FROM orders UNION ALL SELECT l_orderkey, l_suppkey % 60, l_linenumber FROM lineitem)
 SELECT a.contig AS src, b.contig AS dst, count(*) AS n, min(a.off) AS first, max(a.off) AS last FROM p a JOIN p b USING (fragment) WHERE a.contig <> b.contig GROUP BY a.contig, b.contig""")
-def mate_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order and every one of its lines is a placement."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment"), (F.col("o_custkey") % 60).alias("contig"), (F.col("o_orderkey") % 100).alias("offset"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fragment"), (F.col("l_suppkey") % 60).alias("contig"), F.col("l_linenumber").cast("bigint").alias("offset"))
