@@ -2,10 +2,10 @@
 
 Assembly is an ordered fold: reads come in a total order, most solid first, and each one joins a contig
 that it overlaps, extends it, merges two, or founds a new one. Within a group the fold is sequential;
-groups (a barcode, or a V gene and locus for bulk reads) are independent and are what Spark deals out.
+groups (a barcode, or a locus for bulk reads) are independent and are what Spark deals out.
 Identical reads of a group are merged into one with a multiplicity in the engine before that, so a
-group's task holds distinct reads only. Bulk groups by V gene differ from one global fold where reads of
-several genes overlap.
+group's task holds distinct reads only. Bulk groups by locus differ from one global fold where reads of
+several loci overlap.
 """
 
 from __future__ import annotations

@@ -30,15 +30,16 @@ def solve(reads: np.ndarray, variants: np.ndarray, weight: np.ndarray, n_reads:
     return counts
 
 
-def abundances(compat: DataFrame, group: str = "contig", read: str = "read", variant: str = "variant") -> DataFrame:
-    """group, variant, n from (group, read, variant) rows.
+def abundances(compat: DataFrame, group: str = "contig", read: str = "read", variant: str = "variant", weight: str | None = None) -> DataFrame:
+    """group, variant, n from (group, read, variant) rows; weight: a column that tells how many equal reads a read stands for.
 
     Reads that fit the same variants are merged first, in the engine, so a group's task holds its
     distinct sets of variants and not its reads. Variants are taken in their natural order: the first
     one gets everything if no read fits a single variant.
     """
-    sets = compat.select(group, read, variant).distinct().groupBy(group, read).agg(F.array_sort(F.collect_list(variant)).alias("vs"))
-    merged = sets.groupBy(group, "vs").agg(F.count(F.lit(1)).alias("w"))
+    times = F.col(weight) if weight else F.lit(1)
+    sets = compat.groupBy(group, read).agg(F.array_sort(F.collect_set(variant)).alias("vs"), F.max(times).alias("w"))
+    merged = sets.groupBy(group, "vs").agg(F.sum("w").alias("w"))
     kinds = dict(compat.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..functions.align import mate_overlap
 
-OUT = "id STRING, seq STRING, qual STRING, merged BOOLEAN"
+OUT = "id STRING, seq STRING, qual STRING, merged BOOLEAN, mate INT"
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
@@ -59,18 +59,18 @@ def resolve(seq1: str, qual1: str | None, seq2: str, qual2: str | None) -> list[
 
 
 def resolve_pairs(pairs: DataFrame) -> DataFrame:
-    """id, seq, qual, merged from pairs (id, seq, qual, seq_2, qual_2): a map without a shuffle; a merged read comes twice, as id and id.1, and low-complexity reads go."""
+    """id, seq, qual, merged, mate (1 or 2) from pairs (id, seq, qual, seq_2, qual_2): a map without a shuffle; a merged read comes twice, as id and id.1, and low-complexity reads go. Mates that stay apart share their id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for rid, s1, q1, s2, q2 in pdf.itertuples(index=False):
                 reads = [(s1, q1, False)] if s2 is None else resolve(s1, q1, s2, q2)
-                for seq, qual, merged in reads:
-                    out.append((rid, seq, qual, merged))
+                for mate, (seq, qual, merged) in enumerate(reads, 1):
+                    out.append((rid, seq, qual, merged, mate))
                     if merged:
-                        out.append((f"{rid}.1", seq, qual, merged))
-            yield pd.DataFrame(out, columns=["id", "seq", "qual", "merged"])
+                        out.append((f"{rid}.1", seq, qual, merged, 2))
+            yield pd.DataFrame(out, columns=["id", "seq", "qual", "merged", "mate"])
 
     got = pairs.select("id", "seq", "qual", "seq_2", "qual_2").mapInPandas(run, OUT)
     return got.where(~dna.low_complexity(F.col("seq")))

@@ -2,11 +2,12 @@
 
 import csv
 
+import pytest
 from pyspark.sql import functions as F
 
 from immunospark.functions import cdr3 as fcdr3
-from immunospark.functions import genes
-from immunospark.operators import report
+from immunospark.functions import dna, genes
+from immunospark.operators import assemble, graph, mates, reference, report, variants
 from immunospark.sources import sinks, tables
 from immunospark.sources.fastx import read_fastx
 
@@ -116,7 +117,7 @@ def test_assembly_recovers_golden_contigs(spark, golden):
     from immunospark.operators import assemble, kmers, mates, reference
 
     one, two = (read_fastx(spark, str(golden / f"{k}.fq")) for k in (1, 2))
-    reads = mates.resolve_pairs(tables.zipped(one, two))
+    reads = mates.resolve_pairs(tables.zipped(one, two)).withColumn("id", F.concat_ws("/", "id", "mate"))
     ref = reference.load(read_fastx(spark, str(golden / "genes.fa")))
     hit = reference.read_hits(reads, ref, 27)
     turned = reads.join(hit.select("id", "strand"), "id").select("id", F.when(F.col("strand") == 1, F.col("seq")).otherwise(dna.reverse_complement(F.col("seq"))).alias("seq"), F.lit("all").alias("g"))
@@ -125,3 +126,61 @@ def test_assembly_recovers_golden_contigs(spark, golden):
     pieces = {s[i : i + 60] for s in made for i in range(len(s) - 59)}
     share = [sum(g[i : i + 60] in pieces for i in range(len(g) - 59)) / max(1, len(g) - 59) for g in gold if len(g) >= 60]
     assert len(made) > 50 and sum(x > 0.5 for x in share) / len(share) > 0.6
+
+
+@pytest.fixture(scope="module")
+def stage2(spark, golden):
+    """Golden contigs, CDR3 rows and the loaded reference."""
+    ref = graph.cut(reference.load(read_fastx(spark, str(golden / "genes.fa"))))
+    return graph.cut(tables.parse_annotation(read_fastx(spark, str(golden / "annot.fa")))), tables.read_cdr3(spark, str(golden / "cdr3.out")), ref
+
+
+def test_germline_similarity_is_the_golden_one(spark, stage2):
+    ann, rows, ref = stage2
+    got = variants.with_germline_similarity(rows.select("cid", "cdr3", F.col("germline_similarity").alias("want")), ann, ref).collect()
+    assert len(got) == 75 and all(abs(r.want - r.germline_similarity) < 0.011 for r in got)
+
+
+def test_counts_of_reads_on_golden_contigs(spark, golden, stage2):
+    """Reads are laid on the golden contigs; variants and their counts are those of the golden table but where a read fits two contigs alike."""
+    ann, rows, ref = stage2
+    one, two = (read_fastx(spark, str(golden / f"{k}.fq")) for k in (1, 2))
+    single = mates.resolve_pairs(tables.zipped(one, two)).withColumn("fragment", mates.fragment_id(F.col("id"), F.col("merged")))
+    single = graph.cut(single.withColumn("id", F.concat_ws("/", "id", "mate")))
+    assert single.select("id").distinct().count() == single.count()
+    hit = reference.read_hits(single, ref, 27)
+    turned = single.join(hit.select("id", "strand"), "id").select("id", "fragment", F.when(F.col("strand") == 1, F.col("seq")).otherwise(dna.reverse_complement(F.col("seq"))).alias("seq"), F.lit("all").alias("g"))
+    contigs = ann.select(F.lit("all").alias("g"), F.regexp_extract("cid", r"(\d+)", 1).cast("int").alias("contig"), F.col("seq").alias("consensus"))
+    lying = assemble.assigned(turned, contigs, ["g"]).join(turned, ["g", "id"]).select(F.concat(F.lit("assemble"), F.col("contig")).alias("cid"), "fragment", F.lit(None).cast("string").alias("umi"), "offset", "seq")
+    got = variants.counted(ann, graph.cut(lying))
+    both = rows.select("cid", "idx", F.col("cdr3").alias("want"), F.col("count").alias("n")).join(got, ["cid", "idx"]).collect()
+    assert sum(r.want == r.cdr3 for r in both) >= 73 and sum(abs(r.n - r["count"]) < 0.006 for r in both) >= 71
+
+
+def test_variants_share_reads(spark):
+    """Two variants: spanning reads tell them apart, a part that fits both is shared out, mates and UMIs count once."""
+    ann = spark.createDataFrame([("c", "T" * 10 + "ACGTACGTACGT" + "T" * 10, (10, 21, 100.0, "ACGTACGTACGT"))], "cid STRING, seq STRING, cdr3 STRUCT<start: INT, end: INT, score: DOUBLE, seq: STRING>")
+    a, b = "ACGTACGTACGT", "ACGTACGTAAAA"
+    rows = [("c", f"a{i}", None, 8, "TT" + a + "TT") for i in range(6)] + [("c", f"b{i}", None, 10, b) for i in range(3)]
+    rows += [("c", f"s{i}", None, 4, "T" * 6 + a[:8]) for i in range(3)]  # fits both
+    rows += [("c", "a0", None, 16, a[6:] + "TTT"), ("c", "odd", None, 10, "CCCCCCCC"), ("c", "far", None, 0, "T" * 12)]
+    schema = "cid STRING, fragment STRING, umi STRING, offset INT, seq STRING"
+    got = {r.cdr3: r["count"] for r in variants.counted(ann, spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == {a, b} and abs(got[a] - 8) < 1e-4 and abs(got[b] - 4) < 1e-4
+    marked = [(c, f, "u1" if f.startswith("a") else "u" + f, o, s) for c, f, _, o, s in rows if f[0] in "ab"]
+    got = {r.cdr3: r["count"] for r in variants.counted(ann, spark.createDataFrame(marked, schema)).collect()}
+    assert got == {a: 1.0, b: 3.0}
+    one = variants.counted(ann, spark.createDataFrame(rows, schema), single=True).collect()
+    assert [(r.idx, r.cdr3, r["count"]) for r in one] == [(0, a, 13.0)]
+    assert variants.counted(ann, spark.createDataFrame([], schema)).count() == 0
+
+
+def test_ties_go_to_the_more_abundant_gene(spark):
+    hit = lambda g, a, e, s: (g, 300, a, e, 0, e - a, s)
+    h = "ARRAY<STRUCT<gene: STRING, ref_len: INT, read_start: INT, read_end: INT, ref_start: INT, ref_end: INT, similarity: DOUBLE>>"
+    rows = [("x", [hit("V1", 0, 99, 98.0), hit("V2", 5, 104, 98.0), hit("V3", 0, 90, 98.0)], []), ("y", [hit("V2", 0, 50, 90.0)], [hit("J1", 60, 80, 100.0)]), ("z", [hit("V3", 0, 9, 90.0)], []), ("n", [], [])]
+    ann = spark.createDataFrame([(c, v, [], j, []) for c, v, j in rows], f"cid STRING, v {h}, d {h}, j {h}, c {h}")
+    made = spark.createDataFrame([("x", 100, "A" * 100), ("y", 300, "A" * 100), ("z", 9000, "A" * 100), ("n", 1, "A")], "cid STRING, weight BIGINT, seq STRING")
+    got = {r.cid: r for r in variants.tie_broken(ann, made).collect()}
+    assert [x.gene for x in got["x"].v] == ["V2", "V1", "V3"]
+    assert [x.gene for x in got["y"].v] == ["V2"] and [x.gene for x in got["y"].j] == ["J1"] and got["n"].v == []

@@ -26,6 +26,17 @@ def test_bulk_run(spark, inputs):
     assert out["airr"].where("locus = 'IGH'").count() > 0
 
 
+def test_run_goes_on_from_stored_results(spark, inputs, tmp_path):
+    pairs, ref, _ = inputs
+    first = pipeline.run(pairs, ref)
+    pipeline.resume(0, str(tmp_path), {k: first[k] for k in ("reads", "contigs", "annotations", "placed", "cdr3")})
+    again = pipeline.run(pairs.limit(0), ref, stored=pipeline.stored_results(3, str(tmp_path), spark))
+    assert sorted(map(str, again["report"].collect())) == sorted(map(str, first["report"].collect()))
+    rows = first["cdr3"].collect()
+    assert len({r.ordinal for r in rows}) == len(rows) and all(0 <= r.germline_similarity <= 100 for r in rows)
+    assert any(r.germline_similarity > 80 for r in rows)
+
+
 def test_cells_run(spark, inputs):
     pairs, ref, _ = inputs
     pairs = pairs.withColumn("barcode", F.concat(F.lit("BC"), (F.pmod(F.xxhash64("id"), F.lit(3))).cast("string")))
