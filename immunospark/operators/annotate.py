@@ -4,13 +4,15 @@ Stateless and so embarrassingly parallel: contigs stream through Arrow batches a
 whose size is that of a gene catalogue (about a thousand short sequences; MAX_GENES is checked). For
 each contig, k-mer hits choose candidate genes and their main diagonal; a candidate is aligned as the
 best-scoring ungapped stretch of its diagonal, or by a gapped local alignment when its hits leave that
-diagonal. The best V, J and C of one locus are kept, CDR1 and CDR2 are projected from the V gene's
-coordinates, the CDR3 runs from the conserved cysteine to the J motif, and the D gene is looked for
-between V and J.
+diagonal. A contig that a run of N parts, such as joined mates, is hit segment by segment, and hits of one
+gene in order make one hit across the gap. The best V, J and C of one locus are kept, CDR1 and CDR2 are
+projected from the V gene's coordinates, the CDR3 runs from the conserved cysteine to the J motif, and the D
+gene is looked for between V and J. A CDR3 with a gap in it, or without V or J, is partial, of score 0.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,12 +27,18 @@ from ..functions.dna import CODONS
 
 MAX_GENES = 20_000
 K, RADIUS = 9, 10
-#: Bases that k-mer hits of a candidate must cover, by gene type; hits that an alignment must score.
-NEED = {"V": 15, "J": 11, "C": 15}
+#: Bases that k-mer hits of a candidate must cover, by gene type.
+NEED = {"V": 17, "J": 15, "C": 17}
+#: Letters N in a row that part a contig.
+GAP = 7
+#: Letters of a gene, less one, that hits on either side of a gap may share.
+OVERLAP = 2
 #: Candidates aligned per type; share of the best similarity that secondary hits have; hits kept.
 CANDIDATES, SECONDARY, KEEP = 40, 0.95, 3
 MIN_SIMILARITY = 0.8
 MIN_CDR3, MAX_CDR3 = 18, 180
+#: Bases from a segment's end within which a partial CDR3 must reach its known anchor; codons tried for a motif there.
+PARTIAL, TRIED = 60, 4
 
 _HIT = "array<struct<gene:string,ref_len:int,read_start:int,read_end:int,ref_start:int,ref_end:int,similarity:double>>"
 _CDR = "struct<start:int,end:int,score:double,seq:string>"
@@ -59,6 +67,7 @@ class Hit:
     matches: int
     diagonal: bool
     script: str = field(default="", repr=False)
+    parts: list[Hit] = field(default_factory=list, repr=False)
 
     @property
     def similarity(self) -> float:
@@ -68,6 +77,8 @@ class Hit:
         """The contig position that a gene position lies on."""
         if not self.ref_start <= ref <= self.ref_end:
             return None
+        if self.parts:
+            return next((x for p in self.parts if (x := p.at(ref)) is not None), None)
         if self.diagonal:
             return self.start + ref - self.ref_start
         i, j = self.start, self.ref_start
@@ -102,10 +113,10 @@ class Reference:
         pair = lambda x: (x["a"], x["b"]) if x else None
         return cls([Gene(r["name"].split("|")[0], r["seq"], r["gene_type"], r["locus"], pair(r["cdr1"]), pair(r["cdr2"]), r["cdr3_start"], r["j_end"]) for r in rows if r["gene_type"]])
 
-    def stretch(self, g: int, text: np.ndarray, diagonal: int) -> Hit | None:
-        """The best-scoring ungapped stretch of a diagonal (contig position minus gene position): 1 for a match, -2 for a mismatch, 0 for N."""
+    def stretch(self, g: int, text: np.ndarray, diagonal: int, lo: int, hi: int) -> Hit | None:
+        """The best-scoring ungapped stretch of a diagonal (contig position minus gene position) within [lo, hi): 1 for a match, -2 for a mismatch, 0 for N."""
         ref = self.letters[g]
-        first, last = max(0, diagonal), min(len(text), diagonal + len(ref))
+        first, last = max(lo, diagonal), min(hi, diagonal + len(ref))
         if last <= first:
             return None
         t, r = text[first:last], ref[first - diagonal : last - diagonal]
@@ -128,35 +139,71 @@ class Reference:
         read, ref = sum(c in "=XI" for c in script), sum(c in "=XD" for c in script)
         return Hit(gene, lo + ps, lo + ps + read - 1, ts, ts + ref - 1, m, "I" not in script and "D" not in script, script)
 
+    def aligned(self, g: int, seq: str, text: np.ndarray, counts: Counter, lo: int, hi: int) -> Hit | None:
+        """The alignment of a gene with a segment of a contig, by its k-mer hits per diagonal."""
+        d, n = max(counts.items(), key=lambda x: (x[1], -x[0]))
+        near = sum(c for e, c in counts.items() if abs(e - d) <= RADIUS)
+        hit = self.stretch(g, text, d, lo, hi)
+        if near > n + K:  # a good part of the hits lies off the diagonal: an indel
+            more = self.gapped(g, seq, max(lo, d - RADIUS), min(hi, d + len(self.genes[g].seq) + RADIUS))
+            if more and (hit is None or more.matches > hit.matches + 3):
+                hit = more
+        return hit
+
     def hits(self, seq: str) -> dict[str, list[Hit]]:
         """Alignments by gene type, best first."""
-        diagonals: dict[int, Counter] = defaultdict(Counter)
-        for i in range(len(seq) - K + 1):
-            for g, offset in self.index.get(seq[i : i + K], ()):
-                diagonals[g][i - offset] += 1
+        pieces = segments(seq)
+        votes: dict[int, dict[int, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        for s, (lo, hi) in enumerate(pieces):
+            for i in range(lo, hi - K + 1):
+                for g, offset in self.index.get(seq[i : i + K], ()):
+                    votes[g][s][i - offset] += 1
         text = align.letters(seq)
         ranked: dict[str, list] = defaultdict(list)
-        for g, counts in diagonals.items():
-            d, n = max(counts.items(), key=lambda x: (x[1], -x[0]))
-            near = sum(c for e, c in counts.items() if abs(e - d) <= RADIUS)
+        for g, by in votes.items():
+            near = 0
+            for counts in by.values():
+                d = max(counts.items(), key=lambda x: (x[1], -x[0]))[0]
+                near = max(near, sum(c for e, c in counts.items() if abs(e - d) <= RADIUS))
             if near + K - 1 >= NEED[self.genes[g].kind]:
-                ranked[self.genes[g].kind].append((-near, g, d, n))
+                ranked[self.genes[g].kind].append((-near, g))
         out: dict[str, list[Hit]] = {}
         for kind, rows in ranked.items():
             found = []
-            for near, g, d, n in sorted(rows)[:CANDIDATES]:
-                hit = self.stretch(g, text, d)
-                if -near > n + K:  # a good part of the hits lies off the diagonal: an indel
-                    lo, hi = max(0, d - RADIUS), min(len(seq), d + len(self.genes[g].seq) + RADIUS)
-                    more = self.gapped(g, seq, lo, hi)
-                    if more and (hit is None or more.matches > hit.matches + 3):
-                        hit = more
-                if hit and hit.similarity >= MIN_SIMILARITY and hit.matches >= NEED[kind] - 2:
-                    found.append((-hit.matches, -hit.similarity, g, hit))
+            for _, g in sorted(rows)[:CANDIDATES]:
+                parts = [h for s, counts in sorted(votes[g].items()) if (h := self.aligned(g, seq, text, counts, *pieces[s])) and h.matches >= K]
+                for hit in [joined(parts)] if parts else []:
+                    if hit.similarity >= MIN_SIMILARITY and hit.matches >= NEED[kind] - 2:
+                        found.append((-hit.matches, -hit.similarity, g, hit))
             out[kind] = [x[-1] for x in sorted(found, key=lambda x: x[:3])]
         return out
 
 
+def segments(seq: str) -> list[tuple[int, int]]:
+    """The stretches [from, to) of a contig between runs of N."""
+    out, at = [], 0
+    for m in re.finditer("N{%d,}" % GAP, seq):
+        out.append((at, m.start()))
+        at = m.end()
+    return [x for x in [*out, (at, len(seq))] if x[1] > x[0]]
+
+
+def joined(parts: list[Hit]) -> Hit:
+    """One hit of a gene's hits in a contig's segments: all that follow one another in the gene too, but for less than OVERLAP letters, if alike enough, else the best."""
+    best = max(parts, key=lambda h: h.matches)
+    chain = [best]
+    for h in parts[parts.index(best) + 1 :]:
+        if h.ref_start + OVERLAP > chain[-1].ref_end:
+            chain.append(h)
+    for h in parts[: parts.index(best)][::-1]:
+        if h.ref_end < chain[0].ref_start + OVERLAP:
+            chain.insert(0, h)
+    if len(chain) == 1:
+        return best
+    whole = Hit(best.gene, chain[0].start, chain[-1].end, chain[0].ref_start, chain[-1].ref_end, sum(h.matches for h in chain), False, parts=chain)
+    return whole if whole.similarity >= MIN_SIMILARITY else best
+
+
 def codon(seq: str, at: int) -> str:
     return CODONS.get(seq[at : at + 3], "?") if at >= 0 else "?"
 
@@ -189,45 +236,58 @@ def one_locus(found: dict[str, list[Hit]]) -> dict[str, list[Hit]]:
     return {k: [h for h in hits if family(h.gene.locus) == top] for k, hits in found.items()}
 
 
+def anchor_of(hit: Hit | None, ref: int | None, piece) -> int | None:
+    """Where a gene's CDR3 anchor lies, on the hit or beyond its end in the same segment; piece() tells a place's segment."""
+    if hit is None or ref is None:
+        return None
+    if hit.ref_start <= ref <= hit.ref_end:
+        return hit.at(ref)
+    edge, at = (hit.end, hit.end + ref - hit.ref_end) if ref > hit.ref_end else (hit.start, hit.start - (hit.ref_start - ref))
+    return at if piece(at) == piece(edge) else None
+
+
 def cdr3_of(seq: str, v: Hit | None, j: Hit | None) -> tuple[int, int, float] | None:
     """start, end (inclusive) and score of the CDR3; score 0 where it is partial."""
-    start = None
-    if v and v.gene.cdr3_start is not None:
-        start = v.at(v.gene.cdr3_start)
-        if start is None and v.diagonal:
-            start = v.start + v.gene.cdr3_start - v.ref_start
-        if start is not None and not 0 <= start <= len(seq) - 3:
-            start = None
-    if start is None or codon(seq, start) != "C":
+    parts = segments(seq)
+    piece = lambda p: next(((a, b) for a, b in parts if a <= p < b), None)
+    start = anchor_of(v, v.gene.cdr3_start if v else None, piece)
+    if start is not None and not 0 <= start <= len(seq) - 3:
+        start = None
+    strong = start is not None and codon(seq, start) == "C"
+    if not strong:
         # the last Y-x-C or YYC near the end of V stands in
         lo, hi = (max(0, v.end - 45), min(len(seq) - 3, v.end + 30)) if v else (0, len(seq) - 3)
         options = [p for p in range(lo, hi) if codon(seq, p) == "C" and "Y" in (codon(seq, p - 3), codon(seq, p - 6))]
         both = [p for p in options if codon(seq, p - 3) == codon(seq, p - 6) == "Y"]
-        if start is None and not (both or options):
-            start = None
-        elif both or options:
+        if both or options:
             near = both or options
             start = min(near, key=lambda p: abs(p - start)) if start is not None else near[-1]
-    end = None
-    if j and j.gene.j_end is not None:
-        place = j.at(j.gene.j_end)
-        if place is None and j.diagonal:
-            place = j.start + j.gene.j_end - j.ref_start
-        if place is not None and place < len(seq):
-            end = place
-    if start is None and end is None:
-        return None
-    if start is None or end is None:
-        if start is None:
+            strong = start in both
+    end = anchor_of(j, j.gene.j_end if j else None, piece)
+    if end is not None and not 2 <= end < len(seq):
+        end = None
+    if end is None:
+        # without a J's anchor the CDR3 goes on to the last whole codon of its segment, or to a W or F codon close to there
+        if start is None or v is None or not strong or (place := piece(start)) is None:
+            return None
+        stop = place[1]
+        if start + MIN_CDR3 >= stop or start + 2 + PARTIAL <= stop:
+            return None
+        last = stop - 1 - (stop - start) % 3
+        ends = [e for e in range(last, last - 3 * TRIED, -3) if e - start + 1 >= MIN_CDR3]
+        return next(((start, e, 0.0) for e in ends if codon(seq, e - 2) in "FW"), (start, last, 0.0)) if ends else None
+    if start is None:
+        # without a V it begins in frame where its segment does, or at a C codon close to there
+        if v is not None or (place := piece(end)) is None or not 15 < end - 2 - place[0] <= PARTIAL:
             return None
-        stop = len(seq) - 1 if j is None else min(len(seq) - 1, j.end)
-        size = (stop - start + 1) // 3 * 3
-        return (start, start + size - 1, 0.0) if size >= 3 else None
+        first = (end - 2) % 3
+        starts = [s for s in range(first, first + 3 * TRIED, 3) if end - s + 1 >= MIN_CDR3]
+        return next(((s, end, 0.0) for s in starts if codon(seq, s) == "C"), (first, end, 0.0)) if starts else None
     if end - start + 1 < MIN_CDR3 or end - start + 1 >= MAX_CDR3:
         return None
     marks = [codon(seq, start - 6) == "Y", codon(seq, start - 3) == "Y", codon(seq, start) == "C", codon(seq, end - 2) in "FW", codon(seq, end + 1) == "G", codon(seq, end + 7) == "G"]
-    score = 100 * sum(marks) / 6
-    return (start, end, score) if marks[2] or marks[3] else (start, end, 0.0)
+    whole = v is not None and j is not None and piece(start) == piece(end) and (marks[2] or marks[3])
+    return start, end, 100 * sum(marks) / 6 if whole else 0.0
 
 
 def d_gene(ref: Reference, seq: str, v: Hit, j: Hit, locus: str) -> list[Hit]:
