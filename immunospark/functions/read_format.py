@@ -61,3 +61,10 @@ def extract(parts: list[Part], seq: Column, comment: Column | None = None, compl
     if any(p.minus for p in parts):
         return reverse_complement_strict(whole) if complement else F.reverse(whole)
     return whole
+
+
+def read_name(name: Column, trim: int = -1) -> Column:
+    """The name that mates share: without its last `trim` letters, or, at -1, without a final /1 or /2."""
+    if trim < 0:
+        return F.regexp_replace(name, "/[12]$", "")
+    return F.substr(name, F.lit(1), F.greatest(F.length(name) - trim, F.lit(0)))

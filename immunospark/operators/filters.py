@@ -55,3 +55,25 @@ def trim_to_genes(seq: Column, v: Column, c: Column, j: Column, heavy: Column) -
     start = F.coalesce(F.when(v.ref_start == 0, v.read_start), F.lit(0))
     stop = F.coalesce(c.read_end, F.when(~heavy, j.read_end), F.length(seq) - 1)
     return F.substr(seq, start + 1, F.greatest(stop - start + 1, F.lit(0))), start
+
+
+def either_mate(good_1: Column, good_2: Column, barcode: Column | None = None, seq_1: Column | None = None, seq_2: Column | None = None, barcode_low: Column | None = None) -> Column:
+    """A pair of a FASTQ file stays if either mate is a good candidate, unless its barcode is one of its reads and of low complexity."""
+    good = F.coalesce(good_1, F.lit(False)) | F.coalesce(good_2, F.lit(False))
+    if barcode is None:
+        return good
+    same = F.coalesce(barcode == seq_1, F.lit(False)) | F.coalesce(barcode == seq_2, F.lit(False))
+    return good & ~(same & F.coalesce(barcode_low, F.lit(False)))
+
+
+def both_complex(low_1: Column, low_2: Column, hit_1: Column, hit_2: Column) -> Column:
+    """A pair of a BAM file stays if neither mate is of low complexity and either hits the reference."""
+    return ~low_1 & ~low_2 & (F.coalesce(hit_1, F.lit(False)) | F.coalesce(hit_2, F.lit(False)))
+
+
+def plausible(v: Column, j: Column, c: Column, cdr3: Column) -> Column:
+    """A contig whose genes lie in order and reach near their ends; without one of them, one whose CDR3 has the full score."""
+    size = F.length(cdr3.seq)
+    order = (v.read_end <= j.read_start) & (j.read_end <= c.read_start + 6)
+    reach = (v.ref_end >= v.ref_len - size) & (j.ref_start <= size) & (j.ref_end >= j.ref_len - 20) & (c.ref_start <= 20)
+    return F.coalesce(cdr3.isNotNull() & F.when(v.isNull() | j.isNull() | c.isNull(), cdr3.score >= 100).otherwise(order & reach), F.lit(False))

@@ -54,6 +54,9 @@ def extract(pairs: DataFrame, ref: DataFrame, options: Options) -> DataFrame:
         rows = rows.withColumn("barcode", F.coalesce("barcode", F.lit(NO_BARCODE))) if options.keep_no_barcode else rows.where("barcode IS NOT NULL")
         if options.barcode_least:
             rows = barcodes.drop_thin_barcodes(rows, options.barcode_least)
+    if "barcode_seq" in pairs.columns:
+        own = pairs.select("id", (dna.low_complexity(F.col("barcode_seq")) & ((F.col("barcode_seq") == F.col("seq")) | F.coalesce(F.col("barcode_seq") == F.col("seq_2"), F.lit(False)))).alias("_own"))
+        rows = rows.join(own.where("_own").select("id"), "id", "left_anti")
     codes = rows.select(F.col("id").alias("fragment"), "barcode", "umi")
     single = mates.resolve_pairs(rows).withColumn("fragment", mates.fragment_id(F.col("id"), F.col("merged")))
     # mates share their id until here

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cdr3 as fcdr3
@@ -589,3 +589,70 @@ def mate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment"), (F.col("o_custkey") % 60).alias("contig"), (F.col("o_orderkey") % 100).alias("offset"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fragment"), (F.col("l_suppkey") % 60).alias("contig"), F.col("l_linenumber").cast("bigint").alias("offset"))
     return inside.mate_edges(o.unionByName(li))
+
+
+# ---- filters by gene hits, junctions, motifs -----------------------------------------------------------
+
+from ..operators import filters  # noqa: E402
+
+_HIT_ROWS = """SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, CAST(l_quantity AS INT) AS q, l_partkey % 5 <> 0 AS has_v, l_suppkey % 3 <> 0 AS has_j, l_orderkey % 4 <> 0 AS has_c,
+  CAST(l_partkey % 40 AS INT) AS va, CAST(l_partkey % 40 + 60 AS INT) AS vb, CAST(l_suppkey % 30 AS INT) AS vr, CAST(90 + l_quantity AS INT) AS ja, CAST(120 + l_quantity AS INT) AS jb,
+  CAST(l_linenumber * 3 AS INT) AS jr, CAST(115 + l_partkey % 50 AS INT) AS ca, CAST(170 + l_quantity AS INT) AS cb, CAST(l_orderkey % 260 AS INT) AS cr FROM {lineitem}"""
+
+
+def _hit(kind: str) -> Column:
+    start, end, ref = F.col(f"{kind}a"), F.col(f"{kind}b"), F.col(f"{kind}r")
+    fields = F.struct(F.lit(kind).alias("gene"), F.lit(100).alias("ref_len"), start.alias("read_start"), end.alias("read_end"), ref.alias("ref_start"), (ref + end - start).alias("ref_end"), F.lit(100.0).alias("similarity"))
+    return F.when(F.col(f"has_{kind}"), fields)
+
+
+@query(f"""WITH h AS ({_HIT_ROWS.format(lineitem='lineitem')})
+SELECT o, n, p, q,
+  (has_v AND has_j AND vb - 10 > ja) OR (has_v AND has_c AND vb - 10 > ca) OR (has_j AND has_c AND jb - 10 > ca) AS wrong_order,
+  NOT has_v AND NOT has_j AND has_c AND (cr >= 200 OR (cr >= 100 AND (q % 2 = 0 OR ca > 0 OR cb < 249))) AS constant_only,
+  q < 31 AS too_short,
+  has_v AND has_j AND has_c AND vb <= ja + 3 AND jb <= ca + 6 AND vr <= 10 AND cr <= 10 AS full_length,
+  has_v AND has_j AND vb <= ja + 3 AND vr = 0 AND vb >= 80 AND ja <= 130 AND jr + jb - ja >= 99 AS complete_vdj,
+  CASE WHEN has_v AND has_j AND has_c THEN vb <= ja AND jb <= ca + 6 AND vr + vb - va >= 49 AND jr <= 51 AND jr + jb - ja >= 80 AND cr <= 20 ELSE q >= 25 END AS plausible FROM h""")
+def hit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filters that look at a read's or contig's gene hits, over hits made of every line."""
+    rows = spark.sql(_HIT_ROWS, lineitem=table(spark, sf_dir, "lineitem"))
+    v, j, c = _hit("v"), _hit("j"), _hit("c")
+    text = F.repeat(F.lit("A"), 250)
+    cdr3 = F.struct(F.lit(80).alias("start"), F.lit(130).alias("end"), F.when(F.col("q") >= 25, 100.0).otherwise(50.0).alias("score"), F.repeat(F.lit("A"), 51).alias("seq"))
+    return rows.select(
+        "o", "n", "p", "q", filters.wrong_order([v, j, c]).alias("wrong_order"), filters.constant_only(v, j, c, F.lit(250), F.when(F.col("q") % 2 == 0, 1).otherwise(-1)).alias("constant_only"),
+        filters.too_short(F.col("q"), 100).alias("too_short"), filters.full_length(v, j, c, text).alias("full_length"), filters.complete_vdj(v, j, cdr3, text).alias("complete_vdj"),
+        filters.plausible(v, j, c, cdr3).alias("plausible"),
+    )
+
+
+@query(f"""WITH h AS ({_HIT_ROWS.format(lineitem='lineitem')}), x AS (SELECT *, p % 2 = 0 AS with_d, vb + 3 AS da, vb + 3 + n AS db, 80 AS s, 130 AS e FROM h)
+SELECT o, n, p, q, CASE WHEN has_v AND has_j AND vb < ja AND vb >= s AND ja <= e THEN
+  concat_ws(',', vb - s, 99 - (vr + vb - va), CASE WHEN with_d AND db < ja THEN (da - vb - 1)::VARCHAR WHEN NOT with_d THEN (ja - vb - 1)::VARCHAR ELSE '*' END,
+    CASE WHEN with_d AND db < ja THEN concat_ws(',', 2, da - s, db - s, 99 - 2 - n, ja - db - 1) ELSE '*,*,*,*,*' END, jr, ja - s) END AS junction FROM x""")
+def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_HIT_ROWS, lineitem=table(spark, sf_dir, "lineitem"))
+    d = F.struct(F.lit(100).alias("ref_len"), (F.col("vb") + 3).alias("read_start"), (F.col("vb") + 3 + F.col("n")).alias("read_end"), F.lit(2).alias("ref_start"), (F.col("n") + 2).alias("ref_end"))
+    return rows.select("o", "n", "p", "q", fcdr3.junction(_hit("v"), d, _hit("j"), F.lit(80), F.lit(130), F.col("p") % 2 == 0).alias("junction"))
+
+
+@query(f"""WITH r AS ({READS_DUCK}), f AS (SELECT id, seq, {_aa('seq')} AS a, {_aa('substr(seq, 2)')} AS b, {_aa('substr(seq, 3)')} AS c, regexp_replace(seq, 'GTG', 'NNNNNNNN', 'g') AS parted FROM r)
+SELECT id, contains(a, 'YYC') OR contains(b, 'YYC') OR contains(c, 'YYC') AS v_motif, regexp_matches(a, '[FW]G.G') OR regexp_matches(b, '[FW]G.G') OR regexp_matches(c, '[FW]G.G') AS j_motif,
+  array_to_string(regexp_split_to_array(parted, 'N{{7,}}'), '|') AS pieces, length(seq) - length(replace(seq, 'G', '')) AS n_g FROM f""")
+def read_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motifs of V and J genes in the three frames, and the pieces between runs of N that stand for a frequent triple."""
+    s = F.col("seq")
+    v, j = dna.motif_frames(s)
+    return reads(spark, sf_dir).select("id", v.alias("v_motif"), j.alias("j_motif"), F.array_join(dna.n_runs(F.regexp_replace(s, "GTG", "NNNNNNNN")), "|").alias("pieces"), dna.count_base(s, "G").alias("n_g"))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS id, substr('ACGTN', (o_orderkey % 5)::INT + 1, 1) AS base, (o_custkey % 7)::INT AS a, (o_orderkey % 11)::INT AS c, (o_custkey % 3)::INT AS g, 0 AS t, 'r' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '/1' WHEN o_orderkey % 3 = 1 THEN '/2' ELSE '/3' END AS name FROM orders)
+SELECT id, base = 'N' OR a + c + g + t = 0 OR CASE base WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END * 3 > a + c + g + t AS fits, regexp_replace(name, '/[12]$', '') AS mate_name, left(name, -2) AS short_name FROM x""")
+def base_and_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.substr(F.lit("ACGTN"), (F.col("o_orderkey") % 5).cast("int") + 1, F.lit(1)).alias("base"),
+        F.struct((F.col("o_custkey") % 7).cast("int").alias("a"), (F.col("o_orderkey") % 11).cast("int").alias("c"), (F.col("o_custkey") % 3).cast("int").alias("g"), F.lit(0).alias("t")).alias("w"),
+        F.concat(F.lit("r"), F.col("o_custkey").cast("string"), F.element_at(F.array(F.lit("/1"), F.lit("/2"), F.lit("/3")), (F.col("o_orderkey") % 3).cast("int") + 1)).alias("name"),
+    )
+    return rows.select("id", pileup.base_compatible(F.col("w"), F.col("base")).alias("fits"), read_format.read_name(F.col("name")).alias("mate_name"), read_format.read_name(F.col("name"), 2).alias("short_name"))

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cdr3 as fcdr3
+from ..functions import genes
+from ..operators.airr import COLUMNS as AIRR
 from .tables import MISSING_BARCODE, annotation_line
 
 
+#: The columns of the 10x contig table. Fixed values.
+TENX = [
+    "barcode", "is_cell", "contig_id", "high_confidence", "length", "chain", "v_gene", "d_gene", "j_gene", "c_gene", "full_length", "productive", "cdr3", "cdr3_nt", "reads", "umis",
+    "raw_clonotype_id", "raw_consensus_id",
+]
+#: Results that each cleanup level deletes.
+CLEANED = [["reads", "contigs", "placed"], ["annotations", "cdr3", "report", "cells"]]
+
+
 def fastx_lines(reads: DataFrame, seq: Column | None = None, qual: Column | None = None) -> DataFrame:
     """FASTQ records, FASTA ones where there is no quality."""
     seq, qual = seq if seq is not None else F.col("seq"), qual if qual is not None else F.col("qual")
@@ -46,6 +58,46 @@ def assignment_lines(assigned: DataFrame) -> DataFrame:
     return assigned.select(F.concat_ws("\t", "id", "cid").alias("value"))
 
 
+def airr_lines(rows: DataFrame) -> DataFrame:
+    """Lines of the AIRR table; its header is the tab-separated names of the columns."""
+    two = {"consensus_count": lambda c: F.format_string("%.2f", c.cast("double"))}
+    return rows.select(F.concat_ws("\t", *[F.coalesce(two.get(c, lambda x: x.cast("string"))(F.col(c)), F.lit("")) for c in AIRR]).alias("value"))
+
+
+def write_airr(rows: DataFrame, path: str) -> None:
+    write_lines(airr_lines(rows), path, "\t".join(AIRR))
+
+
+def tenx_lines(report: DataFrame, t_cells: bool) -> DataFrame:
+    """Lines of the 10x contig table: both chains of T cells, or of all others."""
+    parts = [report.select("barcode", "cell_type", F.lit(s).alias("side"), F.col(f"chain{s}").alias("x")).where(F.col("x").isNotNull()) for s in (1, 2)]
+    rows = parts[0].unionByName(parts[1]).where(F.col("cell_type").endswith("T") == F.lit(t_cells))
+    x, none, truth = F.col("x"), F.lit("None"), lambda c: F.when(c, "True").otherwise("False")
+    count = F.format_string("%.2f", x["count"])
+    fields = [
+        F.col("barcode"), F.lit("True"), x.cid, F.lit("True"), none, F.coalesce(genes.locus_by_first_called(x.v, x.j, x.c), none), *[F.coalesce(x[g], none) for g in "vdjc"],
+        truth(x.complete_vdj == 1), truth(fcdr3.productive(x.cdr3aa)), x.cdr3aa, x.cdr3nt, count, count, none, none,
+    ]
+    return rows.select(F.concat_ws(",", *fields).alias("value"))
+
+
+def write_tenx(report: DataFrame, prefix: str) -> None:
+    """prefix_t.csv and prefix_b.csv."""
+    for kind in "tb":
+        write_lines(tenx_lines(report, kind == "t"), f"{prefix}_{kind}.csv", ",".join(TENX))
+
+
+def clean(spark: SparkSession, folder: str, level: int) -> list[str]:
+    """Delete a run's results (see plans.pipeline.resume) that are in between, at level 1, and those that reports are made of too, at level 2; the names deleted."""
+    names = [name for at, group in enumerate(CLEANED, 1) if at <= level for name in group]
+    jvm, gone = spark.sparkContext._jvm, []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True):
+            gone.append(name)
+    return gone
+
+
 def write_lines(lines: DataFrame, path: str, header: str | None = None) -> None:
     """Write lines; a header goes into a part of its own, before all others."""
     if header is None:
