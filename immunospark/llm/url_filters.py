@@ -3,7 +3,8 @@
 Labelled page outcomes are counted per host, registered domain and suffix. Each level's rate is a
 beta-binomial posterior whose prior has the mean of the level above and a strength estimated from
 the spread among the units of that level (method of moments): suffixes shrink to the overall rate,
-domains to their suffix, hosts to their domain. A page is blocked if the lower posterior bound of
+domains to their suffix, hosts to their domain. What a unit adds to the level above is left out there, so that no
+outcome is prior and evidence at once; where one suffix has all outcomes, the overall rate stands. A page is blocked if the lower posterior bound of
 its host's bad rate is above MAX_BAD, so a host without evidence is never blocked.
 
 Outcomes are pre-aggregated per host before any shuffle, and stored; the pages meet one row per host in a plain
@@ -69,12 +70,12 @@ def with_units(df: DataFrame) -> DataFrame:
 
 
 def strength(units: DataFrame) -> DataFrame:
-    """One row: the overall rate m and the prior strength that the spread among units (k bad of n) tells."""
+    """One row: the overall counts k and n, their rate m and the prior strength that the spread among units (k bad of n) tells."""
     totals = units.agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("u"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("sq"))
     m = F.col("k") / F.col("n")
     v = m * (1 - m)
     between = F.greatest(F.col("sq") / F.col("n") - m * m - v * F.col("u") / F.col("n"), F.lit(1e-9))
-    return totals.select(m.alias("m"), F.least(F.greatest(v / between - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("strength"))
+    return totals.select("k", "n", m.alias("m"), F.least(F.greatest(v / between - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("strength"))
 
 
 def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -85,17 +86,20 @@ def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
         "domain": seen.groupBy("domain").agg(F.sum("k").alias("k"), F.sum("n").alias("n")),
         "host": seen.select("host", "k", "n"),
     }
-    df, mean = with_units(hosts), None
+    df, strengths, whole = with_units(hosts), {}, None
     for name, units in levels.items():
-        got = strength(units).first()
-        if got is None or got["m"] is None:
+        whole = strength(units).first()
+        if whole is None or whole["m"] is None:
             return hosts.select("host", F.lit(False).alias("blocked"))
-        mean = F.lit(got["m"]) if mean is None else mean
-        units = units.select(name, F.col("k").alias(f"k_{name}"), F.col("n").alias(f"n_{name}"))
-        df = df.join(units, name, "left")
-        k, n = F.coalesce(f"k_{name}", F.lit(0)), F.coalesce(f"n_{name}", F.lit(0))
-        size = F.lit(got["strength"]) + n
-        mean = (mean * got["strength"] + k) / size
+        strengths[name] = whole["strength"]
+        df = df.join(units.select(name, F.col("k").alias(f"k_{name}"), F.col("n").alias(f"n_{name}")), name, "left")
+    count = lambda c, name: F.coalesce(f"{c}_{name}", F.lit(0)) if name else F.lit(0)
+    others = F.lit(whole["n"]) - count("n", "suffix")
+    mean = F.when(others > 0, (F.lit(whole["k"]) - count("k", "suffix")) / others).otherwise(whole["m"])
+    for name, below in (("suffix", "domain"), ("domain", "host"), ("host", None)):
+        n = count("n", name) - count("n", below)
+        mean = (mean * strengths[name] + count("k", name) - count("k", below)) / (strengths[name] + n)
+    size = strengths["host"] + count("n", "host")
     bound = mean - Z * F.sqrt(mean * (1 - mean) / (size + 1))
     return df.select("host", (bound > MAX_BAD).alias("blocked"))
 
@@ -121,13 +125,15 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    def level(name: str, parent: str) -> str:
+    def level(name: str, parent: str, below: str) -> str:
+        k, n = (f"coalesce({c}_{name}, 0) - coalesce({c}_{below}, 0)" if below else f"coalesce({c}_{name}, 0)" for c in "kn")
         return f"""
-{name}_u AS (SELECT {name}, sum(k) AS k, sum(n) AS n FROM seen GROUP BY {name}),
-{name}_s AS (SELECT m, least(greatest(m * (1 - m) / greatest(sq / n - m * m - m * (1 - m) * u / n, 1e-9) - 1, {STRENGTH[0]}), {STRENGTH[1]}) AS st
+{name}_s AS (SELECT least(greatest(m * (1 - m) / greatest(sq / n - m * m - m * (1 - m) * u / n, 1e-9) - 1, {STRENGTH[0]}), {STRENGTH[1]}) AS st
   FROM (SELECT sum(k) / sum(n) AS m, sum(n) AS n, count(*) AS u, sum(k::DOUBLE * k / n) AS sq FROM {name}_u)),
-{name}_p AS (SELECT h.*, (mean * st + coalesce(k, 0)) / (st + coalesce(n, 0)) AS mean, st + coalesce(n, 0) AS size
-  FROM (SELECT * EXCLUDE (size) FROM {parent}) h LEFT JOIN {name}_u USING ({name}) CROSS JOIN {name}_s)""".replace("h.*,", "h.* EXCLUDE (mean),")
+{name}_p AS (SELECT * REPLACE ((mean * st + {k}) / (st + {n}) AS mean, st + {n} AS size) FROM (SELECT h.*, st FROM (SELECT * EXCLUDE (st) FROM {parent}) h CROSS JOIN {name}_s))"""
+
+    def units(name: str) -> str:
+        return f"{name}_u AS (SELECT {name}, sum(k) AS k, sum(n) AS n FROM seen GROUP BY {name})"
 
     cases, verdicts = [], []
     for action, text in sorted(RULES, key=lambda r: -len(r[1])):
@@ -146,8 +152,11 @@ h1 AS (SELECT host, string_split(regexp_replace(host, ':\d*$', ''), '.') AS l FR
 h2 AS (SELECT host, l, CASE WHEN len(l) > 2 AND array_to_string(l[-2:], '.') IN ({suffixes}) THEN 2 ELSE 1 END AS n FROM h1),
 units AS (SELECT host, array_to_string(l[-n:], '.') AS suffix, array_to_string(l[-(n + 1):], '.') AS domain FROM h2),
 seen AS (SELECT * FROM c JOIN units USING (host)),
-start AS (SELECT units.*, (SELECT sum(k) / sum(n) FROM seen) AS mean, 0 AS size FROM units),
-{level('suffix', 'start')},{level('domain', 'suffix_p')},{level('host', 'domain_p')},
+whole AS (SELECT sum(k) AS k, sum(n) AS n FROM seen), {units('suffix')}, {units('domain')}, {units('host')},
+counted AS (SELECT units.*, s.k AS k_suffix, s.n AS n_suffix, d.k AS k_domain, d.n AS n_domain, h.k AS k_host, h.n AS n_host, whole.k AS k, whole.n AS n
+  FROM units LEFT JOIN suffix_u s USING (suffix) LEFT JOIN domain_u d USING (domain) LEFT JOIN host_u h USING (host) CROSS JOIN whole),
+start AS (SELECT *, CASE WHEN n > coalesce(n_suffix, 0) THEN (k - coalesce(k_suffix, 0)) / (n - coalesce(n_suffix, 0)) ELSE k / n END AS mean, 0 AS size, 0 AS st FROM counted),
+{level('suffix', 'start', 'domain')},{level('domain', 'suffix_p', 'host')},{level('host', 'domain_p', '')},
 b AS (SELECT host, mean - {Z} * sqrt(mean * (1 - mean) / (size + 1)) > {MAX_BAD} AS blocked FROM host_p)
 SELECT page_id, host, path, CASE {' '.join(cases)} END AS rule,
        CASE {' '.join(verdicts)} WHEN coalesce(blocked, false) THEN 'block' ELSE 'allow' END AS verdict
