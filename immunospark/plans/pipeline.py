@@ -127,7 +127,7 @@ def run(pairs: DataFrame, ref: DataFrame, options: Options | None = None, stored
     clones = report.clonotype_report(rows, options.tcr_error, options.bcr_error, options.partial, by_barcode=options.barcoded)
     out = {"reads": reads, "contigs": made, "annotations": annotations, "placed": lying, "cdr3": rows, "report": clones, "diversity": diversity.diversity(clones)}
     airr_in = rows.withColumnRenamed("cdr3", "cdr3nt").where("score > 0")
-    out["airr"] = airr.rearrangements(airr_in, annotations, cells=options.barcoded)
+    out["airr"] = airr.rearrangements(airr_in, annotations, airr.alignments(annotations, ref), cells=options.barcoded)
     if options.barcoded:
         cells = barcode_report.barcode_report(rows, partial=options.partial)
         out["cells"] = barcode_report.impute(cells, rows, options.impute_bcr) if options.impute else cells

@@ -540,20 +540,33 @@ def assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assemble(r, ["cell"], assemble.BARCODE_OVERLAP, True).select("cell", "contig", "consensus", "n_reads")
 
 
-@query()
-def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gene hits of reads against the benchmark passages as genes of one locus."""
+def _annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Reads annotated with the benchmark passages as genes of one locus, and these genes."""
     kind = F.when(F.col("gene_idx") % 2 == 0, "V").otherwise("J")
     none = F.lit(None).cast("struct<a:int,b:int>")
     ref = _reference(spark, sf_dir).select(
         "gene_idx", F.concat(F.lit("IGH"), kind, F.col("gene_idx").cast("string")).alias("name"), "seq", kind.alias("gene_type"), F.lit("IGH").alias("locus"),
         none.alias("cdr1"), none.alias("cdr2"), F.lit(None).cast("int").alias("cdr3_start"), F.lit(None).cast("int").alias("j_end"),
     )
-    got = annotate.annotate(reads(spark, sf_dir).select(F.col("id").alias("cid"), "seq"), ref)
+    return annotate.annotate(reads(spark, sf_dir).select(F.col("id").alias("cid"), "seq"), ref), ref
+
+
+@query()
+def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene hits of reads."""
+    got, _ = _annotated(spark, sf_dir)
     first = lambda c: F.get(c, F.lit(0))
     return got.select("cid", *[first(c).gene.alias(f"{c}_gene") for c in "vj"], *[first(c).read_start.alias(f"{c}_start") for c in "vj"])
 
 
+@query()
+def alignment_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cigars and alignments of the reads that have a hit."""
+    got, ref = _annotated(spark, sf_dir)
+    hit = got.where((F.size("v") > 0) | (F.size("j") > 0))
+    return airr.alignments(hit, ref).select("cid", "v_cigar", "j_cigar", "sequence_alignment", "germline_alignment")
+
+
 # ---- contained contigs and mate edges ----------------------------------------------------------------
 
 from ..operators import contained as inside  # noqa: E402
