@@ -151,8 +151,7 @@ a{depth} AS (SELECT {", ".join(keys)}, least(room, w * max(level) OVER ({part}))
     return rf"""
 WITH m AS (
   SELECT doc_id, CASE WHEN x <> '' THEN 'domain' || (x::INT % 3) ELSE '' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda t: t <> ''))::BIGINT AS n_tokens
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda t: t <> ''))::BIGINT AS n_tokens
   FROM (SELECT *, regexp_extract(coalesce(source, ''), '(\d{{1,9}})$', 1) AS x FROM documents)),
 totals AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS t, sum(n_tokens)::DOUBLE * {EPOCHS} AS room FROM m GROUP BY ALL),
 a0 AS (SELECT least(sum(t) * {SHARE}::DOUBLE, sum(room)) AS amount FROM totals),{level(1)},{level(2)},{level(3)},
