@@ -22,6 +22,7 @@ from ..functions import align
 K = 11
 #: Overlap that joins a read and a contig, in bulk and within a barcode.
 OVERLAP, BARCODE_OVERLAP = 31, 17
+_LETTERS = np.frombuffer(b"ACGT", dtype=np.uint8)
 _CODE = np.full(256, 4, dtype=np.int64)
 for _i, _b in enumerate(b"ACGT"):
     _CODE[_b] = _i
@@ -46,17 +47,25 @@ class Assembly:
         self.next = 0
 
     def _put(self, c: int, weights: np.ndarray, reads: int) -> None:
-        if c in self.text:
-            for i in range(len(self.text[c]) - self.k + 1):
-                self.index[self.text[c][i : i + self.k]].discard(c)
-        self.weights[c], self.reads[c] = weights, reads
-        self.text[c] = "".join("ACGT"[b] if n else "N" for b, n in zip(weights.argmax(1), weights.sum(1)))
-        for i in range(len(self.text[c]) - self.k + 1):
-            self.index[self.text[c][i : i + self.k]].add(c)
+        text = np.where(weights.any(1), _LETTERS[weights.argmax(1)], 78).astype(np.uint8).tobytes().decode()
+        if self.text.get(c) != text:
+            old, new = self._kmers(self.text.get(c, "")), self._kmers(text)
+            self._forget(c, old - new)
+            for kmer in new - old:
+                self.index[kmer].add(c)
+        self.weights[c], self.reads[c], self.text[c] = weights, reads, text
+
+    def _kmers(self, text: str) -> set[str]:
+        return {text[i : i + self.k] for i in range(len(text) - self.k + 1)}
+
+    def _forget(self, c: int, kmers: set[str]) -> None:
+        for kmer in kmers:
+            self.index[kmer].discard(c)
+            if not self.index[kmer]:
+                del self.index[kmer]
 
     def _drop(self, c: int) -> None:
-        for i in range(len(self.text[c]) - self.k + 1):
-            self.index[self.text[c][i : i + self.k]].discard(c)
+        self._forget(c, self._kmers(self.text[c]))
         del self.weights[c], self.text[c], self.reads[c]
 
     def places(self, read: str, similarity: float) -> list[tuple[float, int, int]]:
@@ -125,11 +134,16 @@ class Assembly:
     def without_contained(self, mismatches: int = 1) -> list[int]:
         """Contigs that no longer one contains with at most that many mismatches."""
         order = sorted(self.text, key=lambda c: (-len(self.text[c]), c))
-        kept: list[int] = []
+        rank = {c: i for i, c in enumerate(order)}
+        kept: set[int] = set()
         for c in order:
-            text = align.letters(self.text[c])
+            own, half = self.text[c], len(self.text[c]) // 2
+            text = align.letters(own)
             inside = False
-            for d in kept:
+            # with one mismatch at most one half is exact, so its first k-mer leads to the host; short contigs are compared with all
+            seeded = mismatches <= 1 and half >= self.k
+            near = self.index.get(own[: self.k], set()) | self.index.get(own[half : half + self.k], set()) if seeded else kept
+            for d in sorted(near & kept, key=rank.__getitem__):
                 host = align.letters(self.text[d])
                 if len(host) > len(text) and len(text):
                     windows = np.lib.stride_tricks.sliding_window_view(host, len(text))
@@ -137,7 +151,7 @@ class Assembly:
                     if inside:
                         break
             if not inside:
-                kept.append(c)
+                kept.add(c)
         return sorted(kept)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,19 +61,20 @@ def centers(rows: DataFrame, similarity: float = 0.8, seq: str = "cdr3", amount:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([amount, seq], ascending=[False, True], ignore_index=True)
-        made: list[str] = []
-        out = []
-        for s in pdf[seq]:
-            best, like = None, -1.0
-            for c in made:
-                x = sum(a == b for a, b in zip(s, c)) / len(s) if s else 1.0
-                if x > like:
-                    best, like = c, x
-            if best is None or like < similarity - 1e-12:
-                made.append(s)
-                best = s
-            out.append(best)
-        return pdf.assign(cluster=out)
+        # all sequences of a key have one length
+        letters = np.array([list(map(ord, s)) for s in pdf[seq]], dtype=np.int32).reshape(len(pdf), -1)
+        made, n = np.empty(16, dtype=np.int64), 0
+        centers, out = np.empty((16, letters.shape[1]), dtype=np.int32), []
+        for i, row in enumerate(letters):
+            same = (centers[:n] == row).sum(1)
+            if n and (not row.size or same.max() / row.size >= similarity - 1e-12):
+                out.append(made[same.argmax()])
+                continue
+            if n == len(made):
+                made, centers = np.resize(made, 2 * n), np.resize(centers, (2 * n, letters.shape[1]))
+            made[n], centers[n], n = i, row, n + 1
+            out.append(i)
+        return pdf.assign(cluster=pdf[seq].to_numpy()[out])
 
     kinds = dict(df.dtypes)
     return df.groupBy(*KEY).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in df.columns) + ", cluster string")

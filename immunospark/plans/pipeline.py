@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna, read_format
-from ..operators import airr, annotate, assemble, barcode_report, barcodes, diversity, filters, kmers, mates, ordering, pileup, reference, report, variants
+from ..operators import airr, annotate, assemble, barcode_report, barcodes, diversity, filters, kmers, mates, ordering, pileup, reference, report, scaffold, variants
 from ..operators.graph import cut
 
 
@@ -34,6 +34,8 @@ class Options:
     barcode_least: int = 0
     #: The share of equal letters that a read needs on its contig.
     place_similarity: float = 0.9
+    #: Whether mates join contigs of bulk reads.
+    mate_extension: bool = True
     partial: bool = False
     impute: bool = True
     impute_bcr: bool = False
@@ -42,7 +44,7 @@ class Options:
 
 
 def extract(pairs: DataFrame, ref: DataFrame, options: Options) -> DataFrame:
-    """Candidate reads (id, seq, qual, barcode), mates resolved and turned to the genes' strand."""
+    """Candidate reads (id, fragment, barcode, umi, gene, strand, seq), mates resolved and turned to the genes' strand; strand tells how they lay."""
     parts = read_format.parse(options.read_format) if options.read_format else {}
     cut = lambda kind, c, comp: read_format.extract(parts[kind], F.col(c), complement=comp) if kind in parts else F.col(c)
     barcode: Column = F.col("barcode") if "barcode" in pairs.columns else F.lit(None).cast("string")
@@ -68,7 +70,7 @@ def extract(pairs: DataFrame, ref: DataFrame, options: Options) -> DataFrame:
     found = found.join(mate, "fragment")
     strand, gene = F.coalesce("strand", -F.col("m.strand")), F.coalesce("gene", "m.gene")
     seq = F.when(strand == 1, F.col("seq")).otherwise(dna.reverse_complement(F.col("seq")))
-    return found.join(codes, "fragment").select("id", "fragment", "barcode", "umi", gene.alias("gene"), seq.alias("seq"))
+    return found.join(codes, "fragment").select("id", "fragment", "barcode", "umi", gene.alias("gene"), strand.alias("strand"), seq.alias("seq"))
 
 
 def _grouped(reads: DataFrame, ref: DataFrame, options: Options) -> tuple[DataFrame, str]:
@@ -78,6 +80,18 @@ def _grouped(reads: DataFrame, ref: DataFrame, options: Options) -> tuple[DataFr
     return reads.join(ref.select(F.col("gene_idx").alias("gene"), "locus"), "gene").withColumn("locus", F.coalesce("locus", F.lit("other"))), "locus"
 
 
+def mate_joined(made: DataFrame, rows: DataFrame, ref: DataFrame, by: str, options: Options) -> DataFrame:
+    """Contigs (by, contig, consensus, n_reads, pos_weight) joined by the mates among the reads that equal their place."""
+    made = cut(made.withColumn("cid", F.concat_ws("_", by, F.col("contig").cast("string"))))
+    found = assemble.assigned(rows, made, [by], 1.0)
+    kind = ref.select(F.col("gene_idx").alias("gene"), F.instr(F.lit("VDJC"), "gene_type").alias("rank"))
+    lies = rows.select(by, "id", "fragment", "strand", "gene", F.length("seq").alias("length")).join(found, [by, "id"]).join(kind, "gene", "left")
+    lies = lies.select("fragment", "strand", F.concat_ws("_", by, F.col("contig").cast("string")).alias("cid"), "offset", "length", "rank")
+    lies = cut(lies)
+    found = scaffold.fitting(scaffold.edges(lies), lies, made)
+    return scaffold.scaffolds(made, cut(scaffold.links(found))).drop("cid")
+
+
 def contigs(reads: DataFrame, ref: DataFrame, options: Options) -> DataFrame:
     """cid, contig, seq, weight, n_reads and barcode or locus of the contigs of each barcode, or of each locus for bulk reads."""
     rows, by = _grouped(reads, ref, options)
@@ -85,6 +99,8 @@ def contigs(reads: DataFrame, ref: DataFrame, options: Options) -> DataFrame:
     made = assemble.assemble(stats, [by], assemble.BARCODE_OVERLAP if options.barcoded else assemble.OVERLAP, options.barcoded)
     if options.contig_min_cov:
         made = made.where(~pileup.shallow(F.col("pos_weight"), options.contig_min_cov))
+    if options.mate_extension and not options.barcoded:
+        made = mate_joined(made, rows, ref, by, options)
     cid = F.concat_ws("_", by, F.col("contig").cast("string"))
     return made.select(cid.alias("cid"), "contig", F.col("consensus").alias("seq"), pileup.weight_sum(F.col("pos_weight")).alias("weight"), "n_reads", by)
 

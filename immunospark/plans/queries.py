@@ -604,9 +604,25 @@ def mate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.mate_edges(o.unionByName(li))
 
 
+@query("""WITH p AS (SELECT o_orderkey AS fragment, 1 AS strand, o_custkey % 60 AS cid, o_orderkey % 100 AS off, 100 AS len, CAST(o_custkey % 4 AS INT) AS rank FROM orders
+  UNION ALL SELECT l_orderkey, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE -1 END, l_suppkey % 60, l_linenumber * 20, 60 + l_linenumber, CASE WHEN l_partkey % 5 > 0 THEN CAST(l_partkey % 4 AS INT) END FROM lineitem),
+f AS (SELECT a.cid AS src, b.cid AS dst, a.fragment, min(a.off) AS sa, max(a.off + a.len) AS sb, min(b.off) AS da, max(b.off + b.len) AS db
+  FROM p a JOIN p b ON a.fragment = b.fragment AND a.strand = 1 AND b.strand = -1 AND a.cid <> b.cid WHERE coalesce(a.rank <= b.rank, TRUE) GROUP BY ALL),
+e AS (SELECT src, dst, count(*) AS n, max(sb) - min(sa) AS src_span, max(db) - min(da) AS dst_span FROM f GROUP BY src, dst),
+s AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY src_span DESC, n DESC, dst) AS r FROM (SELECT *, max(n) OVER (PARTITION BY src) AS m FROM e) WHERE n >= m * 0.9),
+d AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY dst_span DESC, n DESC, src) AS r FROM (SELECT *, max(n) OVER (PARTITION BY dst) AS m FROM e) WHERE n >= m * 0.9)
+SELECT s.src, s.dst, s.n FROM s JOIN d ON s.src = d.src AND s.dst = d.dst WHERE s.r = 1 AND d.r = 1""")
+def mate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links among 60 contigs of all orders and lines as placements."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment"), F.lit(1).alias("strand"), (F.col("o_custkey") % 60).alias("cid"), (F.col("o_orderkey") % 100).alias("offset"), F.lit(100).alias("length"), (F.col("o_custkey") % 4).cast("int").alias("rank"))
+    part = F.col("l_partkey")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fragment"), F.when(part % 3 == 0, 1).otherwise(-1).alias("strand"), (F.col("l_suppkey") % 60).alias("cid"), (F.col("l_linenumber") * 20).cast("bigint").alias("offset"), (F.col("l_linenumber") + 60).cast("int").alias("length"), F.when(part % 5 > 0, (part % 4).cast("int")).alias("rank"))
+    return scaffold.links(scaffold.edges(o.unionByName(li)))
+
+
 # ---- filters by gene hits, junctions, motifs -----------------------------------------------------------
 
-from ..operators import filters  # noqa: E402
+from ..operators import filters, scaffold  # noqa: E402
 
 _HIT_ROWS = """SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, CAST(l_quantity AS INT) AS q, l_partkey % 5 <> 0 AS has_v, l_suppkey % 3 <> 0 AS has_j, l_orderkey % 4 <> 0 AS has_c,
   CAST(l_partkey % 40 AS INT) AS va, CAST(l_partkey % 40 + 60 AS INT) AS vb, CAST(l_suppkey % 30 AS INT) AS vr, CAST(90 + l_quantity AS INT) AS ja, CAST(120 + l_quantity AS INT) AS jb,
