@@ -71,6 +71,12 @@ def scratch() -> Iterator[list[str]]:
         _scratch.pop()
 
 
+def released(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: shuffle files of steps that nothing refers to any more go with it, as on a large disk they would later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(columns: Sequence[str], *names: str) -> list[str]:
     """The names, lengthened by underscores until no column has them, in whatever case."""
     taken = {c.lower() for c in columns}
