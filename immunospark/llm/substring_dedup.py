@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import released, small_batches, stored, table, text_of, worker_cache
+from .shared import drop_path, released, scratch, small_batches, stored, table, text_of, worker_cache
 
 #: Words of a window.
 WINDOW = 35
-#: Runs, then pairs three times, and again; windows that still have a name after the last one (periodic ones) take their anchor there.
-PASSES = "rppp" * 4
+#: Runs, then pairs. Runs of later names occur in periodic passages only, and a runs pass costs every window a certain name at
+#: either end, so later passes leave them alone. Windows that have names after the last pass take their anchor there.
+PASSES = "r" + "p" * 8
 #: Bytes of text that are parsed at a time, when documents are shorter.
 PIECE = 1 << 20
 
@@ -161,9 +162,8 @@ def stretches(words: np.ndarray, begins: np.ndarray, window: int) -> tuple[np.nd
     return first[begin], final[end], names[begin], places[begin]
 
 
-_LONGS = ("k1", "k2", "doc_id", "digest", "name", "whole")
-#: k1, k2: what must be equal; state: 0 open, 1 settled (an equal was in its batch), 2 a witness for open rows elsewhere; name: of the anchor; whole: hash of the stretch
-ROWS = "k1 BIGINT, k2 BIGINT, doc_id BIGINT, digest BIGINT, name BIGINT, whole BIGINT, first INT, last INT, state TINYINT"
+#: k1, k2: what must be equal, k1 being the anchor's name; state: 0 open, 1 settled (an equal was in its batch), 2 a witness for open rows elsewhere; whole: hash of the stretch, for the next round
+ROWS = "k1 BIGINT, k2 BIGINT, doc_id BIGINT, digest BIGINT, whole BIGINT, first INT, last INT, state TINYINT"
 
 
 def settled(k1: np.ndarray, k2: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,19 +180,18 @@ def settled(k1: np.ndarray, k2: np.ndarray, state: np.ndarray) -> tuple[np.ndarr
     return out, witnesses
 
 
-def rows_of(k1: np.ndarray, k2: np.ndarray, state: np.ndarray, rest: dict[str, np.ndarray], doc_id: pa.Array) -> pa.RecordBatch:
-    """A batch of ROWS: settled rows get keys of their own, witnesses are added."""
+def rows_of(k1: np.ndarray, k2: np.ndarray, state: np.ndarray, doc_id: pa.Array, digest: np.ndarray, first: np.ndarray, last: np.ndarray, whole: np.ndarray | None = None) -> pa.RecordBatch:
+    """A batch of ROWS: settled rows get a second key of their own, and witnesses are added."""
     state, more = settled(k1, k2, state)
     stay = np.flatnonzero(state < 3)
-    own = mixed(rest["digest"].astype(_U) + mixed(rest["first"].astype(_U) + _U(_STEP)))
-    free = state == 1
-    cols = {"k1": np.where(free, own, k1), "k2": np.where(free, mixed(own + _U(_BASE)), k2), **rest, "state": state}
-    cols = {c: np.r_[v[stay], (v if c not in ("k1", "k2") else {"k1": k1, "k2": k2}[c])[more]] for c, v in cols.items()}
-    cols["state"][len(stay) :] = 2
-    arrays = {c: pa.array(v.astype(np.uint64).view(np.int64)) if c in _LONGS else pa.array(v.astype(np.int8 if c == "state" else np.int32)) for c, v in cols.items()}
-    arrays["doc_id"] = doc_id.take(pa.array(np.r_[stay, more]))
-    names = [x.split()[0] for x in ROWS.split(", ")]
-    return pa.RecordBatch.from_arrays([arrays[c] for c in names], names=names)
+    own = mixed(digest + mixed(first.astype(_U) + _U(_STEP)))
+    take = np.r_[stay, more]
+    k2 = np.r_[np.where(state == 1, own, k2)[stay], k2[more]]
+    state = np.r_[state[stay], np.full(len(more), 2, np.int8)]
+    whole = np.zeros(len(take), _U) if whole is None else whole[take]
+    longs = [pa.array(x.view(np.int64)) for x in (k1[take], k2, digest[take], whole)]
+    ints = [pa.array(x[take].astype(np.int32)) for x in (first, last)]
+    return pa.RecordBatch.from_arrays([*longs[:2], doc_id.take(pa.array(take)), *longs[2:], *ints, pa.array(state)], names=[c.split()[0] for c in ROWS.split(", ")])
 
 
 def parser() -> Parser:
@@ -233,9 +232,8 @@ def all_stretches(docs: DataFrame, window: int) -> DataFrame:
             if not got:
                 continue
             doc, first, last, name, whole = (np.concatenate(x) for x in zip(*got))
-            digest = batch.column("digest").to_numpy()[doc].view(_U)
-            rest = {"digest": digest, "name": name, "whole": whole, "first": first, "last": last}
-            yield rows_of(name, np.zeros(len(name), _U), np.zeros(len(name), np.int8), rest, batch.column("doc_id").take(pa.array(doc)))
+            ids, digest = batch.column("doc_id").take(pa.array(doc)), batch.column("digest").to_numpy()[doc].view(_U)
+            yield rows_of(name, np.zeros(len(name), _U), np.zeros(len(name), np.int8), ids, digest, first, last, whole)
 
     return docs.mapInArrow(run, ROWS)
 
@@ -244,9 +242,9 @@ def by_whole(rows: DataFrame) -> DataFrame:
     """Stretches keyed by their anchor and all of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = {c: batch.column(c).to_numpy().view(_U) for c in ("digest", "name", "whole")} | {c: batch.column(c).to_numpy() for c in ("first", "last")}
-            yield rows_of(rest["name"], rest["whole"], np.zeros(len(batch), np.int8), rest, batch.column("doc_id"))
+        for batch in filter(len, batches):
+            name, whole, digest = (batch.column(c).to_numpy().view(_U) for c in ("name", "whole", "digest"))
+            yield rows_of(name, whole, np.zeros(len(batch), np.int8), batch.column("doc_id"), digest, batch.column("first").to_numpy(), batch.column("last").to_numpy())
 
     return rows.mapInArrow(run, ROWS)
 
@@ -277,29 +275,34 @@ def all_windows(docs: DataFrame, some: DataFrame, window: int) -> DataFrame:
             if not got:
                 continue
             doc, at, name, key, state = (np.concatenate(x) for x in zip(*got))
-            rest = {"digest": batch.column("digest").to_numpy()[doc].view(_U), "name": name, "whole": key, "first": at, "last": at}
-            yield rows_of(name, key, state, rest, batch.column("doc_id").take(pa.array(doc)))
+            ids, digest = batch.column("doc_id").take(pa.array(doc)), batch.column("digest").to_numpy()[doc].view(_U)
+            yield rows_of(name, key, state, ids, digest, at, at)
 
     return both.mapInArrow(run, ROWS)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, digest, first, last: windows that begin at the words first to last of a document also begin elsewhere."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     key, at, kind = ["doc_id", "digest"], ["first", "last"], Window.partitionBy("k1", "k2")
-    counted = all_stretches(docs, window).withColumn("n", F.count(F.lit(1)).over(kind))
-    shared = stored(counted.where("state = 1 or state = 0 and n > 1").select(*key, "name", "whole", *at), "anchors")
-    released(docs.sparkSession)
+    with scratch() as done:
+        counted = all_stretches(docs, window).withColumn("n", F.count(F.lit(1)).over(kind))
+        shared = stored(counted.where("state = 1 or state = 0 and n > 1").select(*key, F.col("k1").alias("name"), "whole", *at), "anchors")
+    released(spark)
     kinds = by_whole(shared).withColumn("n", F.count(F.lit(1)).over(kind)).withColumn("nth", F.row_number().over(kind.orderBy(*key, *at, "state")))
-    equal = (F.col("state") == 1) | (F.col("n") > 1) | (F.col("state") == 2)
+    equal, extra = (F.col("state") > 0) | (F.col("n") > 1), F.col("state") == 2
     # a kind's first row stands for it in the third round: settled rows are of kinds whose witness is among the others
-    judged = kinds.select(*key, "name", *at, equal.alias("equal"), (F.col("state") == 2).alias("extra"), (equal & (F.col("state") != 1) & (F.col("nth") == 1)).alias("stands"))
-    judged = stored(judged.where("not extra or stands"), "stretches")
-    released(docs.sparkSession)
-    some = judged.where("stands or not equal").select(*key, "name", *at, (~F.col("equal")).alias("open"))
+    judged = kinds.select(*key, "k1", *at, equal.alias("equal"), extra.alias("extra"), (equal & (F.col("state") != 1) & (F.col("nth") == 1)).alias("stands"))
+    judged = judged.select(*key, F.expr("if(stands or not equal, k1, null)").alias("name"), *at, "equal", "extra").where("not extra or name is not null")
+    judged = stored(judged, "stretches")
+    for path in done:
+        drop_path(spark, path)
+    released(spark)
+    some = judged.where("name is not null").select(*key, "name", *at, (~F.col("equal")).alias("open"))
     windows = all_windows(docs, some, window).withColumn("n", F.count(F.lit(1)).over(kind))
     single = stored(windows.where("state = 1 or state = 0 and n > 1").select(*key, *at), "windows")
-    released(docs.sparkSession)
+    released(spark)
     return judged.where("equal and not extra").select(*key, *at).unionByName(single)
 
 
