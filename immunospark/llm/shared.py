@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
@@ -72,9 +73,11 @@ def scratch() -> Iterator[list[str]]:
 
 
 def released(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: shuffle files of steps that nothing refers to any more go with it, as on a large disk they would later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver collect its garbage: shuffle files of finished steps go with what refers to them, which takes two collections."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def unused(columns: Sequence[str], *names: str) -> list[str]:
