@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_language_id": ("language_id", False),
     "op9_quality_rules": ("quality_rules", True),
     "op10_mixing": ("mixing", True),
+    "op11_hard_negatives": ("hard_negatives", True),
     "op12_merkle": ("merkle", True),
     "op13_substring_dedup": ("substring_dedup", True),
 }
