@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import align
-from ..functions.dna import CODONS
+from . import cdr3_ladder
+from .chains import chains, cover
 
 MAX_GENES = 20_000
 K, RADIUS = 9, 10
@@ -36,10 +37,8 @@ OVERLAP = 2
 #: Candidates aligned per type; share of the best similarity that secondary hits have; hits kept.
 CANDIDATES, SECONDARY, KEEP = 40, 0.95, 3
 MIN_SIMILARITY = 0.8
-MIN_CDR3, MAX_CDR3 = 18, 180
-#: Bases from a segment's end within which a partial CDR3 must reach its known anchor; codons tried for a motif there.
-PARTIAL, TRIED = 60, 4
-
+#: Letters at a hit's end below which it is extended to the end.
+CLOSE = 5
 _HIT = "array<struct<gene:string,ref_len:int,read_start:int,read_end:int,ref_start:int,ref_end:int,similarity:double>>"
 _CDR = "struct<start:int,end:int,score:double,seq:string>"
 OUT = f"cid string, len int, v {_HIT}, d {_HIT}, j {_HIT}, c {_HIT}, cdr1 {_CDR}, cdr2 {_CDR}, cdr3 {_CDR}, seq string"
@@ -89,6 +88,27 @@ class Hit:
             j += c in "=XD"
         return None
 
+    def clean(self, ref: int, way: int, columns: int) -> bool:
+        """Whether no indel lies within so many alignment columns from a gene position on, towards its start (way -1) or end (1)."""
+        if self.parts:
+            part = next((p for p in self.parts if p.ref_start <= ref <= p.ref_end), None)
+            return part is not None and part.clean(ref, way, columns)
+        if self.diagonal:
+            return True
+        j = self.ref_start - 1
+        for k, c in enumerate(self.script):
+            j += c in "=XD"
+            if j == ref and c in "=XD":
+                near = self.script[max(0, k - columns + 1) : k + 1] if way < 0 else self.script[k : k + columns]
+                return "I" not in near and "D" not in near
+        return False
+
+    def steps(self, seq: str) -> str:
+        """The alignment of a hit in one piece as a script."""
+        if not self.diagonal:
+            return self.script
+        return "".join("=" if a == b else "X" for a, b in zip(seq[self.start : self.end + 1], self.gene.seq[self.ref_start : self.ref_end + 1]))
+
     def row(self) -> dict:
         return {"gene": self.gene.name, "ref_len": len(self.gene.seq), "read_start": self.start, "read_end": self.end, "ref_start": self.ref_start, "ref_end": self.ref_end, "similarity": round(100 * self.similarity, 2)}
 
@@ -139,46 +159,115 @@ class Reference:
         read, ref = sum(c in "=XI" for c in script), sum(c in "=XD" for c in script)
         return Hit(gene, lo + ps, lo + ps + read - 1, ts, ts + ref - 1, m, "I" not in script and "D" not in script, script)
 
-    def aligned(self, g: int, seq: str, text: np.ndarray, counts: Counter, lo: int, hi: int) -> Hit | None:
-        """The alignment of a gene with a segment of a contig, by its k-mer hits per diagonal."""
-        d, n = max(counts.items(), key=lambda x: (x[1], -x[0]))
-        near = sum(c for e, c in counts.items() if abs(e - d) <= RADIUS)
-        hit = self.stretch(g, text, d, lo, hi)
-        if near > n + K:  # a good part of the hits lies off the diagonal: an indel
-            more = self.gapped(g, seq, max(lo, d - RADIUS), min(hi, d + len(self.genes[g].seq) + RADIUS))
-            if more and (hit is None or more.matches > hit.matches + 3):
-                hit = more
-        return hit
+    def along(self, g: int, seq: str, a: np.ndarray, b: np.ndarray) -> Hit:
+        """The alignment along a chain of hits: its runs letter by letter, what lies between two diagonals globally."""
+        gene, i, j, script = self.genes[g], int(a[0]), int(b[0]), ""
+        for run in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a - b)) + 1):
+            shift, end = int(a[run[0]] - b[run[0]]), int(a[run[-1]]) + K
+            start = max(int(a[run[0]]), i, j + shift)  # runs of two diagonals may overlap
+            if start >= end:
+                continue
+            script += between(gene.seq[j : start - shift], seq[i:start]) + between(gene.seq[start - shift : end - shift], seq[start:end])
+            i, j = end, end - shift
+        return Hit(gene, int(a[0]), i - 1, int(b[0]), j - 1, script.count("="), "I" not in script and "D" not in script, script)
+
+    def aligned(self, g: int, seq: str, text: np.ndarray, a: np.ndarray, b: np.ndarray, lo: int, hi: int) -> Hit | None:
+        """The alignment of a gene with a segment of a contig by the places of their k-mer hits."""
+        found = chains(a, b, K, K, RADIUS, strays=True)
+        if found:
+            a, b = max(found, key=lambda x: min(cover(x[0], K), cover(x[1], K)))
+            if (a - b != a[0] - b[0]).any():
+                return self.along(g, seq, a, b)
+        d, _ = max(Counter((a - b).tolist()).items(), key=lambda x: (x[1], -x[0]))
+        return self.stretch(g, text, d, lo, hi)
 
     def hits(self, seq: str) -> dict[str, list[Hit]]:
         """Alignments by gene type, best first."""
         pieces = segments(seq)
-        votes: dict[int, dict[int, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        votes: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for s, (lo, hi) in enumerate(pieces):
             for i in range(lo, hi - K + 1):
                 for g, offset in self.index.get(seq[i : i + K], ()):
-                    votes[g][s][i - offset] += 1
+                    votes[g][s].append((i, offset))
         text = align.letters(seq)
         ranked: dict[str, list] = defaultdict(list)
         for g, by in votes.items():
             near = 0
-            for counts in by.values():
-                d = max(counts.items(), key=lambda x: (x[1], -x[0]))[0]
-                near = max(near, sum(c for e, c in counts.items() if abs(e - d) <= RADIUS))
+            for hits in by.values():
+                diagonals, counts = np.unique([i - offset for i, offset in hits], return_counts=True)
+                near = max(near, int(counts[np.abs(diagonals - diagonals[counts.argmax()]) <= RADIUS].sum()))
             if near + K - 1 >= NEED[self.genes[g].kind]:
                 ranked[self.genes[g].kind].append((-near, g))
         out: dict[str, list[Hit]] = {}
         for kind, rows in ranked.items():
             found = []
             for _, g in sorted(rows)[:CANDIDATES]:
-                parts = [h for s, counts in sorted(votes[g].items()) if (h := self.aligned(g, seq, text, counts, *pieces[s])) and h.matches >= K]
-                for hit in [joined(parts)] if parts else []:
+                parts = [h for s, hits in sorted(votes[g].items()) if (h := self.aligned(g, seq, text, *np.array(hits).T, *pieces[s])) and h.matches >= K]
+                for hit in [extended(joined(parts), seq, pieces)] if parts else []:
                     if hit.similarity >= MIN_SIMILARITY and hit.matches >= NEED[kind] - 2:
                         found.append((-hit.matches, -hit.similarity, g, hit))
             out[kind] = [x[-1] for x in sorted(found, key=lambda x: x[:3])]
         return out
 
 
+def between(t: str, p: str) -> str:
+    """The script that aligns p with t from end to end."""
+    if len(t) == len(p):
+        return "".join("=" if a == b else "X" for a, b in zip(p, t))
+    return align.affine(t, p)[1] if t and p else "I" * len(p) + "D" * len(t)
+
+
+def reach(script: str, ahead: str, stop: bool) -> tuple[str, int]:
+    """The part of a script from a hit's end onwards that lies before the next gap in the contig; how many letters it matches. stop: indels end it."""
+    i, out = 0, ""
+    for c in script:
+        if i >= len(ahead) or (stop and c in "ID"):
+            break
+        out += c
+        i += c in "=XI"
+    return out, out.count("=")
+
+
+def beyond(hit: Hit, seq: str, room: int, right: bool) -> tuple[str, int]:
+    """How a hit's alignment goes on at one of its ends within the room letters up to the gap or the contig's end: script (in the
+    direction of the extension) and matches. Where a type's genes are cut off by the contig (J on the right, V and C on the left), a
+    quarter of the usual score is enough, and fewer than CLOSE letters that are left of gene or contig are taken whole."""
+    gene = hit.gene.seq
+    t, p = (gene[hit.ref_end + 1 :], seq[hit.end + 1 : hit.end + 1 + room]) if right else (gene[: hit.ref_start][::-1], seq[hit.start - room : hit.start][::-1])
+    outer = hit.gene.kind == "J" if right else hit.gene.kind in "VC"
+    # no alignment of the contig's letters goes further into the gene than twice their number
+    script, matches = reach(align.one_end(t[: 2 * len(p) + CLOSE], p, 0, 0.25 if outer else 1.0)[3], p, False)
+    used, passed = sum(c in "=XI" for c in script), sum(c in "=XD" for c in script)
+    near = min(len(t) - passed, len(p) - used) if right else min(len(t) - passed, len(seq[: hit.start]) - used)
+    if outer and 0 < len(t) - passed and near < CLOSE:
+        rest = "".join("=" if a == b else "X" for a, b in zip(t[passed:], p[used:]))
+        script, matches = script + rest, matches + rest.count("=")
+    return script, matches
+
+
+def extended(hit: Hit, seq: str, pieces: list[tuple[int, int]]) -> Hit:
+    """A hit whose ends go on as far as its gene and the contig's segment agree."""
+    if hit.parts:
+        first, last = extended(hit.parts[0], seq, pieces), extended(hit.parts[-1], seq, pieces)
+        left, right = hit.parts[0], hit.parts[-1]
+        # inner ends stay: what lies there belongs to the gap
+        head = Hit(hit.gene, first.start, left.end, first.ref_start, left.ref_end, first.left_matches + left.matches, first.left_plain and left.diagonal, first.left_script + left.steps(seq))
+        tail = Hit(hit.gene, right.start, last.end, right.ref_start, last.ref_end, right.matches + last.right_matches, last.right_plain and right.diagonal, right.steps(seq) + last.right_script)
+        parts = [head, *hit.parts[1:-1], tail]
+        return Hit(hit.gene, head.start, tail.end, head.ref_start, tail.ref_end, sum(h.matches for h in parts), False, parts=parts)
+    lo, hi = next((a, b) for a, b in pieces if a <= hit.start < b)
+    left, lm = beyond(hit, seq, hit.start - lo, False)
+    right, rm = beyond(hit, seq, hi - 1 - hit.end, True)
+    size = lambda script, letters: sum(c in letters for c in script)
+    plain = lambda script: "I" not in script and "D" not in script
+    out = Hit(
+        hit.gene, hit.start - size(left, "=XI"), hit.end + size(right, "=XI"), hit.ref_start - size(left, "=XD"), hit.ref_end + size(right, "=XD"),
+        hit.matches + lm + rm, hit.diagonal and plain(left) and plain(right), left[::-1] + hit.steps(seq) + right,
+    )
+    out.left_script, out.right_script, out.left_matches, out.right_matches, out.left_plain, out.right_plain = left[::-1], right, lm, rm, plain(left), plain(right)
+    return out
+
+
 def segments(seq: str) -> list[tuple[int, int]]:
     """The stretches [from, to) of a contig between runs of N."""
     out, at = [], 0
@@ -204,10 +293,6 @@ def joined(parts: list[Hit]) -> Hit:
     return whole if whole.similarity >= MIN_SIMILARITY else best
 
 
-def codon(seq: str, at: int) -> str:
-    return CODONS.get(seq[at : at + 3], "?") if at >= 0 else "?"
-
-
 def secondary(hits: list[Hit]) -> list[Hit]:
     """The best hit, those that equal it, and close ones of other alleles, at most KEEP."""
     if not hits:
@@ -236,60 +321,6 @@ def one_locus(found: dict[str, list[Hit]]) -> dict[str, list[Hit]]:
     return {k: [h for h in hits if family(h.gene.locus) == top] for k, hits in found.items()}
 
 
-def anchor_of(hit: Hit | None, ref: int | None, piece) -> int | None:
-    """Where a gene's CDR3 anchor lies, on the hit or beyond its end in the same segment; piece() tells a place's segment."""
-    if hit is None or ref is None:
-        return None
-    if hit.ref_start <= ref <= hit.ref_end:
-        return hit.at(ref)
-    edge, at = (hit.end, hit.end + ref - hit.ref_end) if ref > hit.ref_end else (hit.start, hit.start - (hit.ref_start - ref))
-    return at if piece(at) == piece(edge) else None
-
-
-def cdr3_of(seq: str, v: Hit | None, j: Hit | None) -> tuple[int, int, float] | None:
-    """start, end (inclusive) and score of the CDR3; score 0 where it is partial."""
-    parts = segments(seq)
-    piece = lambda p: next(((a, b) for a, b in parts if a <= p < b), None)
-    start = anchor_of(v, v.gene.cdr3_start if v else None, piece)
-    if start is not None and not 0 <= start <= len(seq) - 3:
-        start = None
-    strong = start is not None and codon(seq, start) == "C"
-    if not strong:
-        # the last Y-x-C or YYC near the end of V stands in
-        lo, hi = (max(0, v.end - 45), min(len(seq) - 3, v.end + 30)) if v else (0, len(seq) - 3)
-        options = [p for p in range(lo, hi) if codon(seq, p) == "C" and "Y" in (codon(seq, p - 3), codon(seq, p - 6))]
-        both = [p for p in options if codon(seq, p - 3) == codon(seq, p - 6) == "Y"]
-        if both or options:
-            near = both or options
-            start = min(near, key=lambda p: abs(p - start)) if start is not None else near[-1]
-            strong = start in both
-    end = anchor_of(j, j.gene.j_end if j else None, piece)
-    if end is not None and not 2 <= end < len(seq):
-        end = None
-    if end is None:
-        # without a J's anchor the CDR3 goes on to the last whole codon of its segment, or to a W or F codon close to there
-        if start is None or v is None or not strong or (place := piece(start)) is None:
-            return None
-        stop = place[1]
-        if start + MIN_CDR3 >= stop or start + 2 + PARTIAL <= stop:
-            return None
-        last = stop - 1 - (stop - start) % 3
-        ends = [e for e in range(last, last - 3 * TRIED, -3) if e - start + 1 >= MIN_CDR3]
-        return next(((start, e, 0.0) for e in ends if codon(seq, e - 2) in "FW"), (start, last, 0.0)) if ends else None
-    if start is None:
-        # without a V it begins in frame where its segment does, or at a C codon close to there
-        if v is not None or (place := piece(end)) is None or not 15 < end - 2 - place[0] <= PARTIAL:
-            return None
-        first = (end - 2) % 3
-        starts = [s for s in range(first, first + 3 * TRIED, 3) if end - s + 1 >= MIN_CDR3]
-        return next(((s, end, 0.0) for s in starts if codon(seq, s) == "C"), (first, end, 0.0)) if starts else None
-    if end - start + 1 < MIN_CDR3 or end - start + 1 >= MAX_CDR3:
-        return None
-    marks = [codon(seq, start - 6) == "Y", codon(seq, start - 3) == "Y", codon(seq, start) == "C", codon(seq, end - 2) in "FW", codon(seq, end + 1) == "G", codon(seq, end + 7) == "G"]
-    whole = v is not None and j is not None and piece(start) == piece(end) and (marks[2] or marks[3])
-    return start, end, 100 * sum(marks) / 6 if whole else 0.0
-
-
 def d_gene(ref: Reference, seq: str, v: Hit, j: Hit, locus: str) -> list[Hit]:
     """The D genes that align best, by at least 5, between V and J."""
     lo, hi = v.end + 1, j.start
@@ -319,7 +350,7 @@ def annotate_one(ref: Reference, cid: str, seq: str) -> dict:
                 text, germ = seq[a : b + 1], best_v.gene.seq[span[0] : span[1] + 1]
                 same = sum(x == y for x, y in zip(text, germ)) / max(len(text), len(germ), 1)
                 cdr[name] = {"start": a, "end": b, "score": round(100 * same, 2), "seq": text}
-    place = cdr3_of(seq, best_v, best_j)
+    place = cdr3_ladder.cdr3(seq, segments(seq), best_v, best_j, c[0] if c else None)
     if place:
         cdr["cdr3"] = {"start": place[0], "end": place[1], "score": round(place[2], 2), "seq": seq[place[0] : place[1] + 1]}
     locus = best_v.gene.locus if best_v else best_j.gene.locus if best_j else ""

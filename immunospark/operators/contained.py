@@ -13,11 +13,13 @@ def contained(contigs: DataFrame, k: int = 15, group: list[str] | None = None) -
     """cid, host: contigs (cid, seq) that lie in a longer one with at most one mismatch.
 
     With one mismatch at most, one half of the contig is exact, so the first k-mer of either half leads
-    to its place: an equi-join on k-mers, then the comparison. Contigs shorter than 2k have no seeds.
+    to its place: an equi-join on k-mers, then the comparison. Contigs shorter than 2k have no seeds, and
+    letters other than A, C, G and T part k-mers, so a contig with one in both first k-mers isn't looked up.
     """
     group = group or []
     seeds = contigs.where(F.length("seq") >= 2 * k).select(*group, F.col("cid"), "seq", F.explode(F.array(F.lit(0), F.floor(F.length("seq") / 2).cast("int"))).alias("_at"))
-    seeds = seeds.withColumn("kmer", F.substr(F.col("seq"), F.col("_at") + 1, F.lit(k)))
+    window = F.substr(F.col("seq"), F.col("_at") + 1, F.lit(k))
+    seeds = seeds.where(dna.valid_kmer(window)).withColumn("kmer", dna.kmer_code(window))
     places = gene_kmers(contigs.select(F.struct(*group, "cid").alias("gene_idx"), "seq"), k)
     hosts = places.select("kmer", F.col("gene.cid").alias("host"), *[F.col(f"gene.{g}").alias(g) for g in group], F.col("offset").alias("_o"))
     found = seeds.join(hosts, ["kmer", *group]).where("cid <> host").select(*group, "cid", "seq", "host", (F.col("_o") - F.col("_at")).alias("_start")).distinct()

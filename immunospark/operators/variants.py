@@ -54,24 +54,25 @@ def counted(annotations: DataFrame, placed: DataFrame, single: bool = False) ->
     own = annotations.where("cdr3 IS NOT NULL").select("cid", F.col("cdr3.seq").alias("cdr3"))
     spanning = parts.where("whole AND NOT part RLIKE '[^ACGTN]'" if not single else "false")
     found = spanning.groupBy("cid", F.col("part").alias("cdr3")).agg(F.count(F.lit(1)).alias("n"))
-    rest = own.join(found.select("cid").distinct(), "cid", "left_anti").withColumn("n", F.lit(0).cast("bigint"))
     order = Window.partitionBy("cid").orderBy(F.desc("n"), "cdr3")
-    variants = found.unionByName(rest).withColumn("idx", F.row_number().over(order) - 1)
+    # a contig that no read spans has its consensus; joins rather than unions, whose partitionings adaptive execution mixes up in Spark 4.1
+    variants = own.join(found.withColumnRenamed("cdr3", "read_cdr3"), "cid", "left").select("cid", F.coalesce("read_cdr3", "cdr3").alias("cdr3"), F.coalesce("n", F.lit(0)).alias("n"))
+    variants = variants.withColumn("idx", F.row_number().over(order) - 1)
     sizes = variants.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
 
     # fragments by the sets of parts that they show; of the fragments of a UMI on a contig the first stands for it
     shows = parts.groupBy("cid", "fragment").agg(F.min("umi").alias("umi"), F.array_sort(F.collect_set(F.struct("at", "part"))).alias("parts"))
-    alone, marked = shows.where("umi IS NULL"), shows.where("umi IS NOT NULL")
-    marked = marked.groupBy("cid", "umi").agg(F.min(F.struct("fragment", "parts")).alias("x")).select("cid", F.col("x.parts").alias("parts"))
-    sets = alone.select("cid", "parts").unionByName(marked).groupBy("cid", "parts").agg(F.count(F.lit(1)).alias("weight"))
+    one = F.coalesce(F.concat(F.lit("u"), F.col("umi").cast("string")), F.concat(F.lit("f"), F.col("fragment").cast("string")))
+    shows = shows.groupBy("cid", one.alias("one")).agg(F.min(F.struct("fragment", "parts")).alias("x"))
+    sets = shows.select("cid", F.col("x.parts").alias("parts")).groupBy("cid", "parts").agg(F.count(F.lit(1)).alias("weight"))
     sets = sets.join(sizes, "cid")
-    plain = sets.where("size = 1").groupBy("cid").agg(F.sum("weight").cast("double").alias("count")).withColumn("idx", F.lit(0))
+    plain = sets.where("size = 1").groupBy("cid").agg(F.sum("weight").cast("double").alias("alone")).withColumn("idx", F.lit(0))
     several = sets.where("size > 1").join(variants.select("cid", "idx", "cdr3"), "cid")
     fits = several.where(F.forall("parts", lambda p: compatible(F.col("cdr3"), p["at"], p["part"])))
     shared = em.abundances(fits.select("cid", F.struct("parts").alias("read"), "idx", "weight"), "cid", "read", "idx", "weight")
     # the share that a fit leaves of a variant nobody needs is no count
-    counts = plain.select("cid", "idx", "count").unionByName(shared.select("cid", "idx", F.col("n").alias("count")))
-    kept = variants.join(counts, ["cid", "idx"]).where("count > 0")
+    counts = variants.join(plain, ["cid", "idx"], "left").join(shared.select("cid", "idx", F.col("n").alias("count")), ["cid", "idx"], "left")
+    kept = counts.withColumn("count", F.coalesce("alone", "count")).where("count > 0")
     return kept.select("cid", (F.row_number().over(Window.partitionBy("cid").orderBy("idx")) - 1).alias("idx"), "cdr3", "count")
 
 

@@ -106,11 +106,14 @@ def test_annotation_match_rates(spark, golden):
     first = lambda c: F.get(c, F.lit(0))
     span = lambda x: F.struct(x.read_start, x.read_end)
     rate = lambda c: both.where((F.size(f"g_{c}") > 0) & (F.size(c) > 0) & (span(first(f"g_{c}")) == span(first(c)))).count()
-    assert rate("v") == 78 and rate("j") >= 55 and rate("c") == 45
+    assert rate("v") == 78 and rate("j") >= 63 and rate("c") == 45
+    name = lambda c: both.where(first(f"g_{c}").gene == first(c).gene).count()
+    assert name("j") == 65 and name("c") == 45
     cdr = lambda k: both.where((F.col(f"g_cdr{k}.start") == F.col(f"cdr{k}.start")) & (F.col(f"g_cdr{k}.end") == F.col(f"cdr{k}.end"))).count()
-    assert cdr(1) == 22 and cdr(2) == 39 and cdr(3) >= 67
-    # partial ones are those of the golden file, but for one
-    assert both.where((F.coalesce(F.col("g_cdr3.score"), F.lit(-1.0)) == 0) != (F.coalesce(F.col("cdr3.score"), F.lit(-1.0)) == 0)).count() <= 9
+    assert cdr(1) == 22 and cdr(2) == 39 and cdr(3) >= 72
+    assert both.where(F.abs(F.col("g_cdr3.score") - F.col("cdr3.score")) < 0.02).count() >= 72
+    # partial ones, and contigs without a CDR3, are those of the golden file but for a few
+    assert both.where((F.coalesce(F.col("g_cdr3.score"), F.lit(-1.0)) == 0) != (F.coalesce(F.col("cdr3.score"), F.lit(-1.0)) == 0)).count() <= 3
 
 
 def test_assembly_recovers_golden_contigs(spark, golden):

@@ -101,3 +101,21 @@ def test_work_folder_must_be_shared(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         graph._folder(Session())
+
+
+def test_containment_with_foreign_letters(spark):
+    """Seeds are k-mer codes, and a k-mer with N is none."""
+    import random
+
+    from immunospark.operators import contained
+
+    rng = random.Random(7)
+    host = "".join(rng.choice("ACGT") for _ in range(200))
+    flip = lambda s, i: s[:i] + ("A" if s[i] != "A" else "C") + s[i + 1 :]
+    rows = [("host", host), ("in", host[20:80]), ("off", flip(host[20:80], 3)), ("late", flip(host[20:80], 50)), ("two", flip(flip(host[20:80], 3), 50))]
+    rows += [("n1", "N" + host[21:80]), ("n2", host[20:60] + "N" + host[61:80]), ("short", host[5:30]), ("other", "".join(rng.choice("ACGT") for _ in range(60)))]
+    rows += [("nn", "N" * 60), ("none", None)]
+    got = {(r.cid, r.host) for r in contained.contained(spark.createDataFrame(rows, "cid STRING, seq STRING")).collect()}
+    assert got == {(c, "host") for c in ("in", "off", "late", "n1", "n2")}
+    left = {r.cid for r in contained.without_contained(spark.createDataFrame(rows, "cid STRING, seq STRING")).collect()}
+    assert left == {"host", "two", "short", "other", "nn", "none"}
