@@ -7,9 +7,9 @@ it smallest. The margin is the share by which the runner-up is
 larger; a text with a narrow margin is rejected.
 
 Dictionaries come from a bounded sample of the labelled rows: of each language SAMPLE_DOCS distinct beginnings of
-SAMPLE_CHARS characters, drawn by their hash, so that neither repeated texts nor repeated or null ids weigh more, up to
+SAMPLE_CHARS characters (fewer where these would exceed SAMPLE_BYTES for all languages), drawn by their hash, so that neither repeated texts nor repeated or null ids weigh more, up to
 DICT_BYTES a language and ALL_BYTES in all, which many languages share evenly. They are what is
-broadcast. Everything else is a map over the documents: no shuffle, one Arrow batch in memory at a time.
+broadcast, beside one small row for each of at most LANGUAGES languages. Everything else is a map over the documents: no shuffle, one Arrow batch in memory at a time.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; without
 any labelled row every text is `und`; a language whose labelled texts have no letter can't be learned; ties go to the
@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fold, small_batches, table, worker_cache
@@ -40,6 +40,9 @@ DICT_BYTES = 96 << 10
 ALL_BYTES = 24 << 20
 #: The least that zstandard takes for a raw-content dictionary.
 LEAST_BYTES = 8
+#: Languages that are learned, those with most labelled rows; characters of all samples, which are fewer documents a language where there are many.
+LANGUAGES = 20_000
+SAMPLE_BYTES = 64 << 20
 BLOCK = 2 << 10
 LEVEL = 5
 #: Share by which the second language must be larger.
@@ -59,14 +62,15 @@ def learned(rows: DataFrame) -> dict[str, bytes]:
     """language: the bytes of its dictionary. rows: text, lang of the labelled documents."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").collect()}
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r for r in found}
     if not counts:
         return {}
-    # a share of each language's distinct texts that is drawn by their hash, and then at most SAMPLE_DOCS of them
-    share: Column = F.lit(0)
-    for lang, r in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, 1.5 * SAMPLE_DOCS / r["texts"]) * (1 << 40))).otherwise(share)
-    got = rows.where(F.col("h") < share).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    # a share of each language's distinct texts that is drawn by their hash, and then at most `most` of them
+    most = max(2, min(SAMPLE_DOCS, SAMPLE_BYTES // (SAMPLE_CHARS * len(counts))))
+    shares = rows.sparkSession.createDataFrame([(lang, int(min(1.0, 1.5 * most / r["texts"]) * (1 << 40))) for lang, r in counts.items()], "lang STRING, share BIGINT")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.col("h") < F.col("share")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = drawn.collect()
     by: dict[str, list] = {lang: [] for lang in counts}
     for r in got:
         by[r["lang"]].append((r["h"], r["text"]))
@@ -74,7 +78,7 @@ def learned(rows: DataFrame) -> dict[str, bytes]:
     out: dict[str, bytes] = {}
     for lang, texts in by.items():  # from most labelled rows to fewest, which settles ties
         # zstandard finds the end of a dictionary cheapest, so the last bytes are the ones to keep
-        raw = b" ".join(dict.fromkeys(letters(t) for _, t in sorted(texts)[:SAMPLE_DOCS]))[-room:]
+        raw = b" ".join(dict.fromkeys(letters(t) for _, t in sorted(texts)[:most]))[-room:]
         if raw.strip():
             out[lang] = raw * -(-LEAST_BYTES // len(raw))
     return out

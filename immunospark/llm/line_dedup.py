@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored, table, unused, worker_cache
+from .shared import named, small_batches, stored, table, unused, worker_cache
 
 DEPTH = 3
 SEGMENTS = 8
@@ -146,14 +146,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents with text rid of recurring templates; adds n_lines and n_dropped."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     doc, text, lost, lines = unused([*columns, "n_lines", "n_dropped"], "_doc", "_text", "_dropped", "_lines")
-    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias(doc), F.xxhash64("text").alias(text))
+    keyed = docs.select(*named(columns), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LEAST)).alias(doc), F.xxhash64("text").alias(text))
     out = keyed.join(dropped(docs).toDF(doc, text, lost), [doc, text], "left")
     split = F.split("text", "\n")
-    out = out.select(*columns, F.when(F.col(lost).isNotNull(), split).alias(lines), lost, F.size(split).alias("n_lines"))
+    out = out.select(*named(columns), F.when(F.col(lost).isNotNull(), split).alias(lines), lost, F.size(split).alias("n_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
     rest = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))
-    return out.select(*[rest.alias(c) if c == "text" else F.col(c) for c in columns], n_lines.alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_dropped"))
+    return out.select(*[rest.alias(c) if c == "text" else x for c, x in zip(columns, named(columns))], n_lines.alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

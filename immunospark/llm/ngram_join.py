@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from .shared import shuffle_partitions, small_batches, stored, table, unused, worker_cache
+from .shared import named, shuffle_partitions, small_batches, stored, table, unused, worker_cache
 
 WORDS = 5
 #: The threshold as a fraction: similarity >= OVER / UNDER.
@@ -398,9 +399,17 @@ def kept(docs: DataFrame) -> DataFrame:
     key, same = unused(docs.columns, "_row", "_x")
     rows = rows.withColumnRenamed("_row", key)
     keyed = docs.withColumn(key, row_of(F.xxhash64(F.col("text").cast("string"))))
-    single = keyed.join(rows, key, "left_anti").select(*docs.columns)
-    again = keyed.join(rows.where("stays"), key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(same))
-    return single.unionByName(again.select(f"{same}.*"))
+    columns = named(docs.columns)
+    single = keyed.join(rows, key, "left_anti").select(*columns)
+    # what has no order of its own, such as a map, is ordered by its JSON
+    order = [F.to_json(F.struct(x.alias("x"))) if _unordered(f.dataType) else x for f, x in zip(docs.schema.fields, columns)]
+    again = keyed.join(rows.where("stays"), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias(same))
+    return single.union(again.select(*[F.col(same).getField(c).alias(c) for c in docs.columns]))
+
+
+def _unordered(kind: DataType) -> bool:
+    """Whether rows can't be ordered by a column of this type."""
+    return any(x in kind.simpleString() for x in ("map<", "variant", "calendar"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

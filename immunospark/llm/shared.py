@@ -92,6 +92,11 @@ def unused(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
+def named(columns: Sequence[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 #: Session settings for whole texts: Arrow batches to Python by bytes, rows of a Parquet reader's batch, bytes of a row group.
 _BOUNDS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, small_batches, table
+from .shared import fold, small_batches, stored, table
 
 SAMPLE_DOCS = 2500
 SAMPLE_CHARS = 20_000
@@ -244,11 +244,19 @@ def fitted(docs: list[tuple[str, int]]) -> Crf:
     return crf
 
 
+#: Values of the hash that documents are drawn by.
+_HASHES = 1 << 40
+
+
 def training(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most SAMPLE_DOCS documents of either label, drawn by the hash of their id. docs: doc_id, text; labels: doc_id, toxic."""
-    marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """At most SAMPLE_DOCS labelled documents of either label, drawn by the hash of their id. docs: doc_id, text; labels: doc_id, toxic."""
+    there = docs.where(F.col("text").isNotNull()).select("doc_id")
+    marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("y")).join(there, "doc_id", "left_semi")
+    marks = stored(marks.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES))), "labelled")
+    counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a share of the hashes first, so that no task gives more rows than it has of that share
     drawn = [
-        marks.where((F.col("toxic") == 1) == bool(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("doc_id", F.lit(y).alias("y"))
+        marks.where((F.col("y") == y) & (F.col("h") < int(_HASHES * min(1.0, 1.5 * SAMPLE_DOCS / counts.get(y, 1))))).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id", "y")
         for y in (0, 1)
     ]
     # one text an id, cut where it is read: at most 2 * SAMPLE_DOCS * SAMPLE_CHARS characters reach the driver

@@ -46,7 +46,8 @@ def test_stages_against_brute_force(spark):
 
 def test_stages_take_hard_rows(spark):
     rows = [(1, None, None, None, 0), (2, "", "en", "src1", 0), (3, "the and of " * 30_000, "en", None, 1), (3, "the and of " * 30_000, "en", None, 1), (None, "the cat sat on the mat with them", "en", "src2", 3)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, n_dropped STRING")
+    df = spark.createDataFrame([(*r, "x", {"k": 1}, "y") for r in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, n_dropped STRING, kinds MAP<STRING, INT>, dotted STRING")
+    df = df.withColumnRenamed("dotted", "a.b")
     for name, stage in cp.STAGES:
         for docs in (df, df.limit(0)):
             got = stored(stage(spark, docs, SF), "hard")
