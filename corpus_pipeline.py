@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from immunospark.llm import language_id as lang
 from immunospark.llm import line_dedup as lines
 from immunospark.llm import mixing, ngram_join, packing
-from immunospark.llm.shared import drop_path, scratch, stored, table
+from immunospark.llm.shared import drop_path, named, scratch, stored, table
 
 #: Share of the tokens that mixing takes; documents are taken once at most.
 MIX_SHARE = 0.9
@@ -33,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, length).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*named(docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's documents up to its budget."""
     levels = [("domain", mixing.domain_of(F.col("source"))), ("lang", F.col("lang")), ("source", F.col("source"))]
-    return mixing.mix(docs, levels, share=MIX_SHARE, epochs=1).select(*docs.columns)
+    return mixing.mix(docs, levels, share=MIX_SHARE, epochs=1).select(*named(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
