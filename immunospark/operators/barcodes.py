@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .samples import smallest
+
 #: Barcodes that the background frequencies are taken from; None: all.
 SAMPLE = 2_000_000
 
 
 def whitelist_frequencies(barcodes: DataFrame, whitelist: DataFrame, sample: int | None = SAMPLE, barcode: str = "barcode", order: str | None = None) -> DataFrame:
     """barcode, freq of the whitelist: how often each was seen, and one more. A sample is the first by `order`, or else the smallest by hash, so that it is the same in each run."""
-    place = F.col(order) if order else F.xxhash64(*barcodes.columns)
-    seen = barcodes.select(F.col(barcode).alias("barcode"), place.alias("_place"))
     if sample is not None:
-        seen = seen.orderBy("_place", "barcode").limit(sample)
+        barcodes = smallest(barcodes, sample, F.col(order) if order else None)
+    seen = barcodes.select(F.col(barcode).alias("barcode"))
     counts = seen.groupBy("barcode").agg(F.count(F.lit(1)).alias("n"))
     return whitelist.select("barcode").distinct().join(counts, "barcode", "left").select("barcode", (F.coalesce("n", F.lit(0)) + 1).alias("freq"))
 

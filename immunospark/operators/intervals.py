@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .samples import smallest
+
 BIN = 16_384
 
 
@@ -57,8 +59,7 @@ def library_profile(rows: DataFrame, sample: int | None = 100_000) -> DataFrame:
     """One row: max_len, paired, frag_len and frag_std, from primary reads (flag, seq, pos, mate_pos, same_chrom); fragments from the smallest 70% of mate distances."""
     primary = rows.where(flags(F.col("flag"))["primary"])
     if sample is not None:
-        # the smallest by hash, so that the sample is the same in each run
-        primary = primary.orderBy(F.xxhash64(*primary.columns)).limit(sample)
+        primary = smallest(primary, sample)
     facts = primary.agg(F.max(F.length("seq")).alias("max_len"), (F.avg((F.col("flag").bitwiseAND(F.lit(1)) != 0).cast("int")) > 0.5).alias("paired"))
     ends = primary.where(F.col("same_chrom") & (F.col("mate_pos") > F.col("pos"))).select((F.col("mate_pos") - F.col("pos") + F.length("seq")).alias("d"))
     cut = ends.agg(F.percentile_approx("d", 0.7, 10_000).alias("q"))

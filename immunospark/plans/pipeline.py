@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna, read_format
-from ..operators import airr, annotate, assemble, barcode_report, barcodes, diversity, filters, kmers, mates, ordering, pileup, reference, report, scaffold, variants
+from ..operators import airr, annotate, assemble, barcode_report, barcodes, diversity, filters, kmers, mates, ordering, pileup, prepare, reference, report, scaffold, variants
 from ..operators.graph import cut
 
 
@@ -34,6 +34,9 @@ class Options:
     barcode_least: int = 0
     #: The share of equal letters that a read needs on its contig.
     place_similarity: float = 0.9
+    #: Whether reads are filtered and trimmed by their gene hits before they are assembled; letters of the library's reads, where these are long.
+    trim: bool = True
+    read_length: int = 0
     #: Whether mates join contigs of bulk reads.
     mate_extension: bool = True
     partial: bool = False
@@ -94,7 +97,7 @@ def mate_joined(made: DataFrame, rows: DataFrame, ref: DataFrame, by: str, optio
 
 def contigs(reads: DataFrame, ref: DataFrame, options: Options) -> DataFrame:
     """cid, contig, seq, weight, n_reads and barcode or locus of the contigs of each barcode, or of each locus for bulk reads."""
-    rows, by = _grouped(reads, ref, options)
+    rows, by = _grouped(cut(prepare.for_assembly(reads, ref, options.min_hit_len, options.read_length)) if options.trim else reads, ref, options)
     stats = kmers.read_stats(rows, options.kmer, key=["id"], by=[by] if options.barcoded else None)
     made = assemble.assemble(stats, [by], assemble.BARCODE_OVERLAP if options.barcoded else assemble.OVERLAP, options.barcoded)
     if options.contig_min_cov:

@@ -483,7 +483,7 @@ def gene_tie_break(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- reference hits --------------------------------------------------------------------------------
 
-from ..operators import mates, reference  # noqa: E402
+from ..operators import chains, mates, reference  # noqa: E402
 
 _REF = "SELECT item_id AS gene_idx, translate(regexp_replace(lower(text), '[^a-z]', ''{all}), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM {benchmark}"
 
@@ -516,6 +516,12 @@ def hit_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference.read_hits(reads(spark, sf_dir), _reference(spark, sf_dir), 27, 15)
 
 
+@query()
+def hit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains of every read's hits with the stand-in genes, at the operator's own k-mer length."""
+    return chains.read_chains(reads(spark, sf_dir), _reference(spark, sf_dir))
+
+
 @query()
 def mate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of 150 bases that overlap the next 100 of their document by construction, as pairs."""
@@ -622,7 +628,7 @@ def mate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- filters by gene hits, junctions, motifs -----------------------------------------------------------
 
-from ..operators import filters, scaffold  # noqa: E402
+from ..operators import filters, prepare, scaffold  # noqa: E402
 
 _HIT_ROWS = """SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, CAST(l_quantity AS INT) AS q, l_partkey % 5 <> 0 AS has_v, l_suppkey % 3 <> 0 AS has_j, l_orderkey % 4 <> 0 AS has_c,
   CAST(l_partkey % 40 AS INT) AS va, CAST(l_partkey % 40 + 60 AS INT) AS vb, CAST(l_suppkey % 30 AS INT) AS vr, CAST(90 + l_quantity AS INT) AS ja, CAST(120 + l_quantity AS INT) AS jb,
@@ -656,6 +662,30 @@ def hit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH h AS (SELECT *, 88 + q % 13 AS sim, substr(repeat('ACGTTGCATC', 30), 1, 150 + (p % 100)::INT) AS seq FROM ({_HIT_ROWS.format(lineitem='lineitem')})),
+g AS (SELECT *, length(seq) AS len FROM h WHERE NOT ((has_v AND has_j AND vb - 10 > ja) OR (has_v AND has_c AND vb - 10 > ca) OR (has_j AND has_c AND jb - 10 > ca))
+  AND NOT (NOT has_v AND NOT has_j AND has_c AND (cr >= 200 OR (cr >= 100 AND (q % 2 = 0 OR ca > 0 OR cb < length(seq) - 1))))),
+f AS (SELECT *, CASE WHEN has_v AND (vr < 31 AND sim > 90 OR sim > 95 AND vr <= 100 / 3.0) THEN va ELSE 0 END AS cut_front FROM g),
+m AS (SELECT *, len - cut_front AS n1,
+  CASE WHEN has_v AND vb - cut_front >= 0 AND va - cut_front < len - cut_front THEN greatest(va - cut_front, 0) END AS v1, CASE WHEN has_v THEN least(vb - cut_front, len - cut_front - 1) END AS v2,
+  CASE WHEN has_j AND jb - cut_front >= 0 AND ja - cut_front < len - cut_front THEN greatest(ja - cut_front, 0) END AS j1, least(jb - cut_front, len - cut_front - 1) AS j2,
+  CASE WHEN has_c AND cb - cut_front >= 0 AND ca - cut_front < len - cut_front THEN greatest(ca - cut_front, 0) END AS c1, least(cb - cut_front, len - cut_front - 1) AS c2 FROM f),
+b AS (SELECT *, CASE WHEN c1 IS NOT NULL AND cr < 9 AND sim > 95 AND n1 - c2 - 1 > 0 AND NOT coalesce(j1 + n1 - c2 - 1 >= n1, false) AND NOT coalesce(v1 + n1 - c2 - 1 >= n1, false) THEN n1 - c2 - 1 ELSE 0 END AS cut_back FROM m),
+z AS (SELECT *, n1 - cut_back AS n2 FROM b)
+SELECT o, n, p, q, cut_front, cut_back, substr(seq, cut_front + 1, n2) AS seq, CASE WHEN v1 < n2 THEN v1 END AS v_start, CASE WHEN v1 < n2 THEN least(v2, n2 - 1) END AS v_end,
+  CASE WHEN j1 < n2 THEN j1 END AS j_start, CASE WHEN j1 < n2 THEN least(j2, n2 - 1) END AS j_end, CASE WHEN cut_back = 0 THEN c1 END AS c_start, CASE WHEN cut_back = 0 AND c1 IS NOT NULL THEN c2 END AS c_end
+FROM z WHERE n2 >= 31""")
+def read_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters, trimming and moved coordinates, over hits made of every line."""
+    rows = spark.sql(_HIT_ROWS, lineitem=table(spark, sf_dir, "lineitem"))
+    similar = (88 + F.col("q") % 13).cast("double")
+    rows = rows.select(
+        "o", "n", "p", "q", F.substr(F.lit("ACGTTGCATC" * 30), F.lit(1), (150 + F.col("p") % 100).cast("int")).alias("seq"), F.when(F.col("q") % 2 == 0, 1).otherwise(-1).alias("strand"),
+        *[F.when(_hit(k).isNotNull(), _hit(k).withField("similarity", similar)).alias(k) for k in "vjc"],
+    )
+    return prepare.prepared(rows).select("o", "n", "p", "q", "cut_front", "cut_back", "seq", *[F.col(f"{k}.read_{e}").alias(f"{k}_{e}") for k in "vjc" for e in ("start", "end")])
+
+
 @query(f"""WITH h AS ({_HIT_ROWS.format(lineitem='lineitem')}), x AS (SELECT *, p % 2 = 0 AS with_d, vb + 3 AS da, vb + 3 + n AS db, 80 AS s, 130 AS e FROM h)
 SELECT o, n, p, q, CASE WHEN has_v AND has_j AND vb < ja AND vb >= s AND ja <= e THEN
   concat_ws(',', vb - s, 99 - (vr + vb - va), CASE WHEN with_d AND db < ja THEN (da - vb - 1)::VARCHAR WHEN NOT with_d THEN (ja - vb - 1)::VARCHAR ELSE '*' END,
