@@ -1,7 +1,7 @@
 """Assembly of reads into contigs, group by group.
 
 Assembly is an ordered fold: reads come in a total order, most solid first, and each one joins a contig
-that it overlaps, extends it, merges two, or founds a new one. Within a group the fold is sequential;
+that it overlaps, with indels if need be, extends it, merges two, or founds a new one. Within a group the fold is sequential;
 groups (a barcode, or a locus for bulk reads) are independent and are what Spark deals out.
 Identical reads of a group are merged into one with a multiplicity in the engine before that, so a
 group's task holds distinct reads only. Bulk groups by locus differ from one global fold where reads of
@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import align
+from .chains import chains
 
 K = 11
 #: Overlap that joins a read and a contig, in bulk and within a barcode.
 OVERLAP, BARCODE_OVERLAP = 31, 17
+#: By how much the diagonals of a read's hits may step within one overlap.
+GAP = 10
 _LETTERS = np.frombuffer(b"ACGT", dtype=np.uint8)
 _CODE = np.full(256, 4, dtype=np.int64)
 for _i, _b in enumerate(b"ACGT"):
@@ -68,15 +71,20 @@ class Assembly:
         self._forget(c, self._kmers(self.text[c]))
         del self.weights[c], self.text[c], self.reads[c]
 
-    def places(self, read: str, similarity: float) -> list[tuple[float, int, int]]:
-        """(-matches, contig, offset of the read in it) of good overlaps, best first."""
-        votes: Counter = Counter()
+    def _hits(self, read: str) -> dict[int, list[tuple[int, int]]]:
+        """By contig: the places in the read and in the contig of all k-mers that they share."""
+        out = defaultdict(list)
         for i in range(len(read) - self.k + 1):
             for c in self.index.get(read[i : i + self.k], ()):
                 at = self.text[c].find(read[i : i + self.k])
                 while at >= 0:
-                    votes[c, at - i] += 1
+                    out[c].append((i, at))
                     at = self.text[c].find(read[i : i + self.k], at + 1)
+        return out
+
+    def places(self, read: str, similarity: float, hits: dict[int, list[tuple[int, int]]]) -> list[tuple[float, int, int]]:
+        """(-matches, contig, offset of the read in it) of good overlaps without indels, best first."""
+        votes = Counter((c, at - i) for c, found in hits.items() for i, at in found)
         out = []
         seen: set[int] = set()
         for (c, offset), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
@@ -93,6 +101,45 @@ class Assembly:
                 out.append((-same, c, offset))
         return sorted(out)
 
+    def gapped(self, read: str, similarity: float, hits: dict[int, list[tuple[int, int]]]) -> tuple[int, int, int, str] | None:
+        """The contig whose overlap with the read has indels and most matches: contig, where the overlap begins in read and contig,
+        and its script. Between the ends of a chain of hits the read is aligned with the contig's weights; beyond them it goes on without indels."""
+        best = None
+        for c, found in sorted(hits.items()):
+            if len({at - i for i, at in found}) < 2:
+                continue
+            text = self.text[c]
+            for a, b in chains(*np.array(found).T, self.overlap, self.k, GAP):
+                if (a - b == a[0] - b[0]).all():
+                    continue
+                a0, a1, b0, b1 = int(a[0]), int(a[-1]) + self.k, int(b[0]), int(b[-1]) + self.k
+                left, right = min(a0, b0), min(len(read) - a1, len(text) - b1)
+                same = lambda x, y: "".join("=" if p == q or "N" in (p, q) else "X" for p, q in zip(x, y))
+                script = same(read[a0 - left : a0], text[b0 - left : b0]) + align.weighted(self.weights[c][b0:b1], read[a0:a1])[1] + same(read[a1 : a1 + right], text[b1 : b1 + right])
+                n = script.count("=")
+                if n >= similarity * len(script) and (best is None or n > best[0]):
+                    best = (n, c, a0 - left, b0 - left, script)
+        return best and best[1:]
+
+    def _woven(self, c: int, read: str, start: int, place: int, script: str, times: int) -> np.ndarray:
+        """A contig's weights with a read that overlaps it by a script: columns that the read lacks stay, letters that the contig
+        lacks become columns if the read stands for most of what lies there, and what reaches beyond either end is added."""
+        codes, mine = _CODE[align.letters(read)], self.weights[c]
+        rows, i, j = [*np.pad(mine[:place], ((start, 0), (0, 0)))] if place == 0 else [*mine[:place]], start, place
+        put = lambda row, code: row + times * (np.arange(4) == code)
+        if place == 0:
+            rows = [put(row, code) for row, code in zip(rows, codes[:start])]
+        for step in script:
+            if step in "=X":
+                rows.append(put(mine[j], codes[i]))
+            elif step == "D":
+                rows.append(mine[j])
+            elif 2 * times > max(mine[max(0, j - 1) : j + 1].sum(1), default=0):
+                rows.append(put(np.zeros(4, dtype=np.int64), codes[i]))
+            i, j = i + (step in "=XI"), j + (step in "=XD")
+        rows += [*mine[j:]] if j < len(mine) else [put(np.zeros(4, dtype=np.int64), code) for code in codes[i:]]
+        return np.array(rows, dtype=np.int64).reshape(-1, 4)
+
     @staticmethod
     def _added(weights: np.ndarray, codes: np.ndarray, offset: int, times: int) -> np.ndarray:
         left, right = max(0, -offset), max(0, offset + len(codes) - len(weights))
@@ -103,7 +150,12 @@ class Assembly:
 
     def add(self, read: str, similarity: float, times: int = 1) -> int:
         codes = _CODE[align.letters(read)]
-        places = self.places(read, similarity)
+        hits = self._hits(read)
+        places = self.places(read, similarity, hits)
+        if not places and (found := self.gapped(read, similarity, hits)):
+            c, start, place, script = found
+            self._put(c, self._woven(c, read, start, place, script, times), self.reads[c] + times)
+            return c
         if not places:
             c, self.next = self.next, self.next + 1
             self._put(c, self._added(np.zeros((len(codes), 4), dtype=np.int64), codes, 0, times), times)
