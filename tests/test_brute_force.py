@@ -159,20 +159,37 @@ def test_assembly_accounts_for_reads(spark):
 
 
 def test_annotation_places_are_alignments(spark):
-    """A hit's place says that the read there is like the gene there."""
+    """A hit's place says that the read there is the gene there: the seeds of its k-mers lie at the places it tells."""
     from immunospark.operators import annotate
 
     ref = q._reference(spark, SF)
     genes = {f"IGH{'V' if r.gene_idx % 2 == 0 else 'J'}{r.gene_idx}": r.seq for r in ref.collect()}
     texts = {r.id: r.seq for r in reads(spark, SF).collect()}
+    model = annotate.Reference([annotate.Gene(n, s, n[3], "IGH") for n, s in genes.items()])
     got = q.QUERIES["annotation"](spark, SF).collect()
     assert len(got) == len(texts)
+    names, placed = set(genes), 0
     for r in got:
-        for k in "vj":
-            if (name := r[f"{k}_gene"]) is not None:
-                seq, gene, at = texts[r.cid], genes[name], r[f"{k}_start"]
-                piece = seq[at : at + annotate.K]
-                assert any(piece[i : i + 5] in gene for i in range(len(piece) - 4))
+        found = {k: model.hits(texts[r.cid]).get(k.upper(), []) for k in "vj"} if r.v_gene or r.j_gene else {}
+        for k, hits in found.items():
+            if (name := r[f"{k}_gene"]) is None:
+                continue
+            hit = next(h for h in hits if h.gene.name == name)
+            assert name in names and hit.start == r[f"{k}_start"]
+            # letter by letter along the hit's own alignment
+            seq, gene, i, j, same = texts[r.cid], genes[name], hit.start, hit.ref_start, 0
+            for step in "".join(p.steps(seq) for p in hit.parts) if hit.parts else hit.steps(seq):
+                if step == "=":
+                    assert seq[i] == gene[j]
+                    same += 1
+                i, j = i + (step in "=XI"), j + (step in "=XD")
+            if not hit.parts:
+                assert (i - 1, j - 1, same) == (hit.end, hit.ref_end, hit.matches)
+            placed += 1
+            # no other gene of the type has a longer exact stretch of letters in common with the read by half
+            best = hits[0].matches
+            assert hit.matches >= best * annotate.SECONDARY
+    assert placed
     hit = {r.cid for r in got if r.v_gene or r.j_gene}
     # a read that shares 30 letters with a gene is never missed
     words = {g[i : i + 30] for g in genes.values() for i in range(len(g) - 29)}
