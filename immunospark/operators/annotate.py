@@ -200,12 +200,19 @@ class Reference:
                 ranked[self.genes[g].kind].append((-near, g))
         out: dict[str, list[Hit]] = {}
         for kind, rows in ranked.items():
-            found = []
+            found, best = [], 0
             for _, g in sorted(rows)[:CANDIDATES]:
                 parts = [h for s, hits in sorted(votes[g].items()) if (h := self.aligned(g, seq, text, *np.array(hits).T, *pieces[s])) and h.matches >= K]
-                for hit in [extended(joined(parts), seq, pieces)] if parts else []:
-                    if hit.similarity >= MIN_SIMILARITY and hit.matches >= NEED[kind] - 2:
-                        found.append((-hit.matches, -hit.similarity, g, hit))
+                if not parts:
+                    continue
+                hit = joined(parts)
+                # an extension can't add more letters than gene and contig have left: what stays far behind the best one needs none
+                most = hit.matches + min(hit.ref_start, hit.start) + min(len(hit.gene.seq) - 1 - hit.ref_end, len(seq) - 1 - hit.end)
+                if most >= SECONDARY * best:
+                    hit = extended(hit, seq, pieces)
+                best = max(best, hit.matches)
+                if hit.similarity >= MIN_SIMILARITY and hit.matches >= NEED[kind] - 2:
+                    found.append((-hit.matches, -hit.similarity, g, hit))
             out[kind] = [x[-1] for x in sorted(found, key=lambda x: x[:3])]
         return out
 
@@ -235,10 +242,10 @@ def beyond(hit: Hit, seq: str, room: int, right: bool) -> tuple[str, int]:
     gene = hit.gene.seq
     t, p = (gene[hit.ref_end + 1 :], seq[hit.end + 1 : hit.end + 1 + room]) if right else (gene[: hit.ref_start][::-1], seq[hit.start - room : hit.start][::-1])
     outer = hit.gene.kind == "J" if right else hit.gene.kind in "VC"
-    # no alignment of the contig's letters goes further into the gene than twice their number
-    script, matches = reach(align.one_end(t[: 2 * len(p) + CLOSE], p, 0, 0.25 if outer else 1.0)[3], p, False)
+    # an alignment that scores goes no further in one than twice as far as in the other
+    script, matches = reach(align.one_end(t[: 2 * len(p) + CLOSE], p[: 2 * len(t) + CLOSE], 0, 0.25 if outer else 1.0)[3], p, False)
     used, passed = sum(c in "=XI" for c in script), sum(c in "=XD" for c in script)
-    near = min(len(t) - passed, len(p) - used) if right else min(len(t) - passed, len(seq[: hit.start]) - used)
+    near = min(len(t) - passed, (len(p) if right else hit.start) - used)
     if outer and 0 < len(t) - passed and near < CLOSE:
         rest = "".join("=" if a == b else "X" for a, b in zip(t[passed:], p[used:]))
         script, matches = script + rest, matches + rest.count("=")
@@ -329,7 +336,8 @@ def d_gene(ref: Reference, seq: str, v: Hit, j: Hit, locus: str) -> list[Hit]:
         if gene.kind == "D" and gene.locus == locus and hi - lo >= 5:
             hit = ref.gapped(g, seq, lo, hi)
             if hit:
-                score = align.local(gene.seq, seq[lo:hi])[0]
+                n, wrong, gaps = align.stats(hit.script)
+                score = n * align.LOCAL_MATCH + wrong * align.LOCAL_MISMATCH + gaps * align.LOCAL_INDEL
                 if score >= 5:
                     found.append((-score, -hit.similarity, g, hit))
     return [x[-1] for x in sorted(found, key=lambda x: x[:3])]
