@@ -32,7 +32,7 @@ def translate_codons(seq: Column) -> Column:
     def amino(i: Column) -> Column:
         codon = F.substr(digits, i * 3 + 1, F.lit(3))
         place = [F.ascii(F.substr(codon, F.lit(k), F.lit(1))) - 48 for k in (1, 2, 3)]
-        known = (F.length(codon) == 3) & ~codon.rlike("[^0-3]")
+        known = (F.length(codon) == 3) & (F.translate(codon, "0123", "") == "")
         return F.when(known, F.substr(F.lit(_AMINO), place[0] * 16 + place[1] * 4 + place[2] + 1, F.lit(1))).otherwise("?")
 
     return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), amino), "")).otherwise(F.when(seq.isNotNull(), ""))

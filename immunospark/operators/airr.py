@@ -67,10 +67,14 @@ def rearrangements(rows: DataFrame, annotations: DataFrame, alignments: DataFram
         df = df.join(alignments, "cid", "left")
     else:
         df = df.withColumns({c: F.lit(None).cast("string") for c in ("v_cigar", "d_cigar", "j_cigar", "c_cigar", "sequence_alignment", "germline_alignment")} | {"cdr3_start": F.lit(-1), "cdr3_end": F.lit(-1)})
-    aligned = (F.col("cdr3_start") >= 0) & (F.col("cdr3_end") >= 0)
-    both = variant_aligned(F.col("sequence_alignment"), F.col("germline_alignment"), F.col("cdr3_start"), F.col("cdr3_end"), F.col("_s"), F.col("cdr3nt"), F.col("_hits"))
-    df = df.withColumn("_both", F.when(aligned, both))
-    aa = fcdr3.airr_translation(F.col("cdr3nt"))
+    none = F.lit(None).cast("struct<text:string,germline:string>")
+    if alignments is not None:
+        aligned = (F.col("cdr3_start") >= 0) & (F.col("cdr3_end") >= 0)
+        none = F.when(aligned, variant_aligned(F.col("sequence_alignment"), F.col("germline_alignment"), F.col("cdr3_start"), F.col("cdr3_end"), F.col("_s"), F.col("cdr3nt"), F.col("_hits")))
+    # lambdas aren't shared between uses, so what is used twice is a column first
+    df = df.withColumn("_both", none).withColumn("_codons", dna.translate_codons(F.col("cdr3nt")))
+    df = df.withColumn("_aa", fcdr3.airr_translation(F.col("cdr3nt"), F.col("_codons")))
+    aa = F.col("_aa")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return df.select(
         (F.col("cid") if cells else F.concat_ws("_", "cid", F.col("index").cast("string"))).alias("sequence_id"),
