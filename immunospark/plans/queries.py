@@ -493,27 +493,27 @@ def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HITS = f"""r AS ({READS_DUCK}), ref AS ({_REF.format(all=", 'g'", benchmark='benchmark')}),
-rk AS (SELECT gene_idx AS gene, pos, substr(seq, pos + 1, 15) AS km FROM (SELECT *, unnest(range(0, length(seq) - 14)) AS pos FROM ref)),
+rk AS (SELECT gene_idx AS gene, pos, substr(seq, pos + 1, 9) AS km FROM (SELECT *, unnest(range(0, length(seq) - 8)) AS pos FROM ref)),
 st AS (SELECT id, 1 AS strand, seq FROM r UNION ALL SELECT id, -1, {_rc('seq')} FROM r),
-qk AS (SELECT id, strand, pos, substr(seq, pos + 1, 15) AS km FROM (SELECT *, unnest(range(0, length(seq) - 14)) AS pos FROM st WHERE length(seq) >= 15))"""
+qk AS (SELECT id, strand, pos, substr(seq, pos + 1, 9) AS km FROM (SELECT *, unnest(range(0, length(seq) - 8)) AS pos FROM st WHERE length(seq) >= 9))"""
 
 
-@query(f"WITH {_HITS} SELECT id, strand, gene, count(DISTINCT qk.pos) AS n FROM qk JOIN rk USING (km) GROUP BY id, strand, gene HAVING count(DISTINCT qk.pos) + 14 >= 27")
+@query(f"WITH {_HITS} SELECT id, strand, gene, count(DISTINCT qk.pos) AS n FROM qk JOIN rk USING (km) GROUP BY id, strand, gene HAVING count(DISTINCT qk.pos) + 8 >= 27")
 def hit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reference.hits(reads(spark, sf_dir), reference.gene_kmers(_reference(spark, sf_dir), 15), 15)
-    return reference.candidates(found, 27, 15)
+    found = reference.hits(reads(spark, sf_dir), reference.gene_kmers(_reference(spark, sf_dir)))
+    return reference.candidates(found, 27)
 
 
 @query(f"""WITH {_HITS}, h AS (SELECT id, strand, gene, qk.pos AS q, rk.pos AS g, rk.pos - qk.pos AS d FROM qk JOIN rk USING (km)),
-c AS (SELECT id, strand, gene FROM h GROUP BY ALL HAVING count(DISTINCT q) + 14 >= 27),
+c AS (SELECT id, strand, gene FROM h GROUP BY ALL HAVING count(DISTINCT q) + 8 >= 27),
 m AS (SELECT id, strand, gene, arg_max(d, (n, -d)) AS main FROM (SELECT id, strand, gene, d, count(*) AS n FROM h JOIN c USING (id, strand, gene) GROUP BY ALL) GROUP BY ALL),
 n AS (SELECT DISTINCT id, strand, gene, q, g FROM h JOIN m USING (id, strand, gene) WHERE abs(d - main) <= 10),
-a AS (SELECT id, strand, gene, sum(least(15, q - coalesce(p, -1000000))) AS len FROM (SELECT *, lag(q) OVER (PARTITION BY id, strand, gene ORDER BY q) AS p FROM (SELECT DISTINCT id, strand, gene, q FROM n)) GROUP BY ALL),
-b AS (SELECT id, strand, gene, sum(least(15, g - coalesce(p, -1000000))) AS len FROM (SELECT *, lag(g) OVER (PARTITION BY id, strand, gene ORDER BY g) AS p FROM (SELECT DISTINCT id, strand, gene, g FROM n)) GROUP BY ALL),
+a AS (SELECT id, strand, gene, sum(least(9, q - coalesce(p, -1000000))) AS len FROM (SELECT *, lag(q) OVER (PARTITION BY id, strand, gene ORDER BY q) AS p FROM (SELECT DISTINCT id, strand, gene, q FROM n)) GROUP BY ALL),
+b AS (SELECT id, strand, gene, sum(least(9, g - coalesce(p, -1000000))) AS len FROM (SELECT *, lag(g) OVER (PARTITION BY id, strand, gene ORDER BY g) AS p FROM (SELECT DISTINCT id, strand, gene, g FROM n)) GROUP BY ALL),
 z AS (SELECT id, strand, gene, least(a.len, b.len)::INT AS length FROM a JOIN b USING (id, strand, gene) WHERE least(a.len, b.len) >= 27)
 SELECT id, strand, gene, length FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length DESC, strand DESC, gene) AS r FROM z) WHERE r = 1""")
 def hit_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference.read_hits(reads(spark, sf_dir), _reference(spark, sf_dir), 27, 15)
+    return reference.read_hits(reads(spark, sf_dir), _reference(spark, sf_dir), 27)
 
 
 @query()
