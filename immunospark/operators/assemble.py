@@ -11,14 +11,15 @@ several loci overlap.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import align
-from .chains import chains
+from .chains import LEAST, chains
 
 K = 11
 #: Overlap that joins a read and a contig, in bulk and within a barcode.
@@ -46,16 +47,23 @@ class Assembly:
         self.weights: dict[int, np.ndarray] = {}
         self.text: dict[int, str] = {}
         self.reads: dict[int, int] = {}
-        self.index: dict[str, set[int]] = defaultdict(set)
+        self.index: dict[str, set[int]] = {}
         self.next = 0
 
     def _put(self, c: int, weights: np.ndarray, reads: int) -> None:
         text = np.where(weights.any(1), _LETTERS[weights.argmax(1)], 78).astype(np.uint8).tobytes().decode()
         if self.text.get(c) != text:
-            old, new = self._kmers(self.text.get(c, "")), self._kmers(text)
-            self._forget(c, old - new)
-            for kmer in new - old:
-                self.index[kmer].add(c)
+            new = self._kmers(text)
+            if c in self.text:
+                old = self._kmers(self.text[c])
+                self._forget(c, old - new)
+                new -= old
+            for kmer in new:
+                near = self.index.get(kmer)
+                if near is None:
+                    self.index[kmer] = {c}
+                else:
+                    near.add(c)
         self.weights[c], self.reads[c], self.text[c] = weights, reads, text
 
     def _kmers(self, text: str) -> set[str]:
@@ -74,39 +82,52 @@ class Assembly:
     def _hits(self, read: str) -> dict[int, list[tuple[int, int]]]:
         """By contig: the places in the read and in the contig of all k-mers that they share."""
         out = defaultdict(list)
-        for i in range(len(read) - self.k + 1):
-            for c in self.index.get(read[i : i + self.k], ()):
-                at = self.text[c].find(read[i : i + self.k])
+        kmers = [read[i : i + self.k] for i in range(len(read) - self.k + 1)]
+        for i, near in enumerate(map(self.index.get, kmers)):
+            for c in near or ():
+                at = self.text[c].find(kmers[i])
                 while at >= 0:
                     out[c].append((i, at))
-                    at = self.text[c].find(read[i : i + self.k], at + 1)
+                    at = self.text[c].find(kmers[i], at + 1)
         return out
 
     def places(self, read: str, similarity: float, hits: dict[int, list[tuple[int, int]]]) -> list[tuple[float, int, int]]:
         """(-matches, contig, offset of the read in it) of good overlaps without indels, best first."""
-        votes = Counter((c, at - i) for c, found in hits.items() for i, at in found)
         out = []
-        seen: set[int] = set()
-        for (c, offset), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
-            if c in seen:
-                continue
-            text = self.text[c]
-            lo, hi = max(0, offset), min(len(text), offset + len(read))
-            if hi - lo < min(self.overlap, len(read)):
-                continue
-            a, b = align.letters(text[lo:hi]), align.letters(read[lo - offset : hi - offset])
-            same = int(((a == b) | (a == 78) | (b == 78)).sum())
-            if same >= similarity * (hi - lo):
-                seen.add(c)
-                out.append((-same, c, offset))
+        least, mine = min(self.overlap, len(read)), align.letters(read)
+        for c, found in hits.items():
+            text = align.letters(self.text[c])
+            wild = "N" in read or "N" in self.text[c]
+            votes = Counter(at - i for i, at in found)
+            for offset in sorted(votes, key=lambda x: (-votes[x], x)):
+                lo, hi = max(0, offset), min(len(text), offset + len(read))
+                if hi - lo < least:
+                    continue
+                a, b = text[lo:hi], mine[lo - offset : hi - offset]
+                same = int(np.count_nonzero((a == b) | (a == 78) | (b == 78) if wild else a == b))
+                if same >= similarity * (hi - lo):
+                    out.append((-same, c, offset))
+                    break
         return sorted(out)
 
+    @staticmethod
+    def _bent(found: list[tuple[int, int]]) -> bool:
+        """Whether a cluster of hits, large enough for a chain, has more than one diagonal."""
+        places = sorted(at - i for i, at in found)
+        first = 0
+        for i in range(1, len(places) + 1):
+            if i == len(places) or places[i] - places[i - 1] > GAP:
+                if i - first >= LEAST and places[i - 1] > places[first]:
+                    return True
+                first = i
+        return False
+
     def gapped(self, read: str, similarity: float, hits: dict[int, list[tuple[int, int]]]) -> tuple[int, int, int, str] | None:
         """The contig whose overlap with the read has indels and most matches: contig, where the overlap begins in read and contig,
         and its script. Between the ends of a chain of hits the read is aligned with the contig's weights; beyond them it goes on without indels."""
         best = None
         for c, found in sorted(hits.items()):
-            if len({at - i for i, at in found}) < 2:
+            if not self._bent(found):
                 continue
             text = self.text[c]
             for a, b in chains(*np.array(found).T, self.overlap, self.k, GAP):
@@ -124,28 +145,26 @@ class Assembly:
     def _woven(self, c: int, read: str, start: int, place: int, script: str, times: int) -> np.ndarray:
         """A contig's weights with a read that overlaps it by a script: columns that the read lacks stay, letters that the contig
         lacks become columns if the read stands for most of what lies there, and what reaches beyond either end is added."""
-        codes, mine = _CODE[align.letters(read)], self.weights[c]
-        rows, i, j = [*np.pad(mine[:place], ((start, 0), (0, 0)))] if place == 0 else [*mine[:place]], start, place
-        put = lambda row, code: row + times * (np.arange(4) == code)
-        if place == 0:
-            rows = [put(row, code) for row, code in zip(rows, codes[:start])]
-        for step in script:
-            if step in "=X":
-                rows.append(put(mine[j], codes[i]))
-            elif step == "D":
-                rows.append(mine[j])
-            elif 2 * times > max(mine[max(0, j - 1) : j + 1].sum(1), default=0):
-                rows.append(put(np.zeros(4, dtype=np.int64), codes[i]))
-            i, j = i + (step in "=XI"), j + (step in "=XD")
-        rows += [*mine[j:]] if j < len(mine) else [put(np.zeros(4, dtype=np.int64), code) for code in codes[i:]]
-        return np.array(rows, dtype=np.int64).reshape(-1, 4)
+        codes, mine, steps = _CODE[align.letters(read)], self.weights[c], align.letters(script)
+        read_on, contig_on = steps != ord("D"), steps != ord("I")
+        i, j = start + np.cumsum(read_on) - read_on, place + np.cumsum(contig_on) - contig_on  # where each step begins
+        total = np.pad(mine.sum(1), 1)
+        keep = contig_on | (2 * times > np.maximum(total[j], total[j + 1]))
+        rows = np.zeros((len(steps), 4), dtype=np.int64)
+        rows[contig_on] = mine[j[contig_on]]
+        put = read_on & (codes[np.minimum(i, len(codes) - 1)] < 4)
+        rows[put, codes[i[put]]] += times
+        one = lambda x: times * (x[:, None] == np.arange(4))
+        i, j = start + int(read_on.sum()), place + int(contig_on.sum())
+        return np.concatenate([one(codes[:start]) if place == 0 else mine[:place], rows[keep], mine[j:] if j < len(mine) else one(codes[i:])])
 
     @staticmethod
     def _added(weights: np.ndarray, codes: np.ndarray, offset: int, times: int) -> np.ndarray:
         left, right = max(0, -offset), max(0, offset + len(codes) - len(weights))
-        grown = np.pad(weights, ((left, right), (0, 0)))
+        grown = np.zeros((left + len(weights) + right, 4), dtype=np.int64)
+        grown[left : left + len(weights)] = weights
         good = np.flatnonzero(codes < 4)
-        np.add.at(grown, (good + offset + left, codes[good]), times)
+        grown[good + offset + left, codes[good]] += times
         return grown
 
     def add(self, read: str, similarity: float, times: int = 1) -> int:
@@ -190,13 +209,12 @@ class Assembly:
         kept: set[int] = set()
         for c in order:
             own, half = self.text[c], len(self.text[c]) // 2
-            text = align.letters(own)
             inside = False
             # with one mismatch at most one half is exact, so its first k-mer leads to the host; short contigs are compared with all
             seeded = mismatches <= 1 and half >= self.k
-            near = self.index.get(own[: self.k], set()) | self.index.get(own[half : half + self.k], set()) if seeded else kept
+            near = {*self.index.get(own[: self.k], ()), *self.index.get(own[half : half + self.k], ())} if seeded else kept
             for d in sorted(near & kept, key=rank.__getitem__):
-                host = align.letters(self.text[d])
+                host, text = align.letters(self.text[d]), align.letters(own)
                 if len(host) > len(text) and len(text):
                     windows = np.lib.stride_tricks.sliding_window_view(host, len(text))
                     inside = bool(((windows != text).sum(1) <= mismatches).any())
@@ -209,23 +227,49 @@ class Assembly:
 
 def assemble(reads: DataFrame, group: list[str], overlap: int = OVERLAP, barcoded: bool = False) -> DataFrame:
     """group, contig, consensus, n_reads, pos_weight of reads (group, id, seq, min_cnt, median_cnt, avg_cnt)."""
-    merged = reads.groupBy(*group, "seq").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"), *[F.max(c).alias(c) for c in ("min_cnt", "median_cnt", "avg_cnt")])
+    amounts = ["min_cnt", "median_cnt", "avg_cnt"]
+    merged = reads.groupBy(*group, "seq").agg(F.count(F.lit(1)).alias("times"), *[F.max(c).alias(c) for c in amounts])
     kinds = dict(reads.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_n=pdf["seq"].str.len()).sort_values(["min_cnt", "median_cnt", "avg_cnt", "_n", "seq", "id"], ascending=[False, False, False, False, True, True])
+    def contigs(rows: list[tuple]) -> tuple[Assembly, list[int]]:
+        """The contigs of a group's reads (seq, times, min_cnt and the other amounts, nulls last), and which of them stay."""
+        last = lambda x: (x is None or x != x, -x if x is not None else 0)
         made = Assembly(overlap)
-        for seq, times, low in zip(pdf["seq"], pdf["times"], pdf["min_cnt"]):
-            made.add(seq, threshold(int(low), barcoded), int(times))
-        kept = made.without_contained()
-        weights = [[dict(zip("acgt", map(int, row))) for row in made.weights[c]] for c in kept]
-        out = pd.DataFrame({"contig": range(len(kept)), "consensus": [made.text[c] for c in kept], "n_reads": [made.reads[c] for c in kept], "pos_weight": weights})
-        for g in group:
-            out[g] = [pdf[g].iloc[0]] * len(out)
-        return out[[*group, "contig", "consensus", "n_reads", "pos_weight"]]
+        for seq, times, low, *_ in sorted(rows, key=lambda r: (*map(last, r[2:]), -len(r[0]), r[0])):
+            made.add(seq, threshold(int(low), barcoded), times)
+        return made, made.without_contained()
+
+    def batch(done: list[tuple[pa.Table, Assembly, list[int]]]) -> pa.RecordBatch:
+        kept = [(made, c) for _, made, some in done for c in some]
+        of = pa.concat_tables([row.take(pa.array(np.zeros(len(some), dtype=np.int64))) for row, _, some in done]).combine_chunks()
+        ends = np.cumsum([0, *[len(made.text[c]) for made, c in kept]])
+        weights = np.concatenate([np.zeros((0, 4), dtype=np.int64), *[made.weights[c] for made, c in kept]])
+        weights = pa.StructArray.from_arrays([pa.array(w).cast(pa.int32()) for w in weights.T.copy()], list("acgt"))
+        number = pa.array([i for _, _, some in done for i in range(len(some))], pa.int32())
+        cols = [number, pa.array([made.text[c] for made, c in kept], pa.string()), pa.array([made.reads[c] for made, c in kept], pa.int64())]
+        keys = [of.column(g).chunk(0) if of.column(g).num_chunks else pa.array([], of.column(g).type) for g in group]
+        return pa.RecordBatch.from_arrays([*keys, *cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), weights)], [*group, "contig", "consensus", "n_reads", "pos_weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come group after group; a group may go on in the next batch."""
+        key, held, row = None, [], None
+        for got in batches:
+            table, done = pa.Table.from_batches([got]).select(group), []
+            keys = list(zip(*[c.to_pylist() for c in table.columns]))
+            rows = zip(*[got.column(c).to_pylist() for c in ("seq", "times", *amounts)])
+            for i, (mine, r) in enumerate(zip(keys, rows)):
+                if row is None or mine != key:
+                    if held:
+                        done.append((row, *contigs(held)))
+                    key, held, row = mine, [], table.slice(i, 1)
+                held.append(r)
+            if done:
+                yield batch(done)
+        if held:
+            yield batch([(row, *contigs(held))])
 
     schema = ", ".join(f"{g} {kinds[g]}" for g in group) + f", {OUT_TAIL}"
-    return merged.groupBy(*group).applyInPandas(run, schema)
+    return merged.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
 
 
 def assigned(reads: DataFrame, contigs: DataFrame, group: list[str], similarity: float = 0.9, k: int = K) -> DataFrame:
