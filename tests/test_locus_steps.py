@@ -57,3 +57,10 @@ def test_locus_of_lists_and_none(spark):
     df = spark.createDataFrame(cases, "g STRING, want STRING")
     for r in df.select("*", genes.locus_of(F.col("g")).alias("raw"), genes.locus_of(genes.called(genes.first_gene(F.col("g")))).alias("named")).collect():
         assert r.raw == r.named == r.want
+
+
+def test_contigs_of_airr_rows_are_made_once_a_contig(spark):
+    from immunospark.plans.queries import QUERIES
+
+    plan = QUERIES["airr_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "min_by" not in plan.lower()
