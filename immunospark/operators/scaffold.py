@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -32,13 +32,17 @@ def edges(lying: DataFrame) -> DataFrame:
     """src, dst, n, src_span, dst_span: fragments that lead from one contig to another, and how much of either their reads span.
 
     lying: fragment, strand, cid, offset, length and rank (the place of the read's gene type within a chain, or
-    null). Fragments against the order of gene types don't count; each fragment counts once an edge.
+    null). Fragments against the order of gene types don't count; each fragment counts once an edge, by the pair
+    of its first reads there, so that no task holds the edges of its fragments.
     """
-    side = lambda strand, c: lying.where(F.col("strand") == strand).select("fragment", F.col("cid").alias(c), F.col("offset").alias(f"{c}_from"), (F.col("offset") + F.col("length")).alias(f"{c}_to"), F.col("rank").alias(f"{c}_rank"))
-    both = side(1, "src").join(side(-1, "dst"), "fragment").where("src <> dst").where(~F.coalesce(F.col("src_rank") > F.col("dst_rank"), F.lit(False)))
+    def side(strand: int, c: str, loosest: Column) -> DataFrame:
+        rows = lying.where(F.col("strand") == strand).select("fragment", F.col("cid").alias(c), F.col("offset").alias(f"{c}_from"), (F.col("offset") + F.col("length")).alias(f"{c}_to"), F.col("rank").alias(f"{c}_rank"))
+        return rows.repartition("fragment").withColumn(f"{c}_first", F.row_number().over(Window.partitionBy("fragment", c).orderBy(loosest)) == 1)
+
+    # of a fragment's reads on a contig the first one has the rank that the order of gene types holds against least, so it's in a pair wherever any of them is
+    both = side(1, "src", F.asc_nulls_first("src_rank")).join(side(-1, "dst", F.desc_nulls_first("dst_rank")), "fragment").where("src <> dst").where(~F.coalesce(F.col("src_rank") > F.col("dst_rank"), F.lit(False)))
     spans = [F.min(f"{c}_from").alias(f"{c}_from") for c in ("src", "dst")] + [F.max(f"{c}_to").alias(f"{c}_to") for c in ("src", "dst")]
-    once = both.groupBy("src", "dst", "fragment").agg(*spans)
-    sums = once.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), *spans)
+    sums = both.groupBy("src", "dst").agg(F.count(F.when(F.col("src_first") & F.col("dst_first"), 1)).alias("n"), *spans)
     return sums.select("src", "dst", "n", *[(F.col(f"{c}_to") - F.col(f"{c}_from")).alias(f"{c}_span") for c in ("src", "dst")])
 
 

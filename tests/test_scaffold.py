@@ -52,6 +52,26 @@ def test_edges_follow_strands_and_gene_order(spark):
     assert scaffold.edges(_lying(spark, [])).count() == 0
 
 
+def test_edges_equal_brute_force(spark):
+    rng = random.Random(41)
+    rows = [(f"f{rng.randrange(40)}", rng.choice((1, -1)), rng.choice("abcd"), rng.randrange(90), rng.randrange(20, 60), rng.choice((None, 1, 2, 3, 4))) for _ in range(400)]
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] == 1 and b[1] == -1 and a[2] != b[2] and (a[5] is None or b[5] is None or a[5] <= b[5]):
+                want.setdefault((a[2], b[2]), []).append((a, b))
+    span = lambda reads: max(r[3] + r[4] for r in reads) - min(r[3] for r in reads)
+    want = {(*e, len({a[0] for a, _ in ps}), span([a for a, _ in ps]), span([b for _, b in ps])) for e, ps in want.items()}
+    assert {tuple(r) for r in scaffold.edges(_lying(spark, rows)).collect()} == want and len(want) == 12
+
+
+def test_no_task_holds_the_edges_of_its_fragments(spark, capsys):
+    scaffold.edges(_lying(spark, [("f1", 1, "a", 0, 50, 1)])).explain()
+    plan = capsys.readouterr().out
+    groups = [line.split("keys=[")[1].split("]")[0] for line in plan.splitlines() if "Aggregate(keys=" in line]
+    assert groups and not any("fragment" in g for g in groups)
+
+
 def test_contigs_of_one_gene_type_are_not_joined(spark):
     whole = _text(23, 60)
     contigs = _contigs(spark, {"v1": _text(29, 40), "v2": _text(31, 40), "c": _text(37, 40), "l": whole[:40], "r": whole[20:], "s": "ACG"})
