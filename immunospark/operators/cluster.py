@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, genes
-from .graph import components
+from .graph import components, cut
 
 KEY = ["v", "j", "n"]
+#: Ways to leave letters out, and letters, up to which sequences meet by what is left of them.
+WAYS = 128
+LETTERS = 4
+#: Rows of all these ways up to which sequences meet at once, without a round for those that differ in one letter.
+AT_ONCE = 4_000_000
 
 
 def keyed(rows: DataFrame, seq: str = "cdr3") -> DataFrame:
@@ -40,13 +46,58 @@ def similar_pairs(distinct: DataFrame, similarity: float, seq: str = "cdr3") ->
     return pairs.where(dna.hamming(F.col("a"), F.col("b")) <= F.col("_m")).select(*KEY, "a", "b")
 
 
+def shortened(rows: DataFrame, less: int, seq: str = "cdr3") -> DataFrame:
+    """A row for each way (_way) to leave `less` letters out of the sequence, with the rest (_rest): sequences of a key differ in no more letters than that where they share one."""
+    out = rows.withColumns({"_at": F.lit(1), "_way": F.lit(0), "_rest": F.col(seq)})
+    for _ in range(less):
+        out = out.withColumn("_at", F.explode(F.sequence("_at", F.col("n") - (less - 1))))
+        out = out.withColumns({"_way": F.col("_way") * (F.col("n") + 1) + F.col("_at"), "_rest": F.concat(F.substr("_rest", F.lit(1), F.col("_at") - 1), F.substr("_rest", F.col("_at") + 1, F.col("n")))})
+    return out.drop("_at")
+
+
+def met(ways: DataFrame) -> DataFrame:
+    """a, b: labels of sequences that share a rest, each b with the smallest one there."""
+    return ways.withColumn("a", F.min("label").over(Window.partitionBy(*KEY, "_way", "_rest"))).where("a < label").select("a", F.col("label").alias("b")).distinct()
+
+
+def apart(nodes: DataFrame, less: int, seq: str = "cdr3") -> DataFrame:
+    """met() of nodes that have labels by nearer sequences: only rests that some sequence outside its key's largest label has can join two labels."""
+    sizes = nodes.groupBy(*KEY, "label").count()
+    largest = sizes.groupBy(*KEY).agg(F.max_by("label", F.struct("count", "label")).alias("_largest"))
+    outside = cut(nodes.join(largest, KEY).where("label <> _largest").drop("_largest"))
+    asked = cut(shortened(outside, less, seq).select(*KEY, "_way", "_rest").distinct())
+    return met(shortened(nodes.join(outside.select(*KEY).distinct(), KEY, "left_semi"), less, seq).join(asked, [*KEY, "_way", "_rest"], "left_semi"))
+
+
 def single_linkage(rows: DataFrame, similarity: float = 0.8, seq: str = "cdr3") -> DataFrame:
-    """rows with cluster: the smallest sequence, with its key, that similar sequences lead to."""
-    df = keyed(rows, seq)
-    distinct = df.select(*KEY, seq).distinct()
+    """rows with cluster: the smallest sequence, with its key, that similar sequences lead to.
+
+    Links are needed, not all pairs. Where there are few ways to leave out the letters that may differ, sequences
+    meet by what is left, so rows grow with the sequences however many of a key are similar. Of large tables those
+    that differ in one letter meet first, then the clusters of these. Longer sequences meet by pieces (similar_pairs).
+    """
     node = lambda c: F.concat_ws("|", "v", "j", F.col("n").cast("string"), F.col(c))
-    found = components(similar_pairs(distinct, similarity, seq).select(node("a").alias("a"), node("b").alias("b")))
-    return df.withColumn("_node", node(seq)).join(found.withColumnRenamed("node", "_node"), "_node", "left").withColumn("cluster", F.coalesce("root", "_node")).drop("_node", "root")
+    df = keyed(rows, seq).withColumn("_node", node(seq))
+    nodes = cut(df.select(*KEY, seq, "_node").distinct().withColumn("label", F.col("_node")))
+    lengths = nodes.where("n IS NOT NULL").groupBy("n").agg(mismatches(F.col("n"), similarity).alias("m"), F.count(F.lit(1)).alias("rows")).where("m > 0").collect()
+    few = [r for r in lengths if r.m <= LETTERS and math.comb(r.n, r.m) <= WAYS]
+    of = lambda found: nodes.where(F.col("n").isin([r.n for r in found]))
+    merged = lambda links: nodes.join(components(links).withColumnsRenamed({"node": "label", "root": "_root"}), "label", "left").withColumn("label", F.coalesce("_root", "label")).drop("_root")
+    at_once = sum(r.rows * math.comb(r.n, r.m) for r in few) <= AT_ONCE
+    if few and not at_once:
+        nodes = cut(merged(met(shortened(of(few), 1, seq))))
+    links = []
+    for less in sorted({r.m for r in few}):
+        some = of([r for r in few if r.m == less])
+        if at_once:
+            links.append(met(shortened(some, less, seq)))
+        elif less > 1:
+            links.append(apart(some, less, seq))
+    if many := [r for r in lengths if r not in few]:
+        links.append(similar_pairs(of(many).select(*KEY, seq), similarity, seq).select(node("a").alias("a"), node("b").alias("b")))
+    if links:
+        nodes = merged(reduce(DataFrame.unionByName, links))
+    return df.join(nodes.select("_node", F.col("label").alias("cluster")), "_node", "left").drop("_node")
 
 
 def representatives(rows: DataFrame, group: str = "cid", seq: str = "cdr3", amount: str = "count") -> DataFrame:

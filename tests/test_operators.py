@@ -1,5 +1,6 @@
 """Hand-made cases for branches that no golden file covers."""
 
+import itertools
 import math
 import random
 
@@ -197,6 +198,37 @@ def test_clusters_are_connected_components(spark):
     assert all((got[a] == got[b]) == (top(a) == top(b)) for a in range(60) for b in range(a))
 
 
+def test_links_of_a_dense_key_grow_with_its_sequences(spark, monkeypatch):
+    seqs = ["".join(s) for s in itertools.product("ACGT", repeat=5)]
+    df = spark.createDataFrame([("V1", "J1", s) for s in seqs], "v STRING, j STRING, cdr3 STRING")
+    links = []
+    monkeypatch.setattr(cluster, "components", lambda edges: links.append(edges.count()) or graph.components(edges))
+    assert {r.cluster for r in cluster.single_linkage(df, 0.8).collect()} == {"V1|J1|5|AAAAA"}
+    # all pairs that differ in one letter are 15 / 2 a sequence
+    assert 0 < sum(links) <= 5 * len(seqs) * 3 // 4
+
+
+@pytest.mark.parametrize(("ways", "at_once"), [(128, 4_000_000), (128, 0), (0, 0), (12, 0)])
+def test_clusters_by_any_way_equal_brute_force(spark, monkeypatch, ways, at_once):
+    monkeypatch.setattr(cluster, "WAYS", ways)
+    monkeypatch.setattr(cluster, "AT_ONCE", at_once)
+    rng = random.Random(29)
+    rows = [(f"V{rng.randrange(2)}", "J1", "".join(rng.choice("ACGT") for _ in range(n))) for n in (0, 1, 4, 5, 8, 10, 12) for _ in range(2 * n * n + 1)]
+    top = {r: r for r in rows}
+    for _ in rows:
+        before = dict(top)
+        for a in top:
+            for b in top:
+                if a[0] == b[0] and len(a[2]) == len(b[2]) and sum(x != y for x, y in zip(a[2], b[2])) <= cluster.allowed(len(a[2]), 0.8):
+                    top[a] = min(top[a], top[b])
+        if top == before:
+            break
+    df = spark.createDataFrame([*rows, ("V1", "J1", None), ("*", "J1", "ACGTA")], "v STRING, j STRING, cdr3 STRING")
+    got = cluster.single_linkage(df, 0.8).collect()
+    assert len(got) == len(rows) + 1
+    assert {(r.v, r.j, r.cdr3): r.cluster for r in got if r.cdr3 is not None} == {r: f"{t[0]}|{t[1]}|{len(t[2])}|{t[2]}" for r, t in top.items()}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200) if k != 99], "a INT, b INT")
     got = {r.node: r.root for r in graph.components(edges).collect()}
