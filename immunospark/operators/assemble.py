@@ -6,10 +6,14 @@ groups (a barcode, or a locus for bulk reads) are independent and are what Spark
 Identical reads of a group are merged into one with a multiplicity in the engine before that, so a
 group's task holds distinct reads only. Bulk groups by locus differ from one global fold where reads of
 several loci overlap.
+
+Most reads of a thin group overlap none of the others. Which pairs of reads may meet is found for many groups at
+once, by their k-mers and letters; a read that meets none is a contig that isn't looked up until one of its pairs comes.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -20,12 +24,20 @@ from pyspark.sql import functions as F
 
 from ..functions import align
 from .chains import LEAST, chains
+from .reference import windows
 
 K = 11
 #: Overlap that joins a read and a contig, in bulk and within a barcode.
 OVERLAP, BARCODE_OVERLAP = 31, 17
 #: By how much the diagonals of a read's hits may step within one overlap.
 GAP = 10
+#: Letters of the groups whose pairs of reads are found at once; letters of a group beyond which all its contigs are looked up.
+LETTERS, MOST_LETTERS = 500_000, 4_000_000
+#: Pairs of equal k-mers, for each k-mer of a group and in all, beyond which its reads overlap so much that all contigs are looked up.
+PAIRS, MOST_PAIRS = 8, 4_000_000
+#: Letters of an overlap that are compared first.
+AHEAD = 48
+FOREIGN = re.compile("[^ACGT]")
 _LETTERS = np.frombuffer(b"ACGT", dtype=np.uint8)
 _CODE = np.full(256, 4, dtype=np.int64)
 for _i, _b in enumerate(b"ACGT"):
@@ -40,7 +52,7 @@ def threshold(min_cnt: int, barcoded: bool) -> float:
 
 
 class Assembly:
-    """Contigs as position weights with a k-mer index of their consensus."""
+    """Contigs as position weights with a k-mer index of their consensus; a contig of one read may be without both, quiet, as long as it meets none."""
 
     def __init__(self, overlap: int = OVERLAP, k: int = K):
         self.overlap, self.k = overlap, k
@@ -66,6 +78,24 @@ class Assembly:
                     near.add(c)
         self.weights[c], self.reads[c], self.text[c] = weights, reads, text
 
+    def found(self, read: str, times: int) -> int:
+        """A new quiet contig."""
+        c, self.next = self.next, self.next + 1
+        self.text[c], self.reads[c] = read, times
+        return c
+
+    def wake(self, c: int) -> None:
+        """From now on a quiet contig is looked up."""
+        if c in self.text and c not in self.weights:
+            self._put(c, self._one(self.text.pop(c), self.reads[c]), self.reads[c])
+
+    def weight(self, c: int) -> np.ndarray:
+        return self.weights[c] if c in self.weights else self._one(self.text[c], self.reads[c])
+
+    def _one(self, read: str, times: int) -> np.ndarray:
+        codes = _CODE[align.letters(read)]
+        return self._added(np.zeros((len(codes), 4), dtype=np.int64), codes, 0, times)
+
     def _kmers(self, text: str) -> set[str]:
         return {text[i : i + self.k] for i in range(len(text) - self.k + 1)}
 
@@ -167,7 +197,8 @@ class Assembly:
         grown[good + offset + left, codes[good]] += times
         return grown
 
-    def add(self, read: str, similarity: float, times: int = 1) -> int:
+    def add(self, read: str, similarity: float, times: int = 1, quiet: bool = False) -> int:
+        """The contig that a read joins or founds; quiet: a founded one isn't looked up."""
         codes = _CODE[align.letters(read)]
         hits = self._hits(read)
         places = self.places(read, similarity, hits)
@@ -176,8 +207,9 @@ class Assembly:
             self._put(c, self._woven(c, read, start, place, script, times), self.reads[c] + times)
             return c
         if not places:
-            c, self.next = self.next, self.next + 1
-            self._put(c, self._added(np.zeros((len(codes), 4), dtype=np.int64), codes, 0, times), times)
+            c = self.found(read, times)
+            if not quiet:
+                self.wake(c)
             return c
         _, c, offset = places[0]
         mine = self.weights[c]
@@ -207,12 +239,13 @@ class Assembly:
         order = sorted(self.text, key=lambda c: (-len(self.text[c]), c))
         rank = {c: i for i, c in enumerate(order)}
         kept: set[int] = set()
+        hosts = self._quiet_hosts() if mismatches <= 1 else {}
         for c in order:
             own, half = self.text[c], len(self.text[c]) // 2
             inside = False
             # with one mismatch at most one half is exact, so its first k-mer leads to the host; short contigs are compared with all
             seeded = mismatches <= 1 and half >= self.k
-            near = {*self.index.get(own[: self.k], ()), *self.index.get(own[half : half + self.k], ())} if seeded else kept
+            near = {*self.index.get(own[: self.k], ()), *self.index.get(own[half : half + self.k], ()), *hosts.get(c, ())} if seeded else kept
             for d in sorted(near & kept, key=rank.__getitem__):
                 host, text = align.letters(self.text[d]), align.letters(own)
                 if len(host) > len(text) and len(text):
@@ -224,51 +257,162 @@ class Assembly:
                 kept.add(c)
         return sorted(kept)
 
+    def _quiet_hosts(self) -> dict[int, set[int]]:
+        """By contig the quiet ones, longer than it, that its first k-mer or that of its second half leads to."""
+        quiet = [c for c in self.text if c not in self.weights]
+        longest = max((len(self.text[c]) for c in quiet), default=0)
+        seeds = {c: (x[: self.k], x[len(x) // 2 : len(x) // 2 + self.k]) for c, x in self.text.items() if 2 * self.k <= len(x) < longest}
+        out = defaultdict(set)
+        if len(seeds) > 16:
+            by = defaultdict(list)
+            for c, pair in seeds.items():
+                for kmer in pair:
+                    by[kmer].append(c)
+            for d in quiet:
+                for kmer in self._kmers(self.text[d]):
+                    for c in by.get(kmer, ()):
+                        out[c].add(d)
+        elif seeds:
+            for d in quiet:
+                text = self.text[d]
+                for c, (first, second) in seeds.items():
+                    if first in text or second in text:
+                        out[c].add(d)
+        return out
 
-def assemble(reads: DataFrame, group: list[str], overlap: int = OVERLAP, barcoded: bool = False) -> DataFrame:
-    """group, contig, consensus, n_reads, pos_weight of reads (group, id, seq, min_cnt, median_cnt, avg_cnt)."""
+
+def bends(read: str, other: str, similarity: float, overlap: int) -> bool:
+    """Whether a read joins another one with indels."""
+    one = Assembly(overlap)
+    one.wake(one.found(other, 1))
+    return one.gapped(read, similarity, one._hits(read)) is not None
+
+
+def meetings(groups: list[list[str]], similarity: list[list[float]], overlap: int, k: int = K) -> list[dict[int, list[int]] | None]:
+    """Of groups of reads in the order of their fold: by read the earlier ones that it may join, as they are or by a chain of hits,
+    when each is a contig of its own. None for groups with foreign letters, or with so many shared k-mers that all contigs are to be looked up."""
+    out = [None if sum(map(len, g)) > MOST_LETTERS or any(map(FOREIGN.search, g)) else {} for g in groups]
+    own = [i for i, o in enumerate(out) if o is not None]
+    seqs = [s for i in own for s in groups[i]]
+    sizes = [len(groups[i]) for i in own]
+    group, begin = np.repeat(np.arange(len(own)), sizes), np.cumsum([0, *sizes])
+    size, least = np.array([len(s) for s in seqs], dtype=np.int64), np.array([x for i in own for x in similarity[i]])
+    row, place, code, _, _ = windows(pa.array(seqs, pa.large_string()), k)
+    bits = max(1, len(row)).bit_length()
+    packed = (group[row] << 2 * k | code) << bits | np.arange(len(row))
+    packed.sort()
+    key, at = packed >> bits, packed & (1 << bits) - 1
+    # each k-mer meets those before it in the run of equal ones
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    start = np.repeat(starts, np.diff([*starts, len(key)]))
+    rank = np.arange(len(key)) - start
+    of = group[row[at]]
+    pairs, kmers = np.bincount(of, rank, len(own)), np.bincount(of, minlength=len(own))
+    crowded = pairs > np.minimum(PAIRS * kmers, MOST_PAIRS)
+    for g in np.flatnonzero(crowded):
+        out[own[g]] = None
+    rank[crowded[of]] = 0
+    later = np.repeat(np.arange(len(key)), rank)
+    earlier = np.arange(len(later)) - np.repeat(np.cumsum(rank) - rank - start, rank)
+    r, s, a, b = row[at[later]], row[at[earlier]], place[at[later]], place[at[earlier]]
+    other = r != s
+    r, s, offset = r[other], s[other], (b - a)[other]
+    longest = int(size.max(initial=0)) + 1
+    ways, n = np.unique((r * max(1, len(seqs)) + s) * 2 * longest + offset + longest, return_counts=True)
+    if not len(ways):
+        return out
+    pair, offset = ways // (2 * longest), ways % (2 * longest) - longest
+    r, s = pair // len(seqs), pair % len(seqs)
+    # hits on several diagonals near one another
+    apart = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (np.diff(offset) > GAP)]))
+    bent = (np.add.reduceat(n, apart) >= LEAST) & (np.diff([*apart, len(ways)]) > 1)
+    live = [np.array([p for p in np.unique(pair[apart[bent]]).tolist() if bends(*(seqs[x] for x in divmod(p, len(seqs))), least[p // len(seqs)], overlap)], dtype=np.int64)]
+    # overlaps without indels: some letters tell most apart
+    lo, hi = np.maximum(0, offset), np.minimum(size[s], offset + size[r])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    letters = np.frombuffer("".join(seqs).encode(), dtype=np.uint8)
+    total, x, y, least = hi - lo, ends[s] + lo, ends[r] + lo - offset, least[r]
+    some = np.flatnonzero(total >= np.minimum(overlap, size[r]))
+    for width in (AHEAD, longest):
+        good, at_once = [], max(1, 1_000_000 // width)
+        for part in np.split(some, np.arange(at_once, len(some), at_once)):
+            step = np.arange(min(width, int(total[part].max(initial=0))))
+            i, j = (np.minimum(z[part][:, None] + step, len(letters) - 1) for z in (x, y))
+            wrong = np.count_nonzero((letters[i] != letters[j]) & (step < total[part][:, None]), axis=1)
+            spare = 1 if width == AHEAD else 0
+            good.append(part[total[part] - wrong + spare >= least[part] * total[part]])
+        some = np.concatenate(good)
+    live.append(pair[some])
+    for p in np.unique(np.concatenate(live)).tolist():
+        x, y = divmod(p, len(seqs))
+        g = int(group[x])
+        out[own[g]].setdefault(x - int(begin[g]), []).append(y - int(begin[g]))
+    return out
+
+
+def fold(groups: list[list[tuple[str, int, float]]], overlap: int = OVERLAP) -> list[tuple[Assembly, list[int]]]:
+    """The contigs of groups of reads (seq, times, similarity) in their order, and which of them stay."""
+    out = []
+    for rows, met in zip(groups, meetings([[r[0] for r in g] for g in groups], [[r[2] for r in g] for g in groups], overlap)):
+        made, joined = Assembly(overlap), []
+        for i, (seq, times, similarity) in enumerate(rows):
+            for j in met.get(i, ()) if met else ():
+                made.wake(joined[j])
+            looked = met is None or made.weights
+            joined.append(made.add(seq, similarity, times, met is not None) if looked else made.found(seq, times))
+        out.append((made, made.without_contained()))
+    return out
+
+
+def assemble(reads: DataFrame, group: list[str], overlap: int = OVERLAP, barcoded: bool = False, weights: bool = True) -> DataFrame:
+    """group, contig, consensus, n_reads, pos_weight (if weights is set) of reads (group, id, seq, min_cnt, median_cnt, avg_cnt)."""
     amounts = ["min_cnt", "median_cnt", "avg_cnt"]
     merged = reads.groupBy(*group, "seq").agg(F.count(F.lit(1)).alias("times"), *[F.max(c).alias(c) for c in amounts])
     kinds = dict(reads.dtypes)
+    names = [*group, *[c.split()[0] for c in OUT_TAIL.split(", ")][: 4 if weights else 3]]
 
-    def contigs(rows: list[tuple]) -> tuple[Assembly, list[int]]:
-        """The contigs of a group's reads (seq, times, min_cnt and the other amounts, nulls last), and which of them stay."""
+    def ordered(rows: list[tuple]) -> list[tuple[str, int, float]]:
+        """A group's reads (seq, times, min_cnt and the other amounts) in the order of its fold, nulls last."""
         last = lambda x: (x is None or x != x, -x if x is not None else 0)
-        made = Assembly(overlap)
-        for seq, times, low, *_ in sorted(rows, key=lambda r: (*map(last, r[2:]), -len(r[0]), r[0])):
-            made.add(seq, threshold(int(low), barcoded), times)
-        return made, made.without_contained()
-
-    def batch(done: list[tuple[pa.Table, Assembly, list[int]]]) -> pa.RecordBatch:
-        kept = [(made, c) for _, made, some in done for c in some]
-        of = pa.concat_tables([row.take(pa.array(np.zeros(len(some), dtype=np.int64))) for row, _, some in done]).combine_chunks()
-        ends = np.cumsum([0, *[len(made.text[c]) for made, c in kept]])
-        weights = np.concatenate([np.zeros((0, 4), dtype=np.int64), *[made.weights[c] for made, c in kept]])
-        weights = pa.StructArray.from_arrays([pa.array(w).cast(pa.int32()) for w in weights.T.copy()], list("acgt"))
-        number = pa.array([i for _, _, some in done for i in range(len(some))], pa.int32())
+        alike = all(r[2:] == rows[0][2:] for r in rows)
+        rows.sort(key=(lambda r: (-len(r[0]), r[0])) if alike else lambda r: (*map(last, r[2:]), -len(r[0]), r[0]))
+        return [(seq, times, threshold(int(low), barcoded)) for seq, times, low, *_ in rows]
+
+    def batch(firsts: list[pa.Table], groups: list[list[tuple]]) -> pa.RecordBatch:
+        done = fold([ordered(g) for g in groups], overlap)
+        kept = [(made, c) for made, some in done for c in some]
+        of = pa.concat_tables(firsts).combine_chunks().take(pa.array(np.repeat(np.arange(len(done)), [len(some) for _, some in done])))
+        number = pa.array([i for _, some in done for i in range(len(some))], pa.int32())
         cols = [number, pa.array([made.text[c] for made, c in kept], pa.string()), pa.array([made.reads[c] for made, c in kept], pa.int64())]
+        if weights:
+            ends = np.cumsum([0, *[len(made.text[c]) for made, c in kept]])
+            table = np.concatenate([np.zeros((0, 4), dtype=np.int64), *[made.weight(c) for made, c in kept]])
+            table = pa.StructArray.from_arrays([pa.array(w).cast(pa.int32()) for w in table.T.copy()], list("acgt"))
+            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table))
         keys = [of.column(g).chunk(0) if of.column(g).num_chunks else pa.array([], of.column(g).type) for g in group]
-        return pa.RecordBatch.from_arrays([*keys, *cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), weights)], [*group, "contig", "consensus", "n_reads", "pos_weight"])
+        return pa.RecordBatch.from_arrays([*keys, *cols], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come group after group; a group may go on in the next batch."""
-        key, held, row = None, [], None
+        key, firsts, groups, held = None, [], [], 0
         for got in batches:
-            table, done = pa.Table.from_batches([got]).select(group), []
+            table = pa.Table.from_batches([got]).select(group)
             keys = list(zip(*[c.to_pylist() for c in table.columns]))
             rows = zip(*[got.column(c).to_pylist() for c in ("seq", "times", *amounts)])
             for i, (mine, r) in enumerate(zip(keys, rows)):
-                if row is None or mine != key:
-                    if held:
-                        done.append((row, *contigs(held)))
-                    key, held, row = mine, [], table.slice(i, 1)
-                held.append(r)
-            if done:
-                yield batch(done)
-        if held:
-            yield batch([(row, *contigs(held))])
-
-    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + f", {OUT_TAIL}"
+                if not groups or mine != key:
+                    if held >= LETTERS:
+                        yield batch(firsts, groups)
+                        firsts, groups, held = [], [], 0
+                    key = mine
+                    firsts.append(table.slice(i, 1))
+                    groups.append([])
+                groups[-1].append(r)
+                held += len(r[0])
+        if groups:
+            yield batch(firsts, groups)
+
+    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", " + ", ".join(OUT_TAIL.split(", ")[: 4 if weights else 3])
     return merged.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
 
 
